@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from vidtables.llm import sentencepiece_bpe
+from vidtables.llm import decontamination, ngram_join, sentencepiece_bpe, toxicity
 
 PIECES = "piece_bpe_32k.model"
 
@@ -14,13 +14,28 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return sentencepiece_bpe.encode_decode(docs, public_tokenizers.path(PIECES), full=False)
 
 
+def op6_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    network = toxicity.train(docs, table(spark, sf_dir, "labels").where(~toxicity.held_out()))
+    scored = toxicity.score(docs, network)
+    return scored.select("doc_id", toxicity.held_out().alias("held_out"), "score", "predicted")
+
+
 def queries() -> dict:
-    return {"op5_sentencepiece": op5_sentencepiece}
+    return {f.__name__: f for f in (op1_decontamination, op5_sentencepiece, op6_ngram_jaccard_join, op8_toxicity)}
 
 
 def oracle_sql() -> dict[str, str]:
