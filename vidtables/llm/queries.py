@@ -5,9 +5,11 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from vidtables.llm import decontamination, ngram_join, sentencepiece_bpe, toxicity
+from vidtables.llm import decontamination, licences, ngram_join, preferences, quality_rules, sentencepiece_bpe, token_counts, toxicity, url_filters, warc
 
 PIECES = "piece_bpe_32k.model"
+RANKS = "byte_bpe_50k.tiktoken"
+URL_RULES = [("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"), ("block", "net/fr/")]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,6 +20,18 @@ def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op2_preference_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return preferences.format_pairs(preferences.paired_by_id(table(spark, sf_dir, "conversations")))
+
+
+def op3_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filters.judge(table(spark, sf_dir, "pages"), URL_RULES)
+
+
+def op4_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licences.scan(table(spark, sf_dir, "documents"))
+
+
 def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return sentencepiece_bpe.encode_decode(docs, public_tokenizers.path(PIECES), full=False)
@@ -34,9 +48,39 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", toxicity.held_out().alias("held_out"), "score", "predicted")
 
 
+def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = token_counts.lengths(table(spark, sf_dir, "documents"), public_tokenizers.path(RANKS), public_tokenizers.PATTERN)
+    return token_counts.limits(token_counts.histogram(rows))
+
+
+def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(table(spark, sf_dir, "pages"))
+
+
+def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.judge(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_decontamination, op5_sentencepiece, op6_ngram_jaccard_join, op8_toxicity)}
+    found = (
+        op1_decontamination,
+        op2_preference_format,
+        op3_url_filters,
+        op4_licence_scan,
+        op5_sentencepiece,
+        op6_ngram_jaccard_join,
+        op7_token_counts,
+        op8_toxicity,
+        op9_warc,
+        op10_quality_rules,
+    )
+    return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "op2_preference_format": preferences.ORACLE,
+        "op4_licence_scan": licences.oracle(),
+        "op9_warc": warc.ORACLE,
+        "op10_quality_rules": quality_rules.ORACLE,
+    }
