@@ -65,32 +65,21 @@ def measures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     """id, _text, n_words, word_chars, n_symbols, n_lines, n_dup_lines, n_repeat_words, base_failed."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     bare = F.btrim(F.col("_text"), F.lit(SPACES))
+    words = F.when(bare == "", F.array().cast("array<string>")).otherwise(F.split(bare, SPLIT))
+    kept_lines = F.filter(F.split("_text", "\n"), lambda x: F.btrim(x, F.lit(SPACES)) != "")
+
+    def of_words(w: Column) -> Column:
+        n = F.size(w)
+        first = F.sequence(F.lit(0), F.greatest(n - 3, F.lit(0)))
+        windows = F.when(n < 3, F.array().cast("array<bigint>")).otherwise(F.transform(first, lambda i: F.xxhash64(F.get(w, i), F.get(w, i + 1), F.get(w, i + 2))))
+        return F.struct(n.cast("long").alias("n_words"), F.length(F.array_join(w, "")).cast("long").alias("word_chars"), _let(windows, _repeated).alias("n_repeat_words"))
+
+    def of_lines(x: Column) -> Column:
+        return F.struct(F.size(x).cast("long").alias("n_lines"), (F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("n_dup_lines"))
+
     out = docs.select(F.col(id_col), text.alias("_text"))
-    out = out.select(id_col, "_text", F.when(bare == "", F.array().cast("array<string>")).otherwise(F.split(bare, SPLIT)).alias("_w"))
-    n = F.size("_w")
-    windows = F.when(n < 3, F.array().cast("array<bigint>")).otherwise(
-        F.transform(F.sequence(F.lit(0), F.greatest(n - 3, F.lit(0))), lambda i: F.xxhash64(F.get("_w", i), F.get("_w", i + 1), F.get("_w", i + 2)))
-    )
-    lines = F.filter(F.split("_text", "\n"), lambda x: F.btrim(x, F.lit(SPACES)) != "")
-    out = out.select(
-        id_col,
-        "_text",
-        n.cast("long").alias("n_words"),
-        F.length(F.array_join("_w", "")).cast("long").alias("word_chars"),
-        F.length(F.regexp_replace("_text", f"[^{SYMBOLS[1:-1]}]+", "")).cast("long").alias("n_symbols"),
-        lines.alias("_lines"),
-        windows.alias("_windows"),
-    )
-    out = out.select(
-        id_col,
-        "_text",
-        "n_words",
-        "word_chars",
-        "n_symbols",
-        F.size("_lines").cast("long").alias("n_lines"),
-        (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long").alias("n_dup_lines"),
-        _repeated(F.col("_windows")).alias("n_repeat_words"),
-    )
+    out = out.select(id_col, "_text", _let(words, of_words).alias("_w"), _let(kept_lines, of_lines).alias("_l"), F.length(F.regexp_replace("_text", f"[^{SYMBOLS[1:-1]}]+", "")).cast("long").alias("n_symbols"))
+    out = out.select(id_col, "_text", "_w.n_words", "_w.word_chars", "n_symbols", "_l.n_lines", "_l.n_dup_lines", "_w.n_repeat_words")
     return out.withColumn("base_failed", F.expr("n_words < 50 or 100 * n_repeat_words > 50 * n_words"))
 
 
