@@ -1,26 +1,53 @@
-"""The corpus pipeline: toxicity, quality rules, n-gram Jaccard join, decontamination, SentencePiece."""
+"""The corpus pipeline: toxicity, quality rules, n-gram Jaccard join, decontamination, SentencePiece.
+
+Each stage works on all rows that the one before has kept and returns the columns of
+documents; the last returns the encoded documents.
+"""
 
 from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from vidtables.llm import sentencepiece_bpe
-from vidtables.llm.queries import PIECES
+from vidtables.llm import decontamination, ngram_join, quality_rules, sentencepiece_bpe, toxicity
+from vidtables.llm.queries import PIECES, table
+
+
+def clean_of_toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    network = toxicity.train(docs, table(spark, sf_dir, "labels").where(~toxicity.held_out()))
+    return toxicity.drop_toxic(docs, network)
+
+
+def of_good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return quality_rules.keep_good(docs)
+
+
+def without_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return ngram_join.one_of_each(docs)
+
+
+def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return decontamination.drop_contaminated(docs, table(spark, sf_dir, "benchmark"))
 
 
-def pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return sentencepiece_bpe.encode_decode(docs, public_tokenizers.path(PIECES), full=False)
 
 
-STAGES = [("sentencepiece", pieces)]
+STAGES = [
+    ("toxicity", clean_of_toxicity),
+    ("quality_rules", of_good_quality),
+    ("ngram_jaccard_join", without_near_duplicates),
+    ("benchmark_decontamination", without_benchmark),
+    ("sentencepiece", encoded),
+]
 
-ORACLE_SQL = None
+ORACLE_SQL = None  # a trained network and an encoder aren't SQL; tests/llm compares with a brute-force version
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over documents."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = table(spark, sf_dir, "documents")
     for _, stage in STAGES:
         docs = stage(spark, docs, sf_dir)
     return docs
