@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-MODULES: list = []
+from vidtables.jobs import scalar_queries
+
+MODULES: list = [scalar_queries]
 
 
 def queries() -> dict:
