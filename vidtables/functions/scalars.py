@@ -7,6 +7,7 @@ from fractions import Fraction
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 NUMBER = r"^\s*[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?\s*$"
 WHOLE = r"^\s*[+-]?\d+\s*$"
@@ -69,7 +70,7 @@ def fps_parse(text: Column) -> Column:
     return F.when((value > 0) & (value <= 240), value).otherwise(30.0)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _fraction(fps: pd.Series) -> pd.Series:
     def one(x: float) -> str | None:
         if pd.isna(x):

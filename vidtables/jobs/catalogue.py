@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from vidtables.jobs import scalar_queries
+from vidtables.jobs import scalar_queries, stateful_queries, table_queries
 
-MODULES: list = [scalar_queries]
+MODULES: list = [scalar_queries, table_queries, stateful_queries]
 
 
 def queries() -> dict:

@@ -57,20 +57,26 @@ SELECT video_id, CAST(CASE WHEN w > 0 AND h > 0 THEN CASE WHEN w % 2 = 0 THEN w
  CAST(CASE WHEN w > 0 AND h > 0 THEN CASE WHEN h % 2 = 0 THEN h WHEN h % 4 = 1 THEN h - 1 ELSE h + 1 END ELSE 0 END AS INT) AS height FROM t""",
 )
 DD = "list_transform(embedding, lambda x: CAST(x AS DOUBLE))"
-ODD = F.when(c("vec_id") % 7 == 0, F.transform("embedding", lambda x: x * 0)).when(c("vec_id") % 11 == 0, F.lit(None)).otherwise(c("embedding"))
+
+
+def odd():
+    """Vectors of which some are null or have no length."""
+    return F.when(c("vec_id") % 7 == 0, F.transform("embedding", lambda x: x * 0)).when(c("vec_id") % 11 == 0, F.lit(None)).otherwise(c("embedding"))
+
+
 ODD_SQL = "SELECT vec_id, label, CASE WHEN vec_id % 7 = 0 OR vec_id % 11 = 0 THEN NULL ELSE list_transform(embedding, lambda x: CAST(x AS DOUBLE)) END AS v FROM embeddings"
-R.add("vec_valid", "embeddings", lambda e: e.select("vec_id", vectors.vec_valid(ODD).isNotNull().alias("valid")), f"SELECT vec_id, v IS NOT NULL AS valid FROM ({ODD_SQL})")
+R.add("vec_valid", "embeddings", lambda e: e.select("vec_id", vectors.vec_valid(odd()).isNotNull().alias("valid")), f"SELECT vec_id, v IS NOT NULL AS valid FROM ({ODD_SQL})")
 R.add(
     "vec_normalize",
     "embeddings",
-    lambda e: e.select("vec_id", F.posexplode_outer(vectors.vec_normalize(F.transform(ODD, lambda x: x * 3))).alias("i", "x")).select("vec_id", "i", F.round("x", 6).alias("x")),
+    lambda e: e.select("vec_id", F.posexplode_outer(vectors.vec_normalize(F.transform(odd(), lambda x: x * 3))).alias("i", "x")).select("vec_id", "i", F.round("x", 6).alias("x")),
     f"""WITH o AS ({ODD_SQL}), n AS (SELECT vec_id, v, sqrt(list_sum(list_transform(v, lambda x: x * x))) AS n FROM o)
 SELECT vec_id, CAST(i - 1 AS INT) AS i, round(v[i] / n, 6) AS x FROM (SELECT vec_id, v, n, unnest(range(1, len(v) + 1)) AS i FROM n WHERE v IS NOT NULL) UNION ALL SELECT vec_id, NULL, NULL FROM n WHERE v IS NULL""",
 )
 R.add(
     "cosine",
     "embeddings",
-    lambda e: e.select("vec_id", "label", ODD.alias("a")).join(e.groupBy("label").agg(F.min_by("embedding", "vec_id").alias("b")), "label").select("vec_id", F.round(vectors.cosine(c("a"), c("b")), 6).alias("similarity")),
+    lambda e: e.select("vec_id", "label", odd().alias("a")).join(e.groupBy("label").agg(F.min_by("embedding", "vec_id").alias("b")), "label").select("vec_id", F.round(vectors.cosine(c("a"), c("b")), 6).alias("similarity")),
     f"""WITH o AS ({ODD_SQL}), b AS (SELECT label, list_transform(arg_min(embedding, vec_id), lambda x: CAST(x AS DOUBLE)) AS b FROM embeddings GROUP BY label)
 SELECT vec_id, coalesce(round(list_sum(list_transform(range(1, len(v) + 1), lambda i: v[i] * b[i])) / sqrt(list_sum(list_transform(v, lambda x: x * x)) * list_sum(list_transform(b, lambda x: x * x))), 6), -1e0) AS similarity FROM o JOIN b USING (label)""",
 )

@@ -34,4 +34,4 @@ def progress_marks(log: DataFrame, totals: DataFrame, key: str = "worker_id") ->
     upto = Window.partitionBy(key).orderBy("_block").rowsBetween(Window.unboundedPreceding, 0)
     sums = sums.withColumn("written", F.sum("_c").over(upto)).withColumn("_all", F.sum("_ms").over(upto)).where(F.col("_c") == BLOCK)
     out = sums.join(totals.select(key, "total"), key)
-    return out.select(key, "written", F.round(100 * F.col("written") / F.col("total"), 6).alias("percent"), F.round(F.col("_all") / F.col("written"), 6).alias("avg_ms"))
+    return out.select(key, "written", F.round(100 * F.col("written") / F.col("total"), 6).alias("percent"), F.round(F.col("_all") / F.col("written"), 9).alias("avg_ms"))
