@@ -8,6 +8,9 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder named by spark.checkpoint.dir; a temporary one only for a local session without it."""
     found = spark.conf.get("spark.checkpoint.dir", None)
@@ -35,7 +38,14 @@ class Scratch:
         """Writes df and reads it back, so that its lineage ends here."""
         self.n += 1
         path = f"{self.root}/{self.n}"
-        df.write.parquet(path)
+        held = self.spark.conf.get(CLEAN, None)
+        if held is not None:
+            self.spark.conf.set(CLEAN, "true")  # what was shuffled for this table isn't read again
+        try:
+            df.write.parquet(path)
+        finally:
+            if held is not None:
+                self.spark.conf.set(CLEAN, held)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._scratch_path = path
         return out
