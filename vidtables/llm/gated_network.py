@@ -15,7 +15,8 @@ from vidtables.llm.words import LOWER, U, Words, mix
 WINDOW, STRIDE = 20, 10
 WORDS, GRAMS = 1 << 14, 1 << 15  # sizes of the hashed tables
 DIM, HIDDEN = 8, 8
-TOGETHER = 4096  # windows scored at once
+TOGETHER = 2048  # windows scored at once
+CHUNK = 1 << 15  # distinct words whose n-grams are found at once
 F32 = np.float32
 
 
@@ -28,29 +29,35 @@ class Lexicon:
     """Distinct words of some texts: their place in the word table and their n-grams' in the gram table."""
 
     def __init__(self, w: Words):
-        _, first, self.inverse = np.unique(w.hash, return_index=True, return_inverse=True)
-        self.word = (w.hash[first] % U(WORDS)).astype(np.int64)
+        _, first, inverse = np.unique(w.hash, return_index=True, return_inverse=True)
+        self.inverse = inverse.astype(np.int32)
+        self.word = (w.hash[first] % U(WORDS)).astype(np.int32)
         start, n = w.start[first], w.end[first] - w.start[first]
+        parts = [self.grams(w.data, start[lo : lo + CHUNK], n[lo : lo + CHUNK]) for lo in range(0, len(n), CHUNK)]
+        self.gram = np.concatenate([g for g, _ in parts]) if parts else np.zeros(0, np.int32)
+        self.count = np.concatenate([c for _, c in parts]) if parts else np.zeros(0, np.int64)
+        self.first_gram = np.cumsum(self.count) - self.count
+
+    @staticmethod
+    def grams(data: np.ndarray, start: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The n-grams' places of some words, one word after the other, and their number for each word."""
         at = np.cumsum(n) - n
         place = np.arange(n.sum()) - np.repeat(at, n)
-        b = LOWER[w.data[np.repeat(start, n) + place]].astype(np.uint64) if len(n) else np.zeros(0, np.uint64)
+        b = LOWER[data[np.repeat(start, n) + place]].astype(np.uint64)
         of, size = np.repeat(np.arange(len(n)), n), np.repeat(n, n)
         padded = np.concatenate((b, np.zeros(5, np.uint64)))
         m = len(b)
         three = padded[:m] << U(16) | np.where(place + 1 < size, padded[1 : m + 1], 0) << U(8) | np.where(place + 2 < size, padded[2 : m + 2], 0)
-        grams, owner = [mix(three)[(place + 2 < size) | (place == 0)]], [of[(place + 2 < size) | (place == 0)]]
+        whole = (place + 2 < size) | (place == 0)
+        found, owner = [mix(three)[whole]], [of[whole]]
         for length in (4, 5):
             own = at[n >= length]
             x = np.full(len(own), length, np.uint64)
             for j in range(length):
                 x = x << U(8) | padded[own + j]
-            grams.append(mix(x)), owner.append(np.flatnonzero(n >= length))
+            found.append(mix(x)), owner.append(np.flatnonzero(n >= length))
         owner = np.concatenate(owner)
-        order = np.argsort(owner, kind="stable")
-        self.gram = (np.concatenate(grams)[order] % U(GRAMS)).astype(np.int64)
-        self.owner = owner[order]
-        self.count = np.bincount(owner, minlength=len(n))
-        self.first_gram = np.cumsum(self.count) - self.count
+        return (np.concatenate(found)[np.argsort(owner, kind="stable")] % U(GRAMS)).astype(np.int32), np.bincount(owner, minlength=len(n))
 
 
 def windows(n: int) -> np.ndarray:
@@ -77,19 +84,23 @@ class Network:
         out = np.empty((len(lex.word), 2 * DIM), F32)
         out[:, :DIM] = self.p["word"][lex.word]
         if len(lex.word):
-            out[:, DIM:] = np.add.reduceat(self.p["gram"][lex.gram], lex.first_gram) / lex.count[:, None]
+            for lo in range(0, len(out), CHUNK):
+                some = slice(lex.first_gram[lo], lex.first_gram[lo + CHUNK] if lo + CHUNK < len(out) else None)
+                sums = np.add.reduceat(self.p["gram"][lex.gram[some]], lex.first_gram[lo : lo + CHUNK] - lex.first_gram[lo])
+                out[lo : lo + CHUNK, DIM:] = sums / lex.count[lo : lo + CHUNK, None]
         return out
 
     def logits(self, lex: Lexicon, at: np.ndarray, n: np.ndarray) -> np.ndarray:
         """Scores of windows: at, the place in the text's words of each first word; n, their words, 1 at least."""
         x = self.inputs(lex)
-        project = {d: np.append(x @ self.p[f"x{d}"] + self.p[f"c{d}"], np.zeros((1, 3 * HIDDEN), F32), 0) for d in "fb"}
+        x = np.append(x, np.zeros((1, 2 * DIM), x.dtype), 0)  # the last stands for no word
+        project = {d: x @ self.p[f"x{d}"] + self.p[f"c{d}"] for d in "fb"}
         out = np.empty(len(at), F32)
         step = np.arange(WINDOW)
         for lo in range(0, len(at), TOGETHER):
             a, m = at[lo : lo + TOGETHER], n[lo : lo + TOGETHER]
             inside = step < m[:, None]
-            word = np.where(inside, lex.inverse[np.minimum(a[:, None] + step, len(lex.inverse) - 1)], len(x))
+            word = np.where(inside, lex.inverse[np.minimum(a[:, None] + step, len(lex.inverse) - 1)], len(x) - 1)
             full = bool(inside.all())
             states = np.empty((WINDOW, len(a), 2 * HIDDEN), F32)
             for d, order in (("f", range(WINDOW)), ("b", range(WINDOW - 1, -1, -1))):
@@ -188,9 +199,11 @@ class Network:
         at, of = np.concatenate(starts), np.repeat(np.arange(len(texts)), list(map(len, starts)))
         size, y = np.minimum(n[texts][of], WINDOW), labels[texts].astype(F32)
         begin = np.searchsorted(of, np.arange(len(texts)))
-        odds = np.append(self.log_odds(lex, w.first, labels), -99.0)
-        words = np.where(np.arange(WINDOW) < size[:, None], lex.inverse[np.minimum(at[:, None] + np.arange(WINDOW), len(lex.inverse) - 1)], len(lex.word))
-        score = np.sort(odds[words], 1)[:, -1]
+        odds = self.log_odds(lex, w.first, labels)[lex.inverse]
+        score = np.full(len(at), -99.0)
+        for step in range(WINDOW):
+            own = step < size
+            score[own] = np.maximum(score[own], odds[at[own] + step])
         m1 = {k: np.zeros_like(x) for k, x in self.p.items()}
         m2 = {k: np.zeros_like(x) for k, x in self.p.items()}
         step = 0
@@ -221,21 +234,20 @@ class Network:
     @staticmethod
     def log_odds(lex: Lexicon, first: np.ndarray, labels: np.ndarray) -> np.ndarray:
         """For each distinct word the highest log odds of label 1, by texts, of the word or one of its n-grams."""
-        text = np.repeat(np.arange(len(labels)), np.diff(first))
-        pair = np.unique(text * len(lex.word) + lex.inverse)
-        text, word = pair // max(len(lex.word), 1), pair % max(len(lex.word), 1)
         total = np.array([max(np.sum(labels == 0), 1), max(np.sum(labels == 1), 1)])
+        words, grams = np.zeros((2, WORDS)), np.zeros((2, GRAMS))
+        for i, y in enumerate(labels):
+            own = np.unique(lex.inverse[first[i] : first[i + 1]])
+            words[y, np.unique(lex.word[own])] += 1
+            n = lex.count[own]
+            place = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(lex.first_gram[own], n)
+            grams[y, np.unique(lex.gram[place])] += 1
 
-        def odds(texts: np.ndarray, feature: np.ndarray, size: int) -> np.ndarray:
-            own = np.unique(texts * size + feature)
-            n = np.stack([np.bincount((own % size)[labels[own // size] == y], minlength=size) for y in (0, 1)])
+        def odds(n: np.ndarray) -> np.ndarray:
             rate = (n + 0.5) / (total[:, None] + 1)
             return np.log(rate[1] / rate[0]) * (1 - np.exp(-n.sum(0) / 3))
 
-        by_word = odds(text, lex.word[word], WORDS)[lex.word]
-        grams = np.repeat(text, lex.count[word])
-        place = np.arange(len(grams)) - np.repeat(np.cumsum(lex.count[word]) - lex.count[word], lex.count[word]) + np.repeat(lex.first_gram[word], lex.count[word])
-        by_gram = odds(grams, lex.gram[place], GRAMS)[lex.gram]
+        by_word, by_gram = odds(words)[lex.word], odds(grams)[lex.gram]
         return np.maximum(by_word, np.maximum.reduceat(by_gram, lex.first_gram)) if len(by_word) else by_word
 
     def score_texts(self, w: Words) -> np.ndarray:

@@ -1,6 +1,6 @@
 """Toxicity of whole texts, by a bidirectional gated recurrent network with attention pooling.
 
-The network is trained in numpy on the driver from a bounded sample of labelled rows: at most
+The network is trained in numpy, in one task, from a bounded sample of labelled rows: at most
 `positives` and `negatives` documents of each label, in the order of a hash of their id, each
 of at most `longest` characters. Scoring covers every text whole: all overlapping windows of
 20 words, 10 words apart; a text's score is its highest window's. Scoring is one pass without
@@ -14,6 +14,7 @@ of the untrained network. Extra columns are left out by score() and kept by drop
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 from functools import partial
 
@@ -30,19 +31,27 @@ def train(
     docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", positives: int = 1500, negatives: int = 2000, longest: int = 12_000
 ) -> Network:
     """A network trained on a bounded sample: at most positives + negatives texts of at most longest characters."""
-    network = Network()
     marked = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("y")).where("id is not null and y is not null")
     sample = None
     for y, most in ((1, positives), (0, negatives)):
         part = marked.where(F.col("y") == y).orderBy(F.xxhash64("id"), "id").limit(most)
         sample = part if sample is None else sample.union(part)
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where(F.length("text") <= longest)
-    found = texts.join(F.broadcast(sample), "id").limit(2 * (positives + negatives)).toArrow().sort_by("id")  # at most positives + negatives ids
-    y = found.column("y").to_numpy()
-    if len(set(y.tolist())) == 2:
-        data, offsets = utf8(found.column("text"))
-        network.fit(Words(data, offsets), y)
-    return network
+    found = texts.join(F.broadcast(sample), "id").limit(2 * (positives + negatives))  # at most positives + negatives ids
+    model = found.select("id", "text", "y").repartition(1).mapInArrow(fit_batches, "model binary").first()
+    return pickle.loads(model[0]) if model else Network()
+
+
+def fit_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The pickled network learnt from all rows (id, text, y), which are few."""
+    rows = list(batches)
+    network = Network()
+    if rows:
+        table = pa.Table.from_batches(rows).sort_by("id")
+        y = table.column("y").to_numpy()
+        if len(set(y.tolist())) == 2:
+            network.fit(Words(*utf8(table.column("text"))), y)
+    yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(network)], pa.binary())], names=["model"])
 
 
 def scores(column: pa.Array, network: Network) -> np.ndarray:
