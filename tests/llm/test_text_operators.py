@@ -109,6 +109,32 @@ def test_near_duplicates_with_a_large_group(spark):
     assert {r.doc_id: r.component_id for r in got.collect()} == comp
 
 
+def test_near_duplicates_inside_a_group(spark):
+    """Two of a group link with each other and not with its leader; their prefix is the head's 3 of 11 shingles,
+    once private and once with one shingle that another document has. Each row is a batch, so no shingle is frequent."""
+    rng = random.Random(7)
+
+    def some(n):
+        return [f"g{rng.randrange(10**6)}" for _ in range(n)]
+
+    def first(w):
+        batch = pa.RecordBatch.from_arrays([pa.array([0]), pa.array([" ".join(w)])], names=["id", "text"])
+        return next(ngram_join.set_rows(batch, 5))[1]
+
+    rows = []
+    for at in (0, 10):
+        head = next(w for w in iter(lambda: some(7), None) if int(first(w).max()) < 2**64 // 5)
+        leads = lambda w: (first(w)[:3] == first(head)).all()  # noqa: E731,B023
+        leader, a = (next(w for w in iter(lambda: head + some(8), None) if leads(w)) for _ in range(2))  # noqa: B023
+        b = next(w for w in iter(lambda: a[:-1] + some(1), None) if leads(w))  # noqa: B023
+        rows += [(at + i, " ".join(w)) for i, w in enumerate((leader, a, b), 1)]
+    rows.append((19, " ".join(head[:5])))
+    comp, _ = brute_components(rows)
+    assert comp == {1: 1, 2: 2, 3: 2, 11: 11, 12: 12, 13: 12, 19: 19}
+    docs = spark.createDataFrame(spark.sparkContext.parallelize(rows, len(rows)), "doc_id long, text string")
+    assert {r.doc_id: r.component_id for r in ngram_join.near_duplicates(docs).collect()} == comp
+
+
 def test_one_of_each_keeps_columns(docs, none):
     kept = ngram_join.one_of_each(docs)
     assert kept.columns == docs.columns

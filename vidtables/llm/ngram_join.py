@@ -5,15 +5,18 @@ hash first, those that many documents share last. Two sets that link must share
 their prefixes, the first n - ceil(percent * n / 100) + 1 shingles. The steps:
 
 1. Documents with equal sets form a class; classes with identical prefixes and size a group.
-2. Groups post their prefixes. Shingles that only one group posts go.
+2. Groups post their prefixes. Shingles that only one group posts go; classes of one group share
+   all of them, so they meet by their group instead.
 3. Each posting list has a pivot, one of its groups by hash. Every group is verified against
    the one of its lists' pivots that it may share most shingles with, and every class against
    its group's leader. Two more rounds try groups that aren't in a list's main component
-   against pivots of it, so that large groups of near copies hang together by few pairs.
+   against pivots of it, and classes against one of their group's main component, so that
+   large groups of near copies hang together by few pairs.
 4. What is still apart is compared in full: groups of one list are expanded to their classes,
    and pairs in different components so far that pass the size, position, bitmap and count
    filters are verified. Of a list's main component only pairs with the others are made. The
    count filter: what the prefixes share and what lies behind them must be enough to link.
+   Classes of one group that are apart are paired by the group, with the size and bitmap filters.
 
 The bitmap filter bounds what two sets share: each set flips one of BITS bits for each of its
 shingles, and two sets differ in at least as many shingles as their bitmaps do in bits.
@@ -200,6 +203,13 @@ class GroupedPrefixJoin:
         shared = posts.groupBy("token").agg(F.min("gid").alias("lo"), F.max("gid").alias("hi")).where("lo < hi").select("token")
         return self.scratch.save(posts.join(shared, "token", "left_semi"))
 
+    def split_groups(self, found: DataFrame) -> DataFrame:
+        """Classes of groups that are in several components of found, with the main one of their group and a pivot of it."""
+        comp = self.classes_.join(found, F.col("rep") == F.col("v"), "left").select("rep", "gid", "n", *LANES, F.coalesce("component", "rep").alias("comp"))
+        of_comp = comp.groupBy("gid", "comp").agg(F.count("*").alias("c"), F.min(F.struct(F.xxhash64("rep"), "rep")).alias("p"))
+        main = of_comp.groupBy("gid").agg(F.max(F.struct("c", "comp", "p")).alias("m"), F.count("*").alias("comps")).where("comps > 1")
+        return comp.join(main.select("gid", F.col("m.comp").alias("main"), F.col("m.p.rep").alias("pivot")), "gid")
+
     def near_pivots(self, found: DataFrame | None, done: DataFrame | None) -> DataFrame:
         """Each group with the pivot that it may share most with. At first pivots are any groups, and
         classes come with their leaders; later pivots are of their list's main component, and only
@@ -220,9 +230,12 @@ class GroupedPrefixJoin:
         bound = bound.select("gid", "pivot", F.least("gid", "pivot").alias("a"), F.greatest("gid", "pivot").alias("b"), (F.col("n") + F.col("p_n") - 2 * F.col("most")).alias("apart"))
         if done is not None:
             bound = bound.join(done, ["a", "b"], "left_anti")
+            inside = self.split_groups(found).where("comp <> main").select(F.least("rep", "pivot").alias("a"), F.greatest("rep", "pivot").alias("b")).join(done, ["a", "b"], "left_anti")
         best = bound.groupBy("gid").agg(F.min(F.struct("apart", "a", "b")).alias("best")).select("best.a", "best.b")
         if found is None:
             best = best.union(self.classes_.where("rep <> gid").select(F.least("rep", "gid"), F.greatest("rep", "gid")))
+        else:
+            best = best.union(inside)
         return best.distinct()
 
     def left_apart(self, found: DataFrame, done: DataFrame) -> DataFrame:
@@ -235,14 +248,18 @@ class GroupedPrefixJoin:
         x, y = mixed.alias("x"), mixed.where("comp <> main").alias("y")
         need = self.need("x.n", "y.n")
         may = [
-            "x.token = y.token and x.comp <> y.comp and (x.comp = x.main or x.rep < y.rep)",
+            "x.token = y.token and x.gid <> y.gid and x.comp <> y.comp and (x.comp = x.main or x.rep < y.rep)",
             f"100 * least(x.n, y.n) >= {self.percent} * greatest(x.n, y.n)",
             f"least(x.n - x.pos, y.n - y.pos) + least(x.pos, y.pos) >= {need}",
             f"{self.shared_at_most('x.', 'y.')} >= {need}",
         ]
         shared = x.join(y, F.expr(" and ".join(may))).select(F.least("x.rep", "y.rep").alias("a"), F.greatest("x.rep", "y.rep").alias("b"), F.expr(f"{need} - greatest({self.behind('x.n')}, {self.behind('y.n')})").alias("least"))
         pairs = shared.groupBy("a", "b").agg(F.count("*").alias("c"), F.min("least").alias("least")).where("c >= least").select("a", "b")
-        return pairs.join(done, ["a", "b"], "left_anti")
+        split = self.scratch.save(self.split_groups(found))
+        x, y = split.alias("x"), split.where("comp <> main").alias("y")
+        may[0], may[2] = "x.gid = y.gid and x.comp <> y.comp and (x.comp = x.main or x.rep < y.rep)", "true"
+        inside = x.join(y, F.expr(" and ".join(may))).select(F.least("x.rep", "y.rep").alias("a"), F.greatest("x.rep", "y.rep").alias("b"))
+        return pairs.union(inside).distinct().join(done, ["a", "b"], "left_anti")
 
     def result(self) -> DataFrame:
         """(id, n_shingles, component_id) of each row."""
