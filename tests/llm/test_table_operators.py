@@ -52,6 +52,17 @@ def test_url_model_learns_from_labels(spark):
     assert url_filters.train(df.where("blocked")).trees is None
 
 
+def test_url_statistics_cover_all_labels_and_values(spark):
+    """Only the domain tells the label, and there are more domains than the sample has rows."""
+    rng = random.Random(3)
+    said = [rng.random() < 0.5 for _ in range(600)]
+    rows = [(i, f"http://h{i % 600:03d}.org/a?x={i:04d}", said[i % 600]) for i in range(2400)]
+    df = url_filters.parts(spark.createDataFrame(rows, "page_id long, url string, blocked boolean"))
+    got = url_filters.train(df, most=300).score(df).collect()
+    assert len(got) == len(rows)
+    assert sum((r.score >= 0.5) == r.blocked for r in got) >= 2350
+
+
 def test_preferences(spark):
     said = [("user", "q"), ("assistant", "same"), ("user", "more"), ("assistant", "good")]
     other = [*said[:2], ("user", "more"), ("assistant", "bad"), ("user", "so?")]

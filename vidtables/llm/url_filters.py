@@ -6,8 +6,9 @@ for training is bounded by `most` rows, taken in the order of a hash of the URL.
 
 Features: lengths of URL, host and path, depth, digit ratio, entropy of characters, hyphens,
 host labels, query parameters, scheme, and for the host's last label, its last two labels and
-the path's first segment the smoothed share of blocked URLs and the count in the sample.
-These statistics are kept for the SUFFIXES most frequent values of each kind.
+the path's first segment the smoothed share of blocked URLs and the count. These statistics
+come from all labelled URLs and keep all values, in a table in the shared folder; URLs are
+joined with it by value, which SALTS parts of each value share.
 
 Host: after the first "://" up to "/", "?", "#" or the end, A-Z lower-cased; path: from there
 up to "?", "#" or the end. A null URL, or one without "://", has both empty. A rule "host/path"
@@ -26,7 +27,9 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-SUFFIXES = 200
+from vidtables.llm.scratch import Scratch
+
+SALTS = 16
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 KINDS = ("last_label", "last_two", "head")
 
@@ -81,20 +84,21 @@ FEATURES = ["f_length", "f_host", "f_path", "f_depth", "f_digits", "f_entropy",
 
 @dataclass
 class UrlModel:
-    """Suffix statistics (kind -> value -> (share blocked, count)) and the trees; None: always allow."""
+    """Suffix statistics (kind, value, share blocked, count) and the trees; None: always allow."""
 
-    statistics: dict[str, dict[str, tuple[float, float]]]
+    statistics: DataFrame | None
     trees: GBTClassificationModel | None
 
     def features(self, urls: DataFrame) -> DataFrame:
         """urls from lexical() with the statistics and their vector."""
         names = list(FEATURES)
-        for kind, known in self.statistics.items():
-            for k, name in enumerate(("share", "count")):
-                table = [F.lit(x) for value, pair in known.items() for x in (value, pair[k])]
-                found = F.element_at(F.create_map(*table), F.col(kind)) if table else F.lit(None).cast("double")
-                urls = urls.withColumn(f"f_{kind}_{name}", F.coalesce(found, F.lit((0.5, 0.0)[k])))
-                names.append(f"f_{kind}_{name}")
+        salts = F.explode(F.array(*map(F.lit, range(SALTS)))).alias("_salt")
+        urls = urls.withColumn("_salt", F.pmod(F.xxhash64("url"), F.lit(SALTS)).cast("int"))
+        for kind in KINDS:
+            share, count = f"f_{kind}_share", f"f_{kind}_count"
+            known = self.statistics.where(F.col("kind") == kind).select(F.col("value").alias(kind), F.col("share").alias(share), F.col("n").alias(count), salts)
+            urls = urls.join(known, [kind, "_salt"], "left").fillna({share: 0.5, count: 0.0})
+            names += [share, count]
         return VectorAssembler(inputCols=names, outputCol="_features").transform(urls)
 
     def score(self, urls: DataFrame) -> DataFrame:
@@ -106,18 +110,18 @@ class UrlModel:
 
 
 def train(labelled: DataFrame, most: int = 10_000, iterations: int = 8, depth: int = 4) -> UrlModel:
-    """A model from labelled URLs (url, host, path, blocked), of which at most `most` are used."""
-    sample = lexical(labelled.where("blocked is not null").select("url", "host", "path", F.col("blocked").cast("double").alias("label")).orderBy(F.xxhash64("url"), "url").limit(most)).cache()
+    """A model from labelled URLs (url, host, path, blocked): statistics of all, trees from at most `most` of them."""
+    rows = labelled.where("blocked is not null").select("url", "host", "path", F.col("blocked").cast("double").alias("label"))
+    values = lexical(rows).select("label", F.explode(F.array(*[F.struct(F.lit(k).alias("kind"), F.col(k).alias("value")) for k in KINDS])).alias("v")).select("label", "v.*")
+    counts = Scratch(labelled.sparkSession, "url-statistics").save(values.groupBy("kind", "value").agg(F.count("*").cast("double").alias("n"), F.sum("label").alias("k")))
+    rate = counts.where(F.col("kind") == KINDS[0]).agg(F.sum("k") / F.sum("n")).first()[0]
+    if rate is None or not 0 < rate < 1:
+        return UrlModel(None, None)
+    model = UrlModel(counts.select("kind", "value", ((F.col("k") + 2 * rate) / (F.col("n") + 2)).alias("share"), "n"), None)
+    sample = model.features(lexical(rows.orderBy(F.xxhash64("url"), "url").limit(most))).select("_features", "label").cache()
     try:
-        rate = sample.agg(F.avg("label")).first()[0]
-        if rate is None or not 0 < rate < 1:
-            return UrlModel({}, None)
-        statistics = {}
-        for kind in KINDS:
-            top = sample.groupBy(kind).agg(F.count("*").cast("double").alias("n"), F.sum("label").alias("k")).orderBy(F.desc("n"), kind).limit(SUFFIXES)
-            statistics[kind] = {r[0]: ((r["k"] + 2 * rate) / (r["n"] + 2), r["n"]) for r in top.collect()}
-        model = UrlModel(statistics, None)
-        model.trees = GBTClassifier(featuresCol="_features", labelCol="label", maxIter=iterations, maxDepth=depth, seed=7).fit(model.features(sample).select("_features", "label"))
+        if 0 < sample.agg(F.avg("label")).first()[0] < 1:
+            model.trees = GBTClassifier(featuresCol="_features", labelCol="label", maxIter=iterations, maxDepth=depth, seed=7).fit(sample)
         return model
     finally:
         sample.unpersist()
