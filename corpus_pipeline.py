@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from vidtables.llm import decontamination, ngram_join, quality_rules, sentencepiece_bpe, toxicity
 from vidtables.llm.queries import PIECES, table
+from vidtables.llm.scratch import Scratch
 
 
 def clean_of_toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -46,8 +47,8 @@ ORACLE_SQL = None  # a trained network and an encoder aren't SQL; tests/llm comp
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents."""
-    docs = table(spark, sf_dir, "documents")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    """All stages over documents. What one hands to the next is written to the shared folder and read from there."""
+    docs, scratch = table(spark, sf_dir, "documents"), Scratch(spark, "pipeline")
+    for _, stage in STAGES[:-1]:
+        docs = scratch.save(stage(spark, docs, sf_dir))
+    return STAGES[-1][1](spark, docs, sf_dir)

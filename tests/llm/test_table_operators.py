@@ -142,6 +142,19 @@ def test_query_equals_sql(spark, name):
 
 
 @pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
+def test_pipeline_stages_read_what_was_written(spark, monkeypatch):
+    read = []
+
+    def stage(spark, docs, sf_dir):
+        read.append(docs.inputFiles())
+        return docs.where("doc_id % 2 = 0")
+
+    monkeypatch.setattr(corpus_pipeline, "STAGES", [("a", stage), ("b", stage), ("c", stage)])
+    got = corpus_pipeline.run(spark, SF)
+    assert [any("documents.parquet" in f for f in files) for files in read] == [True, False, False]
+    assert got.count() == queries.table(spark, SF, "documents").where("doc_id % 2 = 0").count()
+
+
 def test_pipeline_equals_its_parts(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     labels = spark.read.parquet(f"{SF}/labels.parquet").where(~toxicity.held_out())
