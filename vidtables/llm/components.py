@@ -12,19 +12,24 @@ def _state(edges: DataFrame) -> tuple:
     return tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
 
 
-def _large_star(edges: DataFrame) -> DataFrame:
+def _large_star(edges: DataFrame, scratch: Scratch) -> DataFrame:
     """Links each vertex's larger neighbours to the least vertex around it."""
     both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-    return both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    least = scratch.save(both.groupBy("u").agg(F.min("v").alias("v")).select("u", F.least("u", "v").alias("m")))
+    # the least are written, so that a hub's edges meet their one row in a plain join, which Spark splits
+    out = scratch.save(both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")))
+    scratch.drop(least)
+    return out
 
 
-def _small_star(edges: DataFrame) -> DataFrame:
+def _small_star(edges: DataFrame, scratch: Scratch) -> DataFrame:
     """Links each vertex and its smaller neighbours to the least of them."""
     down = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u > v")
-    least = down.groupBy("u").agg(F.min("v").alias("m"))
+    least = scratch.save(down.groupBy("u").agg(F.min("v").alias("m")))
     moved = down.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
-    return moved.union(least.select("u", F.col("m").alias("v"))).distinct()
+    out = scratch.save(moved.union(least.select("u", F.col("m").alias("v"))).distinct())
+    scratch.drop(least)
+    return out
 
 
 def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
@@ -37,9 +42,10 @@ def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
     now = scratch.save(edges.select(F.col(edges.columns[0]).alias("u"), F.col(edges.columns[1]).alias("v")).where("u <> v").distinct())
     state = _state(now)
     while state[0]:
-        then, now = now, scratch.save(_small_star(_large_star(now)))
+        then, large = now, _large_star(now, scratch)
+        now = _small_star(large, scratch)
         before, state = state, _state(now)
-        scratch.drop(then)
+        scratch.drop(then), scratch.drop(large)
         if state == before:
             break
     return now.select(F.col("u").alias("v"), F.col("v").alias("component"))

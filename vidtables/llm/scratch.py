@@ -2,12 +2,34 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from contextlib import contextmanager
+
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 
 from vidtables.sources.shared import shared_path
 
+#: What is shuffled for a table isn't read again, so its files go when the table is written; and Arrow
+#: batches are small, because executors hold several of them at once beside what a task makes of them.
+WHILE_WRITING = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxBytesPerBatch": "8m"}
+
 
-CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+@contextmanager
+def settings(spark: SparkSession, wanted: dict[str, str]) -> Iterator[None]:
+    """The session with these settings, as far as this Spark has them; put back afterwards."""
+    held = {}
+    for key, value in wanted.items():
+        try:
+            held[key] = spark.conf.get(key)
+        except PySparkException:  # an older Spark
+            continue
+        spark.conf.set(key, value)
+    try:
+        yield
+    finally:
+        for key, value in held.items():
+            spark.conf.set(key, value)
 
 
 class Scratch:
@@ -22,14 +44,8 @@ class Scratch:
         """Writes df and reads it back, so that its lineage ends here."""
         self.n += 1
         path = f"{self.root}/{self.n}"
-        held = self.spark.conf.get(CLEAN, None)
-        if held is not None:
-            self.spark.conf.set(CLEAN, "true")  # what was shuffled for this table isn't read again
-        try:
+        with settings(self.spark, WHILE_WRITING):
             df.write.parquet(path)
-        finally:
-            if held is not None:
-                self.spark.conf.set(CLEAN, held)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._scratch_path = path
         return out
