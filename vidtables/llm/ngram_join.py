@@ -15,8 +15,11 @@ their prefixes, the first n - ceil(percent * n / 100) + 1 shingles. The steps:
 4. What is still apart is compared in full: groups of one list are expanded to their classes,
    and pairs in different components so far that pass the size, position, bitmap and count
    filters are verified. Of a list's main component only pairs with the others are made. The
-   count filter: what the prefixes share and what lies behind them must be enough to link.
-   Classes of one group that are apart are paired by the group, with the size and bitmap filters.
+   position filter takes the list's shingle for the first that a pair shares, so that a pair
+   comes out of few of its lists; of two that link, the list of their first shared shingle
+   makes the pair. The count filter: what the prefixes share and what lies behind them must be
+   enough to link. Classes of one group that are apart are paired by the group, with the size
+   and bitmap filters.
 
 The bitmap filter bounds what two sets share: each set flips one of BITS bits for each of its
 shingles, and two sets differ in at least as many shingles as their bitmaps do in bits.
@@ -41,14 +44,15 @@ from functools import partial
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from vidtables.llm.components import components
-from vidtables.llm.scratch import Scratch
+from vidtables.llm.scratch import WHILE_WRITING, Scratch, settings
 from vidtables.llm.words import Words, slices, utf8
 
 HOT = 1 << 18
+TOGETHER = 1 << 21  # shingles counted at once
 ROUNDS = 3
 BITS = 512
 LANES = [f"b{i}" for i in range(BITS // 64)]
@@ -65,12 +69,23 @@ def set_rows(batch: pa.RecordBatch, k: int) -> Iterator[tuple[int, np.ndarray]]:
 
 
 def frequent_batches(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
-    """Shingles of at least 3 documents of a batch, with their counts."""
-    for batch in batches:
-        sets = [x for _, x in set_rows(batch, k)]
-        token, n = np.unique(np.concatenate(sets), return_counts=True) if sets else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+    """Shingles of at least 3 documents of about TOGETHER shingles, with their counts."""
+
+    def counted(sets: list[np.ndarray]) -> pa.RecordBatch:
+        token, n = np.unique(np.concatenate(sets), return_counts=True)
         keep = n >= 3
-        yield pa.RecordBatch.from_arrays([pa.array(token[keep].view(np.int64)), pa.array(n[keep].astype(np.int64))], names=["token", "n"])
+        return pa.RecordBatch.from_arrays([pa.array(token[keep].view(np.int64)), pa.array(n[keep].astype(np.int64))], names=["token", "n"])
+
+    sets, held = [], 0
+    for batch in batches:
+        for _, x in set_rows(batch, k):
+            sets.append(x)
+            held += len(x)
+            if held >= TOGETHER:
+                yield counted(sets)
+                sets, held = [], 0
+    if sets:
+        yield counted(sets)
 
 
 def signature_batches(batches: Iterator[pa.RecordBatch], k: int, percent: int, hot: np.ndarray) -> Iterator[pa.RecordBatch]:
@@ -124,7 +139,7 @@ def set_batches(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.Record
         for i, x in set_rows(batch, k):
             rows.append(x.tobytes())
             size += len(rows[-1])
-            if size > 1 << 24 or i == len(batch) - 1:
+            if size > 1 << 22 or i == len(batch) - 1:
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, len(rows)), pa.array(rows, pa.binary())], names=["id", "hashes"])
                 lo, rows, size = i + 1, [], 0
 
@@ -153,7 +168,8 @@ class GroupedPrefixJoin:
     def frequent(self) -> np.ndarray:
         """The HOT most frequent shingles, rarest first; a bounded table."""
         found = self.docs.mapInArrow(partial(frequent_batches, k=self.k), "token long, n long")
-        top = found.groupBy("token").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "token").limit(HOT).toArrow()
+        with settings(self.spark, WHILE_WRITING):
+            top = found.groupBy("token").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "token").limit(HOT).toArrow()
         return top.column("token").to_numpy().view(np.uint64)[::-1].copy()
 
     def need(self, n: str, m: str) -> str:
@@ -200,8 +216,9 @@ class GroupedPrefixJoin:
         leaders = self.classes_.where("rep = gid").select("gid", "key")
         posts = self.sigs.join(leaders, (self.sigs.id == leaders.gid) & (self.sigs.key == leaders.key), "left_semi")
         posts = posts.select(F.col("id").alias("gid"), "n", F.posexplode("prefix").alias("pos", "token"))
-        shared = posts.groupBy("token").agg(F.min("gid").alias("lo"), F.max("gid").alias("hi")).where("lo < hi").select("token")
-        return self.scratch.save(posts.join(shared, "token", "left_semi"))
+        of_token = Window.partitionBy("token")
+        shared = posts.select("*", F.min("gid").over(of_token).alias("lo"), F.max("gid").over(of_token).alias("hi")).where("lo < hi")
+        return self.scratch.save(shared.drop("lo", "hi"))
 
     def split_groups(self, found: DataFrame) -> DataFrame:
         """Classes of groups that are in several components of found, with the main one of their group and a pivot of it."""
@@ -250,16 +267,24 @@ class GroupedPrefixJoin:
         may = [
             "x.token = y.token and x.gid <> y.gid and x.comp <> y.comp and (x.comp = x.main or x.rep < y.rep)",
             f"100 * least(x.n, y.n) >= {self.percent} * greatest(x.n, y.n)",
-            f"least(x.n - x.pos, y.n - y.pos) + least(x.pos, y.pos) >= {need}",
+            f"least(x.n - x.pos, y.n - y.pos) >= {need}",
             f"{self.shared_at_most('x.', 'y.')} >= {need}",
         ]
-        shared = x.join(y, F.expr(" and ".join(may))).select(F.least("x.rep", "y.rep").alias("a"), F.greatest("x.rep", "y.rep").alias("b"), F.expr(f"{need} - greatest({self.behind('x.n')}, {self.behind('y.n')})").alias("least"))
-        pairs = shared.groupBy("a", "b").agg(F.count("*").alias("c"), F.min("least").alias("least")).where("c >= least").select("a", "b")
+        pairs = x.join(y, F.expr(" and ".join(may))).select(F.least("x.rep", "y.rep").alias("a"), F.greatest("x.rep", "y.rep").alias("b")).distinct()
         split = self.scratch.save(self.split_groups(found))
         x, y = split.alias("x"), split.where("comp <> main").alias("y")
         may[0], may[2] = "x.gid = y.gid and x.comp <> y.comp and (x.comp = x.main or x.rep < y.rep)", "true"
         inside = x.join(y, F.expr(" and ".join(may))).select(F.least("x.rep", "y.rep").alias("a"), F.greatest("x.rep", "y.rep").alias("b"))
-        return pairs.union(inside).distinct().join(done, ["a", "b"], "left_anti")
+        return self.enough(self.scratch.save(pairs.union(inside).distinct().join(done, ["a", "b"], "left_anti")))
+
+    def enough(self, pairs: DataFrame) -> DataFrame:
+        """Pairs whose prefixes share so much that, with what lies behind them, the sets may link."""
+        needed = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+        reps = self.classes_.select(F.col("rep").alias("id"), "key").join(needed, "id", "left_semi")
+        held = self.scratch.save(self.sigs.join(reps, ["id", "key"], "left_semi").select("id", "n", "prefix"))
+        x, y = (held.select(F.col("id").alias(a), F.col("n").alias(f"n{a}"), F.col("prefix").alias(f"p{a}")) for a in "ab")
+        shared = "size(array_intersect(pa, pb))"
+        return pairs.join(x, "a").join(y, "b").where(f"{shared} + greatest({self.behind('na')}, {self.behind('nb')}) >= {self.need('na', 'nb')}").select("a", "b").distinct()
 
     def result(self) -> DataFrame:
         """(id, n_shingles, component_id) of each row."""
