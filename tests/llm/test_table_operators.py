@@ -113,8 +113,17 @@ def test_warc_round_trip(spark):
     for r in warc.record_bytes(archive).collect():
         head, _, rest = bytes(r.record).partition(b"\r\n\r\n")
         fields = dict(x.split(b": ", 1) for x in head.split(b"\r\n")[1:])
+        assert (b"WARC-Profile" in fields) == (fields[b"WARC-Type"] == b"revisit")
         assert head.startswith(b"WARC/1.1\r\n") and rest.endswith(b"\r\n\r\n") and len(rest) - 4 == int(fields[b"Content-Length"])
     assert warc.round_trip(pages.limit(0)).count() == 0
+    assert "payload" not in warc.read_archive(spark, path, whole=False).columns
+
+
+def test_warc_with_repeated_ids(spark):
+    big = "b" * 1000
+    rows = [(1, "u", big), (5, "u", big), (5, "v", big), (5, "w", "other"), (1, "u", big)]
+    got = warc.round_trip(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert sorted((r.page_id, r.payload_bytes, r.record_type, r.refers_to) for r in got if r.verified) == [(1, 1000, "revisit", 5), (1, 1000, "revisit", 5), (5, 5, "response", None), (5, 1000, "response", None), (5, 1000, "response", None)]
 
 
 def test_components(spark):

@@ -20,21 +20,25 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vidtables.llm.scratch import Scratch
+from vidtables.llm.scratch import WHILE_WRITING, Scratch, settings
 
 END = "\r\n"
 RECORD_ID = "<urn:record:%s>"
+PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 
-def classify(pages: DataFrame, id_col: str, payload_col: str, url_col: str, smallest: int) -> DataFrame:
-    """id, url, payload (binary), sha256, sha1, n_bytes, record_type, refers_to and holds: whether this row's bytes are stored."""
+def hashed(pages: DataFrame, id_col: str, payload_col: str, url_col: str) -> DataFrame:
+    """id, url, payload (binary), sha256, sha1 and n_bytes of each row with an id."""
     payload = F.encode(F.coalesce(F.col(payload_col), F.lit("")), "UTF-8")
     rows = pages.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(url_col).alias("url"), payload.alias("payload"))
-    rows = rows.select("*", F.sha2("payload", 256).alias("sha256"), F.sha1("payload").alias("sha1"), F.octet_length("payload").cast("long").alias("n_bytes"))
-    last = rows.groupBy("sha256").agg(F.max("id").alias("last"))
-    own = rows.join(last, "sha256")
-    revisit = (F.col("n_bytes") >= smallest) & (F.col("id") != F.col("last"))
-    return own.select("id", "url", "payload", "sha256", "sha1", "n_bytes", F.when(revisit, "revisit").otherwise("response").alias("record_type"), F.when(revisit, F.col("last")).alias("refers_to"), (F.col("id") == F.col("last")).alias("holds"))
+    return rows.select("*", F.sha2("payload", 256).alias("sha256"), F.sha1("payload").alias("sha1"), F.octet_length("payload").cast("long").alias("n_bytes"))
+
+
+def classify(rows: DataFrame, holders: DataFrame, smallest: int) -> DataFrame:
+    """Rows of hashed() with record_type and refers_to, given the holder of each sha256."""
+    revisit = (F.col("n_bytes") >= smallest) & (F.col("id") != F.col("holder"))
+    own = rows.select("id", "url", "sha256", "sha1", "n_bytes").join(holders.select("sha256", "holder"), "sha256")
+    return own.select("*", F.when(revisit, "revisit").otherwise("response").alias("record_type"), F.when(revisit, F.col("holder")).alias("refers_to"))
 
 
 def _header(name: str, value: Column) -> Column:
@@ -54,7 +58,7 @@ def headers(date: str) -> Column:
         _header("WARC-Payload-Digest", F.concat(F.lit("sha1:"), "sha1")),
         _header("X-Payload-SHA256", F.col("sha256")),
         _header("X-Payload-Length", F.col("n_bytes").cast("string")),
-        F.when(response, F.lit("")).otherwise(_header("WARC-Refers-To", F.format_string(RECORD_ID, F.col("refers_to").cast("string")))),
+        F.when(response, F.lit("")).otherwise(F.concat(_header("WARC-Refers-To", F.format_string(RECORD_ID, F.col("refers_to").cast("string"))), _header("WARC-Profile", F.lit(PROFILE)))),
         _header("Content-Type", F.lit("text/html")),
         _header("Content-Length", block),
         F.lit(END),
@@ -62,16 +66,30 @@ def headers(date: str) -> Column:
 
 
 def write_archive(pages: DataFrame, path: str, id_col: str = "page_id", payload_col: str = "html", url_col: str = "url", smallest: int = 1000, date: str = "2000-01-01T00:00:00Z") -> None:
-    """Writes the tables `payloads` and `records` under path."""
-    rows = classify(pages, id_col, payload_col, url_col, smallest)
-    rows.where("holds").select("sha256", "payload").dropDuplicates(["sha256"]).write.parquet(f"{path}/payloads")
-    rows.select(F.encode(headers(date), "UTF-8").alias("header"), "sha256").write.parquet(f"{path}/records")
+    """Writes the tables `payloads` (sha256, payload, holder: the largest id that has it) and `records` under path.
+
+    Payloads are shuffled once, one copy at most from each task; all else is done on digests. The
+    holders are read from the written table, so that the rows of a page that is copied often meet
+    their one holder in a plain join, which Spark splits.
+    """
+    spark, rows = pages.sparkSession, hashed(pages, id_col, payload_col, url_col)
+    with settings(spark, WHILE_WRITING):
+        rows.groupBy("sha256").agg(F.max("id").alias("holder"), F.first("payload").alias("payload")).write.parquet(f"{path}/payloads", compression="zstd")
+        own = classify(rows, spark.read.parquet(f"{path}/payloads"), smallest)
+        own.select(F.encode(headers(date), "UTF-8").alias("header"), "sha256").write.parquet(f"{path}/records", compression="zstd")
+
 
+def read_archive(spark: SparkSession, path: str, whole: bool = True) -> DataFrame:
+    """header, payload_bytes, payload_digest and verified of each record, and the payload unless whole is False.
 
-def read_archive(spark: SparkSession, path: str) -> DataFrame:
-    """header, payload and verified of each record; verified: the stored bytes have their digest."""
-    payloads = spark.read.parquet(f"{path}/payloads").select("sha256", "payload", (F.sha2("payload", 256) == F.col("sha256")).alias("verified"))
-    return spark.read.parquet(f"{path}/records").join(payloads, "sha256", "left").select("header", "payload", F.coalesce("verified", F.lit(False)).alias("verified"))
+    Length, SHA-1 and the check against the SHA-256 are taken from each stored payload once; without
+    the payload only these go through the join.
+    """
+    payload = F.col("payload")
+    held = [F.octet_length(payload).cast("long").alias("payload_bytes"), F.sha1(payload).alias("payload_digest"), (F.sha2(payload, 256) == F.col("sha256")).alias("verified")]
+    payloads = spark.read.parquet(f"{path}/payloads").select("sha256", *[payload] * whole, *held)
+    records = spark.read.parquet(f"{path}/records").join(payloads, "sha256", "left").drop("sha256")
+    return records.withColumn("verified", F.coalesce("verified", F.lit(False)))
 
 
 def record_bytes(archive: DataFrame) -> DataFrame:
@@ -89,23 +107,22 @@ def field(name: str) -> Column:
 def parse(archive: DataFrame, id_type: str = "long") -> DataFrame:
     """page_id, payload_bytes, payload_digest, record_type, refers_to, verified of each record read back."""
     ids = lambda name: F.regexp_extract(field(name), "^<urn:record:(.*)>$", 1).cast(id_type)
-    rows = archive.select(F.decode("header", "UTF-8").alias("h"), "payload", "verified")
-    digest = F.sha1("payload")
+    rows = archive.select(F.decode("header", "UTF-8").alias("h"), "payload_bytes", "payload_digest", "verified")
     return rows.select(
         ids("WARC-Record-ID").alias("page_id"),
-        F.octet_length("payload").cast("long").alias("payload_bytes"),
-        digest.alias("payload_digest"),
+        "payload_bytes",
+        "payload_digest",
         field("WARC-Type").alias("record_type"),
         F.when(field("WARC-Refers-To").isNotNull(), ids("WARC-Refers-To")).alias("refers_to"),
-        (F.col("verified") & (field("WARC-Payload-Digest") == F.concat(F.lit("sha1:"), digest))).alias("verified"),
+        (F.col("verified") & (field("WARC-Payload-Digest") == F.concat(F.lit("sha1:"), "payload_digest"))).alias("verified"),
     )
 
 
 def round_trip(pages: DataFrame, id_col: str = "page_id", payload_col: str = "html", url_col: str = "url", smallest: int = 1000) -> DataFrame:
-    """Writes an archive of pages to the shared folder and reads it back."""
+    """Writes an archive of pages to the shared folder, where it stays, and reads it back."""
     path = f"{Scratch(pages.sparkSession, 'warc').root}"
     write_archive(pages, path, id_col, payload_col, url_col, smallest)
-    return parse(read_archive(pages.sparkSession, path), pages.schema[id_col].dataType.simpleString())
+    return parse(read_archive(pages.sparkSession, path, whole=False), pages.schema[id_col].dataType.simpleString())
 
 
 ORACLE = """
