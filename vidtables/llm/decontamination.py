@@ -3,18 +3,18 @@
 Every window of a document that has as many words as a benchmark item gets a SimHash of its
 words (128 bits, each word weighted by its count). A multi-index finds all items whose
 fingerprint lies within RADIUS bits: the fingerprint is cut in 8 blocks of 16 bits, and two
-fingerprints at most 31 bits apart agree in some block but for 3 bits (pigeonhole), so each
-item is listed in each block under all 697 values at most 3 bits from its own. Items found
+fingerprints at most 31 bits apart agree in some block but for 3 bits (pigeonhole), so a
+window looks in each block under all 697 values at most 3 bits from its own. Items found
 are then verified: weighted Jaccard of the word shingles of window and item, a shingle's
 weight being its number of occurrences, of at least percent.
 
 Windows that can't reach percent aren't hashed: weights shared with an item are at most the
-window's shingles that some item of that size holds, counted by running sums over the whole
-text. This drops no window that would pass the last step.
+window's shingles that any item holds, counted by running sums over the whole text. This
+drops no window that would pass the last step.
 
 The work is one pass over the documents without a shuffle. The benchmark is read in blocks of
-at most BLOCK characters, whose index every executor holds; each block is one pass, so a
-larger benchmark costs passes and never memory.
+at most BLOCK characters, one after the other; a block's index takes about 4 bytes a character
+and 60 an item, on the driver and in each worker. Each block is one more pass.
 
 Definitions: words are runs other than ASCII white space, A-Z lower-cased. A text of fewer
 than k words has its whole sequence as one shingle. A document shorter than an item is one
@@ -38,7 +38,8 @@ from vidtables.llm.words import U, Words, mix, slices, utf8
 
 RADIUS = 31  # of 128 bits
 BLOCKS, WIDTH, NEAR = 8, 16, 3  # RADIUS < BLOCKS * (NEAR + 1)
-BLOCK = 1 << 21  # characters of benchmark held at once
+BLOCK = 1 << 23  # characters of benchmark held at once
+PROBES = 256  # windows looked up together
 AT_ONCE = 1 << 15  # words of the windows hashed together
 
 
@@ -68,30 +69,39 @@ class Benchmark:
         self.size = np.diff(w.first)
         self.ids = ids
         shingles, first = w.shingles(k)
-        self.counts = [dict(zip(*(z.tolist() for z in np.unique(shingles[first[i] : first[i + 1]], return_counts=True)), strict=True)) for i in range(len(ids))]
-        own = [i for i in range(len(ids)) if self.size[i]]
-        self.sizes = sorted({int(self.size[i]) for i in own})
+        owner = np.repeat(np.arange(len(ids)), np.diff(first))
+        order = np.lexsort((shingles, owner))
+        shingles, new = shingles[order], np.ones(len(order), bool)
+        new[1:] = (shingles[1:] != shingles[:-1]) | (owner[1:] != owner[:-1])
+        starts = np.flatnonzero(new)
+        self.shingles, self.weights = shingles[starts], np.diff(np.append(starts, len(order))).astype(np.int32)  # of each item, in order
+        self.first, self.total = np.searchsorted(owner[starts], np.arange(len(ids) + 1)), np.diff(first)
+        own = np.flatnonzero(self.size)
+        self.sizes = np.unique(self.size[own]).tolist()
         self.held = np.unique(shingles)
         self.may = np.zeros(1 << 16, bool)
         self.may[(self.held >> U(48)).astype(np.int64)] = True
         prints = np.zeros((len(ids), BLOCKS), np.uint16)
-        for i in own:
+        for i in own.tolist():
             prints[i] = fingerprints(w.hash[None, w.first[i] : w.first[i + 1]])[0]
         self.prints = prints
-        value = (prints[own][:, :, None] ^ flips()).astype(np.int64) + (np.arange(BLOCKS) << WIDTH)[None, :, None]
-        item = np.broadcast_to(np.array(own, np.int32).reshape(-1, 1, 1), value.shape).ravel() if own else np.zeros(0, np.int32)
-        order = np.argsort(value.ravel(), kind="stable")
-        self.items = item[order]
-        self.starts = np.searchsorted(value.ravel()[order], np.arange((BLOCKS << WIDTH) + 1))
+        value = (prints[own].astype(np.int64) + (np.arange(BLOCKS) << WIDTH)).ravel()
+        order = np.argsort(value, kind="stable")
+        self.items = np.repeat(own, BLOCKS)[order].astype(np.int32)
+        self.starts = np.searchsorted(value[order], np.arange((BLOCKS << WIDTH) + 1)).astype(np.int32)
 
     def within(self, prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(window, item) of all fingerprints at most RADIUS bits apart."""
-        at = prints.astype(np.int64) + (np.arange(BLOCKS) << WIDTH)
-        lo, n = self.starts[at], self.starts[at + 1] - self.starts[at]
-        n = n.ravel()
-        window = np.repeat(np.arange(len(prints)).repeat(BLOCKS), n)
-        place = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(lo.ravel(), n)
-        pair = np.unique(window.astype(np.int64) << 32 | self.items[place])
+        found = [np.zeros(0, np.int64)]
+        for some in range(0, len(prints), PROBES):
+            at = (prints[some : some + PROBES, :, None] ^ flips()).astype(np.int32) + (np.arange(BLOCKS, dtype=np.int32) << WIDTH)[:, None]
+            at = at.reshape(len(at), -1)
+            window, place = np.nonzero(self.starts[at + 1] > self.starts[at])
+            value = at[window, place]
+            lo, n = self.starts[value], self.starts[value + 1] - self.starts[value]
+            entry = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(lo, n)
+            found.append(np.unique((np.repeat(window, n) + some) << 32 | self.items[entry]))
+        pair = np.concatenate(found)
         window, item = pair >> 32, pair & 0xFFFFFFFF
         apart = np.bitwise_count(prints[window] ^ self.prints[item]).sum(1)
         return window[apart <= RADIUS], item[apart <= RADIUS]
@@ -99,9 +109,11 @@ class Benchmark:
     def similarity(self, shingles: np.ndarray, item: int) -> float:
         """Weighted Jaccard of a window's shingles and an item's."""
         token, n = np.unique(shingles, return_counts=True)
-        counts = self.counts[item]
-        common = sum(min(c, counts.get(t, 0)) for t, c in zip(token.tolist(), n.tolist(), strict=True))
-        return common / (len(shingles) + sum(counts.values()) - common)
+        own = slice(self.first[item], self.first[item + 1])
+        at = np.searchsorted(self.shingles[own], token)
+        at[at == own.stop - own.start] = 0
+        common = int(np.minimum(n, self.weights[own][at])[self.shingles[own][at] == token].sum())
+        return common / (len(shingles) + int(self.total[item]) - common)
 
     def search(self, hashes: np.ndarray, shingles: np.ndarray) -> dict[int, tuple[float, int, int]]:
         """Best window of one document for each item that it holds: similarity, first word, words."""
@@ -168,6 +180,7 @@ def search_rows(column: pa.Array, bench: Benchmark) -> Iterator[tuple[int, dict[
 
 
 def hit_batches(batches: Iterator[pa.RecordBatch], bench: Benchmark, item_type: pa.DataType) -> Iterator[pa.RecordBatch]:
+    """Rows of search_rows() with the id of each document (first column) and item."""
     for batch in batches:
         rows = [(r, bench.ids[i], *x) for r, found in search_rows(batch.column(1), bench) for i, x in sorted(found.items())]
         r, item, similarity, start, n = (list(z) for z in zip(*rows, strict=True)) if rows else ([], [], [], [], [])
@@ -201,9 +214,9 @@ def contaminated(
     docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", k: int = 5, percent: int = 75
 ) -> DataFrame:
     """(id, item, similarity, first_word, n_words) of each document and item that it holds, with the best window."""
-    kind, item_kind = docs.schema[id_col].dataType.simpleString(), benchmark.schema[item_col].dataType
-    item_type = pa.from_numpy_dtype(np.int64) if item_kind.simpleString() == "bigint" else {"int": pa.int32(), "string": pa.string()}[item_kind.simpleString()]
-    schema = f"id {kind}, item {item_kind.simpleString()}, similarity double, first_word long, n_words long"
+    kind, item_kind = docs.schema[id_col].dataType.simpleString(), benchmark.schema[item_col].dataType.simpleString()
+    item_type = benchmark.select(item_col).limit(0).toArrow().schema.field(0).type
+    schema = f"id {kind}, item {item_kind}, similarity double, first_word long, n_words long"
     picked = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     found = [picked.mapInArrow(partial(hit_batches, bench=bench, item_type=item_type), schema) for bench in blocks(benchmark, item_col, item_text, k, percent)]
     out = reduce(DataFrame.union, found) if found else docs.sparkSession.createDataFrame([], schema)
