@@ -6,6 +6,7 @@ limit, how many documents are longer and how many tokens remain when all are cut
 prefix sums give exact quantiles. The sums go in two levels, within blocks of SPAN lengths
 and over blocks, so no task gets all lengths.
 
+limits() has a row for each length that occurs; truncated_total() answers any other limit.
 Null and empty texts have 0 tokens. Repeated rows count as often as they come. An empty table
 gives no rows. Extra columns are left out. Special tokens' names in a text are ordinary text.
 """
@@ -20,8 +21,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from vidtables.llm.scratch import Scratch
+
 SPAN = 256
-CHARS = 1 << 20  # characters encoded together
 
 
 @cache
@@ -45,8 +47,9 @@ def lengths(docs: DataFrame, path: str, pattern: str, text_col: str = "text") ->
 
 
 def histogram(rows: DataFrame) -> DataFrame:
-    """(n_tokens, n_docs) from a row for each document."""
-    return rows.groupBy("n_tokens").agg(F.count("*").alias("n_docs"))
+    """(n_tokens, n_docs) from a row for each document. It is written to the shared folder, so that
+    documents are encoded once however often it is read."""
+    return Scratch(rows.sparkSession, "token-histogram").save(rows.groupBy("n_tokens").agg(F.count("*").alias("n_docs")))
 
 
 def limits(hist: DataFrame) -> DataFrame:
