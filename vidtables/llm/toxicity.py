@@ -54,20 +54,23 @@ def fit_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(network)], pa.binary())], names=["model"])
 
 
-def scores(column: pa.Array, network: Network) -> np.ndarray:
+def scores(column: pa.Array, network: Network) -> Iterator[tuple[int, np.ndarray]]:
+    """First row and scores of slices of a text column."""
     data, offsets = utf8(column)
-    out = [network.score_texts(Words(data, offsets, lo, hi)) for lo, hi in slices(offsets, 2 * PIECE)]
-    return np.concatenate(out) if out else np.zeros(0)
+    for lo, hi in slices(offsets, PIECE):
+        yield lo, network.score_texts(Words(data, offsets, lo, hi))
 
 
 def score_batches(batches: Iterator[pa.RecordBatch], network: Network) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores(batch.column(1), network), pa.float64())], names=["id", "score"])
+        for lo, found in scores(batch.column(1), network):
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, len(found)), pa.array(found, pa.float64())], names=["id", "score"])
 
 
 def clean_batches(batches: Iterator[pa.RecordBatch], network: Network, place: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        yield batch.filter(pa.array(scores(batch.column(place), network) < 0.5))
+        for lo, found in scores(batch.column(place), network):
+            yield batch.slice(lo, len(found)).filter(pa.array(found < 0.5))
 
 
 def score(docs: DataFrame, network: Network, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
