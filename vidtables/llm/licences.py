@@ -5,8 +5,10 @@ everything but letters and digits turned into single spaces. Its SHA-256 is join
 digests of known licences. The whole text is looked up so, and also each of its lines, which
 finds notices inside other text.
 
-Known licences are a short table given by the caller (KNOWN by default), so their side of the
-join is broadcast; with more than MANY entries the join is left to the optimizer.
+Known licences are a mapping (KNOWN by default) or a table of any size. Up to MANY entries are
+held in the plan and looked up without a shuffle; beyond that whole texts and lines are joined
+with the table of digests, and of the lines only those that match are put together again.
+KNOWN has short licences whole and the usual one-line notices; others need a table.
 
 Null and empty texts, and texts of copyright lines alone, have the digest of the empty string,
 which no licence may have. Repeated rows are each judged; ids may be null. `notices` has each
@@ -56,6 +58,39 @@ Permission is granted to anyone to use this software for any purpose, including
 1. The origin of this software must not be misrepresented; you must not claim that you wrote the original software. If you use this software in a product, an acknowledgment in the product documentation would be appreciated but is not required.
 2. Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software.
 3. This notice may not be removed or altered from any source distribution.""",
+    "MIT-0": """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.""",
+    "BSD-2-Clause": """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.
+
+2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.
+
+THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.""",
+    "BSD-3-Clause": """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.
+
+2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.
+
+3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.
+
+THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.""",
+    "Unlicense": """This is free and unencumbered software released into the public domain.
+
+Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.
+
+In jurisdictions that recognize copyright laws, the author or authors of this software dedicate any and all copyright interest in the software to the public domain. We make this dedication for the benefit of the public at large and to the detriment of our heirs and successors. We intend this dedication to be an overt act of relinquishment in perpetuity of all present and future rights to this software under copyright law.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.
+
+For more information, please refer to <https://unlicense.org>""",
+    "Apache-2.0-header": """Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at
+
+http://www.apache.org/licenses/LICENSE-2.0
+
+Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.""",
     "MIT-notice": "Released under the MIT License.",
     "Apache-2.0-notice": "Licensed under the Apache License, Version 2.0.",
     "GPL-3.0-notice": "This work is licensed under the GNU General Public License, version 3.",
@@ -76,19 +111,20 @@ def digest(canonical: Column) -> Column:
     return F.sha2(F.btrim(F.regexp_replace(canonical, "[ \\n]+", " ")), 256)
 
 
-def known_digests(spark: SparkSession, known: dict[str, str] = KNOWN) -> DataFrame:
+def known_digests(spark: SparkSession, known: dict[str, str] | DataFrame = KNOWN) -> DataFrame:
     """(text_digest, license) of known texts; of equal texts the first name in order."""
-    rows = spark.createDataFrame(sorted(known.items()), "license string, known_text string")
+    rows = known if isinstance(known, DataFrame) else spark.createDataFrame(sorted(known.items()), "license string, known_text string")
     return rows.groupBy(digest(by_lines(F.col("known_text"))).alias("text_digest")).agg(F.min("license").alias("license"))
 
 
-def scan(docs: DataFrame, known: dict[str, str] = KNOWN, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def scan(docs: DataFrame, known: dict[str, str] | DataFrame = KNOWN, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, text_digest, license, notices) of each row: the licence that the whole text is, else null,
-    and those of its lines. known: at most MANY texts, so that their digests fit in the plan."""
-    if len(known) > MANY:
-        raise ValueError(f"more than {MANY} known licences")
+    and those of its lines. known: texts by name, or a table (license, known_text)."""
     rows = docs.select(F.col(id_col), by_lines(F.col(text_col)).alias("_canonical")).withColumn("text_digest", digest(F.col("_canonical")))
-    rows = rows.join(F.broadcast(known_digests(docs.sparkSession, known)), "text_digest", "left")
+    digests = known_digests(docs.sparkSession, known)
+    if isinstance(known, DataFrame) or len(known) > MANY:
+        return scan_by_joins(rows, digests, id_col)
+    rows = rows.join(F.broadcast(digests), "text_digest", "left")
     entries = [(digest(by_lines(F.lit(text))), F.lit(name)) for name, text in sorted(known.items(), reverse=True)]
     digests = F.array_distinct(F.array(*[d for d, _ in entries]))
     named = lambda d: reduce(lambda rest, e: F.when(d == e[0], e[1]).otherwise(rest), entries, F.lit(None).cast("string"))
@@ -96,6 +132,16 @@ def scan(docs: DataFrame, known: dict[str, str] = KNOWN, id_col: str = "doc_id",
     return rows.select(id_col, "text_digest", "license", F.array_join(F.array_sort(F.transform(held, named)), ",").alias("notices"))
 
 
+def scan_by_joins(rows: DataFrame, digests: DataFrame, id_col: str) -> DataFrame:
+    """scan() of (id, _canonical, text_digest) with a table of digests of any size. Rows are numbered
+    for the way back, by their place in the input."""
+    rows = rows.withColumn("_row", F.monotonically_increasing_id())
+    lines = rows.select("_row", F.explode(F.array_distinct(F.transform(F.split("_canonical", "\n"), digest))).alias("text_digest"))
+    notices = lines.join(digests, "text_digest").groupBy("_row").agg(F.array_join(F.array_sort(F.collect_set("license")), ",").alias("notices"))
+    out = rows.drop("_canonical").join(digests, "text_digest", "left").join(notices, "_row", "left")
+    return out.select(id_col, "text_digest", "license", F.coalesce("notices", F.lit("")).alias("notices"))
+
+
 def oracle() -> str:
     """The same scan of documents in DuckDB."""
     quoted = lambda x: "'" + x.replace("'", "''") + "'"
