@@ -256,9 +256,23 @@ def test_quality_measures(docs, none):
     assert kept.columns == docs.columns and sorted(map(str, [r.doc_id for r in kept.collect()])) == sorted(str(r.doc_id) for r in got if r.kept)
 
 
-def test_rules_are_ordered_by_rejection_per_cost(docs):
-    ordered = quality_rules.order_rules(docs)
-    assert sorted(r.name for r in ordered) == sorted(r.name for r in quality_rules.RULES)
+def test_the_cascade_takes_what_rejects_most_for_its_cost():
+    rejects = {"a": [True] * 6 + [False] * 4, "b": [True] * 5 + [False] * 5, "c": [False] * 8 + [True, False], "d": [False] * 10}
+    assert quality_rules.cascade(rejects, {"a": 1, "b": 10, "c": 1, "d": 0.1}) == ["a", "c", "d", "b"]  # what b rejects is gone after a
+    assert quality_rules.cascade(rejects, {"a": 10, "b": 1, "c": 1, "d": 1}) == ["b", "c", "a", "d"]
+    assert quality_rules.cascade({"a": [], "b": []}, {"a": 2, "b": 1}) == ["b", "a"]
+
+
+def test_rules_are_ordered_by_rejection_per_cost(spark):
+    rows = [(i, " ".join(f"word{j}" for j in range(60)) + (" !" if i % 2 else "")) for i in range(300)]
+    table = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    dear = "length(sha2(concat(sha2(repeat(_text, 5), 512), _text), 512)) > 0"
+    rules = [quality_rules.Rule("dear", f"{dear} and contains(_text, '!')"), quality_rules.Rule("never", "contains(_text, '@')"), quality_rules.Rule("cheap", "contains(_text, '!')"), quality_rules.Rule("dear_never", f"{dear} and contains(_text, '@')")]
+    order = [r.name for r in quality_rules.order_rules(table, rules)]
+    assert order[0] == "cheap" and set(order) == {r.name for r in rules}
+    some = quality_rules.measures(table)
+    cost = quality_rules.costs(some.cache(), rules)
+    assert cost["dear"] > 3 * cost["cheap"] and cost["dear_never"] > 3 * cost["never"]
 
 
 def test_licences(spark, none):
@@ -269,8 +283,21 @@ def test_licences(spark, none):
     assert sorted((r.doc_id, r.license or "", r.notices) for r in got) == sorted([(1, "MIT", ""), (1, "MIT", ""), (2, "MIT", ""), (3, "", "Apache-2.0-notice"), (4, "", ""), (5, "", ""), (6, "", ""), (7, "", "")])
     assert len({r.text_digest for r in got if r.doc_id in (1, 2)}) == 1
     assert licences.scan(none).count() == 0
-    with pytest.raises(ValueError):
-        licences.scan(df, {str(i): "t" for i in range(licences.MANY + 1)})
+
+
+def test_licences_from_a_table_of_any_size(spark, docs):
+    """Every known text is found whole and as lines, by the plan's table and by joins alike."""
+    rows = [(i, f"Copyright {i} x\n" + text.upper()) for i, text in enumerate(licences.KNOWN.values())]
+    rows += [(100 + i, f"code\n{text}\nmore code") for i, text in enumerate(licences.KNOWN.values())] + [(200, None), (201, ""), (0, rows[0][1])]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    table = spark.createDataFrame(list(licences.KNOWN.items()), "license string, known_text string")
+    many = licences.KNOWN | {f"own {i}": f"licence number {i} of many" for i in range(licences.MANY + 1)}
+    plain = sorted(map(str, licences.scan(df).collect()))
+    assert sorted(map(str, licences.scan(df, table).collect())) == sorted(map(str, licences.scan(df, many).collect())) == plain
+    found = {r.doc_id: (r.license, r.notices) for r in licences.scan(df).collect()}
+    for i, name in enumerate(licences.KNOWN):
+        assert found[i][0] == name and (found[100 + i][1] == name or "\n" in licences.KNOWN[name])
+    assert licences.scan(docs, table).count() == docs.count()
 
 
 def test_token_counts(docs, none):
