@@ -27,6 +27,11 @@ def test_frame_to_time(spark):
     assert got == [("00:00.000",), ("01:30.000",), ("01:00:00.000",), (None,)]
 
 
+def test_format_duration(spark):
+    got = values(spark, [(0.0,), (61.9,), (3600.0,), (36061.5,), (None,)], "s double", scalars.format_duration(F.col("s")))
+    assert got == [("00:00",), ("01:01",), ("01:00:00",), ("10:01:01",), (None,)]
+
+
 def test_fps_parse(spark):
     cases = [("30000/1001", 30000 / 1001), ("0/0", 30.0), ("N/A", 30.0), ("300", 30.0), ("240", 240.0), ("-5", 30.0), (None, 30.0), ("1/2/3", 30.0)]
     got = values(spark, [(a,) for a, _ in cases], "t string", scalars.fps_parse(F.col("t")))
@@ -115,12 +120,12 @@ def test_splice_keeps_the_frames(spark):
 
 
 def random_video(rng, frames, people=3, size=16):
-    base = rng.normal(size=(people, size))
+    base = rng.normal(size=(people + 1, size))
     rows = []
     for f in range(frames):
         if f % 11 == 7:
             continue
-        seen = [k for k in range(people) if f == 0 or rng.random() < 0.8]
+        seen = [k for k in range(people) if f == 0 or rng.random() < 0.8] + [people] * (f > frames // 2)  # one more comes late
         rows += [(f, p, base[k] + rng.normal(scale=0.4, size=size)) for p, k in enumerate(seen)]
     return rows
 
@@ -161,15 +166,59 @@ class State:
         self.exists, self.get = True, value
 
 
+def stream_params():
+    return tracking.Params(max_age=4, reset_interval=10)
+
+
+def detection_table(seed, frames):
+    rows = random_video(np.random.default_rng(seed), frames)
+    return rows, pd.DataFrame([(1, f, p, 10 * f + p, v.tolist(), 3, [1]) for f, p, v in rows], columns=["video_id", "frame_idx", "position", "det_seq", "embedding", "n_slots", "skips"])
+
+
 def test_stream_tracker_equals_batch():
-    params = tracking.Params(max_age=4, reset_interval=10)
-    rows = random_video(np.random.default_rng(7), 40)
-    table = pd.DataFrame([(f, p, 10 * f + p, v, 3, [1]) for f, p, v in rows], columns=["frame_idx", "position", "det_seq", "embedding", "n_slots", "skips"])
-    state, out = State(), []
-    for i in range(0, len(table), 9):
-        out += jobs.track_group((1,), iter([table[i : i + 9]]), state, params)
-    expected = tracking.frame_of([r for r in slow_tracks(rows, params, 3, (1,)) if r[1] < table.frame_idx.max()])
-    pd.testing.assert_frame_equal(pd.concat(out).reset_index(drop=True), expected.reset_index(drop=True))
+    rows, table = detection_table(7, 40)
+    frames = table.frame_idx.unique()
+    for shuffled in (False, True):
+        state, out, patience = State(), [], 6
+        order = sorted(range(len(table)), key=lambda i: table.frame_idx[i] // 5) if not shuffled else sorted(range(len(table)), key=lambda i: (table.frame_idx[i] // 3, -i))
+        for i in range(0, len(table), 9):
+            out += jobs.track_group((1,), iter([table.iloc[order[i : i + 9]]]), state, stream_params(), patience)
+        expected = tracking.frame_of([r for r in slow_tracks(rows, stream_params(), 3, (1,)) if r[1] in frames[:-patience]])
+        pd.testing.assert_frame_equal(pd.concat([x for x in out if len(x)]).reset_index(drop=True), expected.reset_index(drop=True))
+        held = pd.concat(jobs.flushed(iter([pd.DataFrame({"video_id": [1], "held": [state.get[0]]})])))
+        assert len(held) + len(expected) == len(table) and set(held.frame_idx) == set(frames[-patience:])
+
+
+def test_a_late_detection_is_told():
+    _, table = detection_table(7, 40)
+    state = State()
+    list(jobs.track_group((1,), iter([table[3:]]), state, stream_params(), 2))
+    late = pd.concat(jobs.track_group((1,), iter([table[:3]]), state, stream_params(), 2))
+    assert late.decision.tolist() == ["late"] * 3 and late.track_id.isna().all() and late.det_seq.tolist() == table.det_seq[:3].tolist()
+
+
+def drained(spark, table, folder, stream, flush, parts):
+    """Rows of a stream over `parts` files in a mixed order, and of its flush."""
+    for i in range(parts):
+        table.iloc[i::parts].to_parquet(f"{folder}/in-{i}.parquet")
+    source = spark.readStream.schema(spark.read.parquet(f"{folder}/in-*.parquet").schema).option("maxFilesPerTrigger", 2).option("pathGlobFilter", "in-*.parquet").parquet(str(folder))
+    put = lambda batch, n: batch.write.mode("overwrite").parquet(f"{folder}/out/batch={n}")
+    stream(source).writeStream.foreachBatch(put).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(f"{folder}/out").drop("batch").unionByName(flush(spark, f"{folder}/state"))
+
+
+def test_stream_and_flush_give_what_the_batch_gives(spark, tmp_path):
+    rows, table = detection_table(8, 40)
+    got = drained(spark, table, tmp_path, lambda s: jobs.stream_track(s, stream_params(), 50), jobs.flush_tracks, 9)
+    expected = {(r[1], r[3]): (r[4], r[7]) for r in slow_tracks(rows, stream_params(), 3, (1,))}
+    assert {(r.frame_idx, r.det_seq): (r.track_id, r.decision) for r in got.collect()} == expected and got.count() == len(table)
+
+
+def test_stream_reassembly_with_flush(spark, tmp_path):
+    frames = [i for i in range(90) if i % 13 != 5]
+    table = pd.DataFrame({"video_id": [1] * len(frames), "frame_idx": pd.array(frames, "int32")})
+    got = drained(spark, table, tmp_path, lambda s: jobs.stream_reassemble(s, 80), jobs.flush_reassembly, 9)
+    assert sorted((r.frame_idx, r.status) for r in got.collect()) == [(i, "in_order" if i in frames else "recovered") for i in range(90)]
 
 
 def test_reassembly():

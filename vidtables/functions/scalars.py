@@ -48,18 +48,18 @@ def time_to_frame(seconds: Column, fps: Column) -> Column:
 
 
 def frame_to_time(frame: Column, fps: Column) -> Column:
-    """MM:SS.mmm, with hours only from one hour on."""
+    """MM:SS.mmm, with hours only from one hour on; null without a frame or a rate."""
     total = frame / fps
     hours, minutes = F.floor(total / 3600), F.floor(F.pmod(total, F.lit(3600.0)) / 60)
     tail = F.format_string("%02d:%06.3f", minutes, F.pmod(total, F.lit(60.0)))
-    return F.when(hours > 0, F.concat(F.format_string("%02d:", hours), tail)).otherwise(tail)
+    return F.when(hours > 0, F.concat(F.format_string("%02d:", hours), tail)).when(total.isNotNull(), tail)
 
 
 def format_duration(seconds: Column) -> Column:
-    """MM:SS or HH:MM:SS, cut to seconds."""
+    """MM:SS or HH:MM:SS, cut to seconds; null for null."""
     s = F.floor(seconds)
     tail = F.format_string("%02d:%02d", F.floor(F.pmod(s, F.lit(3600)) / 60), F.pmod(s, F.lit(60)))
-    return F.when(s >= 3600, F.concat(F.format_string("%02d:", F.floor(s / 3600)), tail)).otherwise(tail)
+    return F.when(s >= 3600, F.concat(F.format_string("%02d:", F.floor(s / 3600)), tail)).when(s.isNotNull(), tail)
 
 
 def fps_parse(text: Column) -> Column:

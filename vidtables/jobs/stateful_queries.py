@@ -86,8 +86,8 @@ def event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return file_stream(spark, sf_dir, "events")
 
 
-def drained(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
-    """Runs a stream over all that is there and reads what it wrote."""
+def drained(stream: DataFrame, name: str, mode: str = "append", flush=None) -> DataFrame:
+    """Runs a stream over all that is there and reads what it wrote, with what flush(spark, checkpoint) still finds in its state."""
     spark, root = stream.sparkSession, shared_path(stream.sparkSession, name)
 
     def put(batch: DataFrame, n: int) -> None:
@@ -95,7 +95,8 @@ def drained(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
         batch.write.mode("overwrite").parquet(path)
 
     stream.writeStream.outputMode(mode).foreachBatch(put).option("checkpointLocation", f"{root}/state").trigger(availableNow=True).start().awaitTermination()
-    return spark.read.schema(stream.schema).parquet(f"{root}/out").select(*stream.columns)
+    out = spark.read.schema(stream.schema).parquet(f"{root}/out").select(*stream.columns)
+    return out.unionByName(flush(spark, f"{root}/state")) if flush else out
 
 
 def result_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -104,7 +105,7 @@ def result_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stream_reassemble(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return drained(jobs.stream_reassemble(result_stream(spark, sf_dir), 50), "reassemble").groupBy("video_id", "status").agg(F.count("*").alias("n"), F.max("frame_idx").alias("last"))
+    return drained(jobs.stream_reassemble(result_stream(spark, sf_dir), 50), "reassemble", flush=jobs.flush_reassembly).groupBy("video_id", "status").agg(F.count("*").alias("n"), F.max("frame_idx").alias("last"))
 
 
 def stream_late(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -138,7 +139,7 @@ def stream_track(spark: SparkSession, sf_dir: str) -> DataFrame:
     slots = fixture(spark, sf_dir, "positions").select("det_seq", "video_id", "frame_idx", "position")
     stream = file_stream(spark, sf_dir, "embeddings")
     rows = stream.join(slots, stream.vec_id == slots.det_seq).select("video_id", "frame_idx", "position", "det_seq", "embedding", F.lit(3).alias("n_slots"), F.array(F.lit(1)).alias("skips"))
-    return rounded(drained(jobs.stream_track(rows, PARAMS), "track"))
+    return rounded(drained(jobs.stream_track(rows, PARAMS), "track", flush=jobs.flush_tracks))
 
 
 def segment_sink(spark: SparkSession, sf_dir: str) -> DataFrame:

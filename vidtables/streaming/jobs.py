@@ -6,19 +6,20 @@ import pickle
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from vidtables.operators import tracking
 
 ORDERED = "video_id long, frame_idx int, status string"
-STATE = "held binary"
+WAITING = "due int, waiting array<int>"
+TRACKER = "held binary"
 
 
 def reassemble_group(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState, patience: int) -> Iterator[pd.DataFrame]:
-    """Rows of one video in index order; held: the next index and the indexes that wait."""
-    due, waiting = pickle.loads(state.get[0]) if state.exists else (0, set())
+    """Rows of one video in index order; the state is the next index and the indexes that wait."""
+    due, waiting = (state.get[0], set(state.get[1])) if state.exists else (0, set())
     out: list[tuple[int, str]] = []
     for pdf in batches:
         for i in pdf["frame_idx"].tolist():
@@ -30,15 +31,29 @@ def reassemble_group(key: tuple, batches: Iterator[pd.DataFrame], state: GroupSt
                 out.append((due, "in_order" if due in waiting else "recovered"))
                 waiting.discard(due)
                 due += 1
-    state.update((pickle.dumps((due, waiting)),))
+    state.update((due, sorted(waiting)))
     yield pd.DataFrame({"video_id": key[0], "frame_idx": pd.array([i for i, _ in out], "int32"), "status": [s for _, s in out]})
 
 
 def stream_reassemble(results: DataFrame, patience: int = 100) -> DataFrame:
     """Indexes of each video strictly in order: in_order, or recovered where a missing index kept more
-    than `patience` others waiting. A row that comes after its index was given out, or twice, is late."""
+    than `patience` others waiting. A row that comes after its index was given out, or twice, is late.
+    What still waits when the stream has ended comes out by flush_reassembly()."""
     group = lambda key, batches, state: reassemble_group(key, batches, state, patience)
-    return results.select("video_id", "frame_idx").groupBy("video_id").applyInPandasWithState(group, ORDERED, STATE, "append", GroupStateTimeout.NoTimeout)
+    return results.select("video_id", "frame_idx").groupBy("video_id").applyInPandasWithState(group, ORDERED, WAITING, "append", GroupStateTimeout.NoTimeout)
+
+
+def held_state(spark: SparkSession, checkpoint: str) -> DataFrame:
+    """The video and the state fields of each group of a stream that has ended."""
+    state = spark.read.format("statestore").load(checkpoint)
+    return state.select("key.*", "value.groupState.*")
+
+
+def flush_reassembly(spark: SparkSession, checkpoint: str) -> DataFrame:
+    """What stream_reassemble held at its end: all indexes from the next one to the last that waits."""
+    held = held_state(spark, checkpoint).where("size(waiting) > 0")
+    rows = held.select("video_id", "waiting", F.explode(F.sequence("due", F.array_max("waiting"))).alias("frame_idx"))
+    return rows.select("video_id", "frame_idx", F.when(F.array_contains("waiting", F.col("frame_idx")), "in_order").otherwise("recovered").alias("status"))
 
 
 def stream_late(results: DataFrame, patience: int = 100) -> DataFrame:
@@ -46,30 +61,48 @@ def stream_late(results: DataFrame, patience: int = 100) -> DataFrame:
     return stream_reassemble(results, patience).where("status = 'late'")
 
 
-def track_group(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState, params: tracking.Params) -> Iterator[pd.DataFrame]:
-    """The tracker of one video; a frame is tracked when a later one has come, until then its rows are held."""
-    tracker, frame, waiting = pickle.loads(state.get[0]) if state.exists else (None, None, [])
-    rows = pd.concat(list(batches)).sort_values(["frame_idx", "position"])
+def track_group(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState, params: tracking.Params, patience: int) -> Iterator[pd.DataFrame]:
+    """The tracker of one video. The newest `patience` frames are held, older ones tracked in order."""
+    tracker, last, waiting = pickle.loads(state.get[0]) if state.exists else (None, None, {})
     out: list[tuple] = []
-    for r in rows.itertuples(index=False):
-        if tracker is None:
-            tracker = tracking.Tracker(params, int(r.n_slots), tuple(r.skips))
-        if frame is not None and r.frame_idx < frame:
-            continue
-        if frame is not None and r.frame_idx > frame:
-            out += tracking.rows_of(key[0], frame, waiting, tracker)
-            waiting = []
-        frame = r.frame_idx
-        waiting.append((r.position, r.det_seq, r.embedding))
-    state.update((pickle.dumps((tracker, frame, waiting)),))
+    for pdf in batches:
+        for r in pdf.itertuples(index=False):
+            if tracker is None:
+                tracker = tracking.Tracker(params, int(r.n_slots), tuple(r.skips))
+            if last is not None and r.frame_idx <= last:
+                out.append((key[0], r.frame_idx, r.position, r.det_seq, None, None, None, "late", None, False, False, False))
+            else:
+                waiting.setdefault(r.frame_idx, []).append((r.position, r.det_seq, r.embedding))
+    for frame in sorted(waiting)[: max(len(waiting) - patience, 0)]:
+        out += tracking.rows_of(key[0], frame, waiting.pop(frame), tracker)
+        last = frame
+    state.update((pickle.dumps((tracker, last, waiting)),))
     yield tracking.frame_of(out)
 
 
-def stream_track(detections: DataFrame, params: tracking.Params = tracking.Params()) -> DataFrame:
-    """Tracks of a stream (video_id, frame_idx, position, det_seq, embedding, n_slots, skips) in frame order by video.
-    State holds what max_age allows; rows of frames already tracked are dropped."""
-    group = lambda key, batches, state: track_group(key, batches, state, params)
-    return detections.groupBy("video_id").applyInPandasWithState(group, tracking.OUTPUT, STATE, "append", GroupStateTimeout.NoTimeout)
+def stream_track(detections: DataFrame, params: tracking.Params = tracking.Params(), patience: int = 10) -> DataFrame:
+    """Tracks of a stream (video_id, frame_idx, position, det_seq, embedding, n_slots, skips).
+
+    The newest `patience` frames of a video are held, so rows may come that many frames out of
+    order. A row whose frame has been tracked, or an older one, comes out with the decision "late"
+    and no track. What is held when the stream has ended comes out by flush_tracks(). State holds
+    what max_age and patience allow.
+    """
+    group = lambda key, batches, state: track_group(key, batches, state, params, patience)
+    return detections.groupBy("video_id").applyInPandasWithState(group, tracking.OUTPUT, TRACKER, "append", GroupStateTimeout.NoTimeout)
+
+
+def flushed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The held frames of each (video_id, held), in order."""
+    for pdf in batches:
+        for video, held in pdf[["video_id", "held"]].itertuples(index=False):
+            tracker, _, waiting = pickle.loads(held)
+            yield tracking.frame_of([row for frame in sorted(waiting) for row in tracking.rows_of(video, frame, waiting[frame], tracker)])
+
+
+def flush_tracks(spark: SparkSession, checkpoint: str) -> DataFrame:
+    """The tracks of the frames that stream_track held at its end."""
+    return held_state(spark, checkpoint).mapInPandas(flushed, tracking.OUTPUT)
 
 
 def stream_stats(log: DataFrame, window: str = "10 seconds", late: str = "1 minute") -> DataFrame:
