@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from vidtables.functions import scalars, vectors
-from vidtables.operators import boxes, matching, segments, tracking, verify
+from vidtables.operators import boxes, matching, segments, stats, tracking, verify
 from vidtables.streaming import jobs
 
 
@@ -105,6 +105,22 @@ def test_segment_sample_size(spark):
     assert {r.video_id: r["count"] for r in segments.segment_sample(d).groupBy("video_id").count().collect()} == {1: 1, 9: 1, 25: 2, 1000: 50}
 
 
+def test_similarity_join_with_many_references(spark):
+    rng = random.Random(4)
+    rows = [(v, f, p, 10 * f + p, [rng.gauss(0, 1) for _ in range(4)]) for v in (1, 2) for f in range(40) for p in range(2)]
+    dets = spark.createDataFrame(rows, "video_id long, frame_idx int, position int, det_seq long, embedding array<float>")
+    refs = dets.where("frame_idx = 0")
+    few, many = (matching.similarity_join(dets, refs, 0.3, n) for n in (None, matching.BROADCAST_ROWS + 1))
+    assert sorted(map(str, few.collect())) == sorted(map(str, many.collect())) and few.count() > 10
+
+
+def test_progress_marks_by_spans(spark):
+    log = spark.createDataFrame([(w, 3 * i + w, float(i % 7)) for w in (0, 1) for i in range(1050)], "worker_id long, frame_idx long, elapsed_ms double")
+    totals = log.groupBy("worker_id").agg(F.count("*").alias("total"))
+    got = {span: sorted(map(str, stats.progress_marks(log, totals, span=span).collect())) for span in (4, 1 << 16)}
+    assert got[4] == got[1 << 16] and len(got[4]) == 20
+
+
 def test_duration_check(spark):
     rows = [(100.0, 101.0), (100.0, 101.1), (1500.0, 1501.5), (3600.0, 3602.0), (3600.0, 3602.1)]
     df = spark.createDataFrame(rows, "original double, final double")

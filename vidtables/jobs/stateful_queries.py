@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from vidtables.jobs.registry import Registry
 from vidtables.operators import segments, tracking
 from vidtables.sources import checkpoints
-from vidtables.sources.fixtures import fixture
+from vidtables.sources.fixtures import common_tables, fixture
 from vidtables.sources.shared import shared_path
 from vidtables.streaming import jobs
 
@@ -28,9 +28,29 @@ def in_tracks(p: DataFrame) -> DataFrame:
     return p.withColumn("track_id", c("position"))
 
 
-R.add("track_detections", "positions slots", lambda p, s: rounded(tracking.track_detections(p, s, PARAMS)))
-R.add("track_detections_all", "positions slots", lambda p, s: rounded(tracking.track_detections_all(p, s.where("is_skip"), ALL)))
-R.add("track_summary", "positions slots", lambda p, s: tracking.track_summary(tracking.track_detections(p, s, PARAMS)))
+def seen(people: DataFrame) -> DataFrame:
+    """Detections whose tracks are known: a person's vector points in a direction of its own. The third isn't
+    seen in five of twenty frames, and from frame 15 on someone else is in the second one's place."""
+    unseen = (c("person") == 2) & F.pmod("frame_idx", F.lit(20)).between(3, 7)
+    direction = F.when((c("person") == 1) & (c("frame_idx") >= 15), 3).otherwise(c("person"))
+    return people.withColumn("embedding", F.when(~unseen, F.transform(F.sequence(F.lit(0), F.lit(3)), lambda i: (i == direction).cast("float"))))
+
+
+TRACKED = """, s AS (SELECT *, person = 2 AND frame_idx % 20 BETWEEN 3 AND 7 AS unseen, person = 1 AND frame_idx >= 15 AS other, person = 2 AND frame_idx % 20 = 8 AS back, frame_idx > 0 AND frame_idx % 10 = 0 AS is_reset,
+ CAST(CASE WHEN person = 2 AND frame_idx % 20 IN (8, 9) THEN frame_idx % 20 - 6 WHEN frame_idx < 10 THEN frame_idx + 2 ELSE frame_idx % 10 + 3 END AS INT) AS n FROM people)"""
+SLOTTED = """, t AS (SELECT video_id, frame_idx, position, det_seq, CASE WHEN NOT (unseen OR other) THEN person END AS track_id, CASE WHEN unseen OR other THEN NULL WHEN person = 1 THEN 'SKIP' ELSE CAST(person AS VARCHAR) END AS source,
+ CASE WHEN NOT (unseen OR other) THEN 1e0 END AS similarity, CASE WHEN unseen OR other THEN 'none' ELSE 'act' END AS decision, CASE WHEN NOT (unseen OR other) THEN n END AS stability, is_reset, back AS is_recovered, false AS is_new FROM s)"""
+EVERYONE = """, t AS (SELECT video_id, frame_idx, position, det_seq, CAST(CASE WHEN unseen THEN NULL WHEN other THEN 3 ELSE person END AS INT) AS track_id, CASE WHEN unseen THEN NULL WHEN person = 1 AND NOT other THEN 'SKIP' ELSE 'SWAP' END AS source,
+ CASE WHEN NOT unseen AND NOT (other AND frame_idx = 15) THEN 1e0 END AS similarity, CASE WHEN unseen THEN 'none' ELSE 'act' END AS decision, CAST(CASE WHEN unseen THEN NULL WHEN other THEN frame_idx - 14 ELSE n END AS INT) AS stability, is_reset, back AS is_recovered, other AND frame_idx = 15 AS is_new FROM s)"""
+R.add("track_detections", "people slots", lambda p, s: rounded(tracking.track_detections(seen(p), s, PARAMS)), f"{TRACKED}{SLOTTED} SELECT * FROM t")
+R.add("track_detections_all", "people slots", lambda p, s: rounded(tracking.track_detections_all(seen(p), s.where("is_skip"), ALL)), f"{TRACKED}{EVERYONE} SELECT * FROM t")
+R.add(
+    "track_summary",
+    "people slots",
+    lambda p, s: tracking.track_summary(tracking.track_detections(seen(p), s, PARAMS)),
+    f"{TRACKED}{SLOTTED} SELECT video_id, track_id, min(frame_idx) AS first_frame, max(frame_idx) AS last_frame, count(*) AS detections, 1e0 AS mean_similarity, count(*) AS acts, CAST(0 AS BIGINT) AS holds, count(*) FILTER (is_recovered) AS recoveries FROM t WHERE track_id IS NOT NULL GROUP BY 1, 2",
+)
+R.add("track_embeddings", "positions slots", lambda p, s: rounded(tracking.track_detections(p, s, PARAMS)))
 V = ", u AS (SELECT video_id, position AS track_id, frame_idx, det_seq, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v FROM positions)"
 W = "WINDOW w AS (PARTITION BY video_id, track_id ORDER BY frame_idx, det_seq)"
 COS = "list_sum(list_transform(range(1, len(v) + 1), lambda i: v[i] * {0}[i])) / sqrt(list_sum(list_transform(v, lambda x: x * x)) * list_sum(list_transform({0}, lambda x: x * x)))"
@@ -43,8 +63,8 @@ R.add(
 R.add(
     "track_lifespans",
     "positions",
-    lambda p: tracking.track_lifespans(in_tracks(p).where("det_seq % 3 <> 0"), 2),
-    """, u AS (SELECT video_id, position AS track_id, frame_idx, det_seq FROM positions WHERE det_seq % 3 <> 0),
+    lambda p: tracking.track_lifespans(p.withColumn("track_id", (c("position") + 3 * c("frame_idx")) % 8), 2),
+    """, u AS (SELECT video_id, (position + 3 * frame_idx) % 8 AS track_id, frame_idx, det_seq FROM positions),
 g AS (SELECT *, frame_idx - lag(frame_idx) OVER w AS gap FROM u WINDOW w AS (PARTITION BY video_id, track_id ORDER BY frame_idx, det_seq)),
 s AS (SELECT *, CAST(sum(CASE WHEN gap > 2 THEN 1 ELSE 0 END) OVER (PARTITION BY video_id, track_id ORDER BY frame_idx, det_seq) AS INT) AS span FROM g)
 SELECT video_id, track_id, span, min(frame_idx) AS first_frame, max(frame_idx) AS last_frame, max(frame_idx) - min(frame_idx) + 1 AS length, count(*) FILTER (gap > 1 AND gap <= 2) AS gaps FROM s GROUP BY 1, 2, 3""",
@@ -136,9 +156,8 @@ def stream_resume(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stream_track(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The tracker over detections that arrive as a stream of the embeddings table; a video's vectors come in id order, three to a frame."""
-    slots = fixture(spark, sf_dir, "positions").select("det_seq", "video_id", "frame_idx", "position")
-    stream = file_stream(spark, sf_dir, "embeddings")
-    rows = stream.join(slots, stream.vec_id == slots.det_seq).select("video_id", "frame_idx", "position", "det_seq", "embedding", F.lit(3).alias("n_slots"), F.array(F.lit(1)).alias("skips"))
+    people = seen(fixture(spark, sf_dir, "people"))
+    rows = file_stream(spark, sf_dir, "embeddings").select("vec_id").join(people, c("vec_id") == c("det_seq")).select("video_id", "frame_idx", "position", "det_seq", "embedding", F.lit(3).alias("n_slots"), F.array(F.lit(1)).alias("skips"))
     return rounded(drained(jobs.stream_track(rows, PARAMS), "track", flush=jobs.flush_tracks))
 
 
@@ -153,7 +172,14 @@ def segment_sink(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES |= {f.__name__: f for f in (segment_sink, stream_reassemble, stream_late, stream_stats, stream_segments, stream_resume, stream_track)}
 SEGMENTS = """WITH s AS (SELECT user_id % 10 AS video_id, CAST(event_id // 600 AS INT) AS seg_idx, count(*) AS frames FROM events GROUP BY 1, 2)
 SELECT *, seg_idx < max(seg_idx) OVER (PARTITION BY video_id) AS closed FROM s"""
+WAITED = """WITH r AS (SELECT user_id % 10 AS video_id, CAST(event_id // 20 AS INT) AS frame_idx FROM events WHERE event_type <> 'error'), f AS (SELECT video_id, frame_idx, count(*) AS k FROM r GROUP BY 1, 2)"""
 ORACLES |= {
+    "stream_reassemble": f"""{WAITED}, e AS (SELECT video_id, unnest(range(0, max(frame_idx) + 1)) AS frame_idx FROM f GROUP BY 1),
+m AS (SELECT e.video_id, e.frame_idx FROM e ANTI JOIN f ON e.video_id = f.video_id AND e.frame_idx = f.frame_idx)
+SELECT video_id, 'in_order' AS status, count(*) AS n, max(frame_idx) AS last FROM f GROUP BY 1 UNION ALL SELECT video_id, 'recovered', count(*), CAST(max(frame_idx) AS INT) FROM m GROUP BY 1
+UNION ALL SELECT video_id, 'late', CAST(sum(k - 1) AS BIGINT), max(frame_idx) FROM f WHERE k > 1 GROUP BY 1""",
+    "stream_late": f"{WAITED} SELECT video_id, frame_idx, 'late' AS status FROM (SELECT video_id, frame_idx, unnest(range(1, k)) FROM f)",
+    "stream_track": f"{common_tables('people')}{TRACKED}{SLOTTED} SELECT * FROM t",
     "segment_sink": "WITH f AS (SELECT user_id % 10 AS video_id, CAST(row_number() OVER (PARTITION BY user_id % 10 ORDER BY event_id) - 1 AS INT) AS frame_idx, event_id, event_type FROM events) SELECT video_id, CAST(frame_idx // 600 AS INT) AS seg_idx, frame_idx, event_id FROM f WHERE event_type <> 'error'",
     "stream_segments": SEGMENTS,
     "stream_resume": SEGMENTS,

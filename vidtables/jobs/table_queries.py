@@ -33,8 +33,8 @@ R.add(
 R.add(
     "range_filter",
     "frames requests typed",
-    lambda f, r, v: requests.range_filter(f, ranges(r, v).where("video_id < 10")).groupBy("request_id", "video_id").agg(F.count("*").alias("n"), F.min("frame_idx").alias("first"), F.max("frame_idx").alias("last")),
-    f"{RANGES} SELECT request_id, f.video_id, count(*) AS n, min(frame_idx) AS first, max(frame_idx) AS last FROM frames f JOIN ranges r ON f.video_id = r.video_id AND frame_idx >= range_start AND frame_idx < range_end WHERE r.video_id < 10 GROUP BY 1, 2",
+    lambda f, r, v: requests.range_filter(f, ranges(r, v)).groupBy("request_id", "video_id").agg(F.count("*").alias("n"), F.min("frame_idx").alias("first"), F.max("frame_idx").alias("last")),
+    f"{RANGES} SELECT request_id, f.video_id, count(*) AS n, min(frame_idx) AS first, max(frame_idx) AS last FROM frames f JOIN ranges r ON f.video_id = r.video_id AND frame_idx >= range_start AND frame_idx < range_end GROUP BY 1, 2",
 )
 R.add(
     "request_validate",
@@ -48,10 +48,10 @@ R.add("skip_parse", "requests", lambda r: requests.skip_parse(r).select("request
 R.add(
     "skip_validate",
     "requests detections",
-    lambda r, d: requests.skip_validate(requests.skip_parse(r).where("skip_positions is not null"), d.where("frame_idx = 0 or (frame_idx < 2 and video_id % 2 = 0)").groupBy("video_id").agg(F.count("*").alias("n_detections"))).select(
+    lambda r, d: requests.skip_validate(requests.skip_parse(r).where("skip_positions is not null"), d.where("frame_idx = 0").groupBy("video_id").agg(F.count("*").alias("n_detections"))).select(
         "request_id", F.concat_ws(",", F.transform("invalid", lambda x: x.cast("string"))).alias("invalid"), "n_applied"
     ),
-    f"""{SKIPS}, n AS (SELECT video_id, count(*) AS n FROM detections WHERE frame_idx = 0 OR (frame_idx < 2 AND video_id % 2 = 0) GROUP BY 1)
+    f"""{SKIPS}, n AS (SELECT video_id, count(*) AS n FROM detections WHERE frame_idx = 0 GROUP BY 1)
 SELECT request_id, array_to_string(list_filter(skips, lambda p: p >= n), ',') AS invalid, n - len(list_filter(skips, lambda p: p < n)) AS n_applied FROM s JOIN n USING (video_id) WHERE skips IS NOT NULL""",
 )
 R.add("slot_assign", "positions slots", lambda p, s: requests.slot_assign(p, s), "SELECT video_id, p.position, det_seq, CASE WHEN is_skip THEN 'SKIP' ELSE CAST(p.position AS VARCHAR) END AS source FROM positions p JOIN slots s USING (video_id, position) WHERE frame_idx = 0")
@@ -65,10 +65,10 @@ R.add("slot_summary", "slots", requests.slot_summary, "SELECT video_id, count(*)
 R.add("detections_per_frame", "detections", requests.detections_per_frame, "SELECT video_id, frame_idx, count(*) AS n_detections FROM detections GROUP BY 1, 2")
 R.add(
     "count_reconcile",
-    "detections slots",
-    lambda d, s: requests.count_reconcile(d.where("video_id <> 3"), s.where("video_id <> 4 and not (video_id % 4 = 1 and position = 2)")),
-    """, d AS (SELECT video_id, count(*) AS n_detections FROM detections WHERE frame_idx = 0 AND video_id <> 3 GROUP BY 1),
-s AS (SELECT video_id, count(*) AS n_slots, count(*) FILTER (NOT is_skip) AS n_normal, count(*) FILTER (is_skip) AS n_skip FROM slots WHERE video_id <> 4 AND NOT (video_id % 4 = 1 AND position = 2) GROUP BY 1),
+    "detections kept_slots",
+    requests.count_reconcile,
+    """, d AS (SELECT video_id, count(*) AS n_detections FROM detections WHERE frame_idx = 0 GROUP BY 1),
+s AS (SELECT video_id, count(*) AS n_slots, count(*) FILTER (NOT is_skip) AS n_normal, count(*) FILTER (is_skip) AS n_skip FROM kept_slots GROUP BY 1),
 j AS (SELECT coalesce(d.video_id, s.video_id) AS video_id, coalesce(n_detections, 0) AS n_detections, coalesce(n_slots, 0) AS n_slots, coalesce(n_normal, 0) AS n_normal, coalesce(n_skip, 0) AS n_skip FROM d FULL JOIN s ON d.video_id = s.video_id)
 SELECT *, CASE WHEN n_detections = 0 THEN 'no_detections' WHEN n_detections <> n_slots THEN 'mismatch' ELSE 'ok' END AS status FROM j""",
 )
@@ -122,32 +122,31 @@ R.add(
 
 
 def lost_tracks(p: DataFrame) -> DataFrame:
-    rows = p.where("frame_idx % 5 = 0").select("video_id", (c("frame_idx") * 3 + c("position")).alias("track_id"), c("frame_idx").alias("lost_frame"), (c("position") == 1).alias("is_skip"), "embedding")
+    rows = p.select("video_id", (c("frame_idx") * 3 + c("position")).alias("track_id"), c("frame_idx").alias("lost_frame"), (c("position") == 1).alias("is_skip"), "embedding")
     return rows.withColumn("history", F.array(F.reverse("embedding"), F.col("embedding")))
 
 
 R.add(
     "lost_recover",
     "positions",
-    lambda p: rounded(matching.lost_recover(p.where("position = 2"), lost_tracks(p), 0.16, 1)),
+    lambda p: rounded(matching.lost_recover(p, lost_tracks(p), 0.16, 1)),
     """, u AS (SELECT video_id, frame_idx, position, det_seq, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v FROM positions), w AS (SELECT *, sqrt(list_sum(list_transform(v, lambda x: x * x))) AS n FROM u),
-l AS (SELECT video_id, frame_idx * 3 + position AS track_id, frame_idx AS lost_frame, position = 1 AS is_skip, v AS lv, list_reverse(v) AS rv, n AS ln FROM w WHERE frame_idx % 5 = 0),
+l AS (SELECT video_id, frame_idx * 3 + position AS track_id, frame_idx AS lost_frame, position = 1 AS is_skip, v AS lv, list_reverse(v) AS rv, n AS ln FROM w),
 j AS (SELECT w.video_id, w.frame_idx, det_seq, track_id, is_skip, greatest(list_sum(list_transform(range(1, len(v) + 1), lambda i: v[i] * lv[i])), list_sum(list_transform(range(1, len(v) + 1), lambda i: v[i] * rv[i]))) / (n * ln) AS similarity
- FROM w JOIN l ON w.video_id = l.video_id AND frame_idx BETWEEN lost_frame AND lost_frame + 8 WHERE position = 2)
+ FROM w JOIN l ON w.video_id = l.video_id AND frame_idx BETWEEN lost_frame AND lost_frame + 8)
 SELECT video_id, frame_idx, det_seq, CAST(track_id AS INT) AS track_id, round(similarity, 6) AS similarity FROM (SELECT *, row_number() OVER (PARTITION BY video_id, frame_idx, det_seq ORDER BY similarity DESC, track_id) AS k FROM j WHERE similarity > CASE WHEN is_skip THEN 0.12e0 ELSE 0.112e0 END) WHERE k = 1""",
 )
 R.add(
     "retain_unmatched",
     "positions",
     lambda p: matching.retain_unmatched(
-        p.where("frame_idx = 9 and position <> 0").select("video_id", c("position").alias("track_id"), c("frame_idx").alias("last_seen")),
-        p.where("frame_idx < 9").groupBy("video_id", ((c("position") + c("frame_idx")) % 8).alias("track_id")).agg(F.max("frame_idx").alias("last_seen")),
-        9,
+        p.select("video_id", "frame_idx", c("position").alias("track_id"), c("frame_idx").alias("last_seen")),
+        p.select("video_id", F.explode(F.transform(F.sequence(F.lit(1), F.lit(6)), lambda lag: c("frame_idx") + lag)).alias("frame_idx"), ((c("position") + c("frame_idx")) % 8).alias("track_id"), c("frame_idx").alias("last_seen")).groupBy("video_id", "frame_idx", "track_id").agg(F.max("last_seen").alias("last_seen")),
         4,
     ),
-    """, m AS (SELECT video_id, position AS track_id, frame_idx AS last_seen FROM positions WHERE frame_idx = 9 AND position <> 0),
-t AS (SELECT video_id, (position + frame_idx) % 8 AS track_id, max(frame_idx) AS last_seen FROM positions WHERE frame_idx < 9 GROUP BY 1, 2)
-SELECT video_id, track_id, last_seen, true AS matched FROM m UNION ALL SELECT video_id, track_id, last_seen, false FROM t WHERE 9 - last_seen <= 4 AND NOT EXISTS (SELECT 1 FROM m WHERE m.video_id = t.video_id AND m.track_id = t.track_id)""",
+    """, m AS (SELECT video_id, frame_idx, position AS track_id, frame_idx AS last_seen FROM positions),
+t AS (SELECT video_id, CAST(frame_idx + lag AS INT) AS frame_idx, (position + frame_idx) % 8 AS track_id, max(frame_idx) AS last_seen FROM positions, range(1, 7) r(lag) GROUP BY 1, 2, 3)
+SELECT *, true AS matched FROM m UNION ALL SELECT *, false FROM t WHERE frame_idx - last_seen <= 4 AND NOT EXISTS (SELECT 1 FROM m WHERE m.video_id = t.video_id AND m.frame_idx = t.frame_idx AND m.track_id = t.track_id)""",
 )
 
 SEG = f"CAST(frame_idx // {LENGTH} AS INT) AS seg_idx"
@@ -199,15 +198,15 @@ R.add(
 )
 R.add(
     "frames_missing_extra",
-    "frames results",
-    lambda f, r: segments.frames_missing_extra(cut(f.where("event_id % 17 <> 3")), cut(r)),
-    f", e AS (SELECT video_id, {SEG}, frame_idx FROM frames WHERE event_id % 17 <> 3), a AS (SELECT video_id, {SEG}, frame_idx FROM results) SELECT *, 'missing' AS status FROM (SELECT * FROM e EXCEPT SELECT * FROM a) UNION ALL SELECT *, 'extra' FROM (SELECT * FROM a EXCEPT SELECT * FROM e)",
+    "expected results",
+    lambda e, r: segments.frames_missing_extra(cut(e), cut(r)),
+    f", e AS (SELECT video_id, {SEG}, frame_idx FROM expected), a AS (SELECT video_id, {SEG}, frame_idx FROM results) SELECT *, 'missing' AS status FROM (SELECT * FROM e EXCEPT SELECT * FROM a) UNION ALL SELECT *, 'extra' FROM (SELECT * FROM a EXCEPT SELECT * FROM e)",
 )
 R.add(
     "frame_set_diff",
-    "frames results",
-    lambda f, r: segments.frame_set_diff(f.where("event_id % 17 <> 3"), r),
-    ", e AS (SELECT video_id, frame_idx FROM frames WHERE event_id % 17 <> 3), a AS (SELECT video_id, frame_idx FROM results) SELECT e.*, 'missing' AS status FROM e ANTI JOIN a USING (video_id, frame_idx) UNION ALL SELECT a.*, 'extra' FROM a ANTI JOIN e USING (video_id, frame_idx)",
+    "expected results",
+    lambda e, r: segments.frame_set_diff(e, r),
+    ", e AS (SELECT video_id, frame_idx FROM expected), a AS (SELECT video_id, frame_idx FROM results) SELECT e.*, 'missing' AS status FROM e ANTI JOIN a USING (video_id, frame_idx) UNION ALL SELECT a.*, 'extra' FROM a ANTI JOIN e USING (video_id, frame_idx)",
 )
 R.add(
     "fill_from_original",
@@ -290,9 +289,9 @@ R.add(
 )
 R.add(
     "segment_stats",
-    "frames results",
-    lambda f, r: verify.segment_stats(cut(f.where("event_id % 17 <> 3")), cut(r)),
-    f""", e AS (SELECT video_id, {SEG}, frame_idx FROM frames WHERE event_id % 17 <> 3), a AS (SELECT video_id, {SEG}, frame_idx FROM results),
+    "expected results",
+    lambda e, r: verify.segment_stats(cut(e), cut(r)),
+    f""", e AS (SELECT video_id, {SEG}, frame_idx FROM expected), a AS (SELECT video_id, {SEG}, frame_idx FROM results),
 j AS (SELECT coalesce(e.video_id, a.video_id) AS video_id, coalesce(e.seg_idx, a.seg_idx) AS seg_idx, e.frame_idx AS ef, a.frame_idx AS af FROM e FULL JOIN a ON e.video_id = a.video_id AND e.frame_idx = a.frame_idx)
 SELECT video_id, seg_idx, count(ef) AS expected, count(af) AS written, count(*) FILTER (af IS NULL) AS missing, count(*) FILTER (ef IS NULL) AS extra FROM j GROUP BY 1, 2""",
 )
@@ -307,13 +306,13 @@ R.add(
 R.add(
     "count_discrepancy",
     "typed videos",
-    lambda t, v: verify.count_discrepancy(t.join(v.select("video_id", "decoder_frames"), "video_id").where("decoder_frames is not null").withColumn("other", (c("decoder_frames") + c("video_id") % 90).cast("int")), "total_frames", "other").select("video_id", "diff", "percent", "vfr_suspect"),
-    ", m AS (SELECT t.video_id, total_frames AS a, CAST(decoder_frames + t.video_id % 90 AS INT) AS b FROM typed t JOIN videos v ON v.video_id = t.video_id WHERE decoder_frames IS NOT NULL) SELECT video_id, abs(a - b) AS diff, CASE WHEN greatest(a, b) > 0 THEN round(100 * abs(a - b) / CAST(greatest(a, b) AS DOUBLE), 6) ELSE 0e0 END AS percent, abs(a - b) > 50 AS vfr_suspect FROM m",
+    lambda t, v: verify.count_discrepancy(t.join(v.select("video_id", "decoder_frames"), "video_id").withColumn("other", (F.coalesce(c("decoder_frames"), F.lit(0)) + c("video_id") % 90).cast("int")), "total_frames", "other").select("video_id", "diff", "percent", "vfr_suspect"),
+    ", m AS (SELECT t.video_id, total_frames AS a, CAST(coalesce(decoder_frames, 0) + t.video_id % 90 AS INT) AS b FROM typed t JOIN videos v ON v.video_id = t.video_id) SELECT video_id, abs(a - b) AS diff, CASE WHEN greatest(a, b) > 0 THEN round(100 * abs(a - b) / CAST(greatest(a, b) AS DOUBLE), 6) ELSE 0e0 END AS percent, abs(a - b) > 50 AS vfr_suspect FROM m",
 )
 R.add(
     "total_reconcile",
     "typed segments_done",
-    lambda t, d: verify.total_reconcile(t.where("video_id % 5 <> 0").select("video_id", (c("total_frames") + c("video_id") % 2).cast("int").alias("total_frames")), t.select("video_id", F.when(c("video_id") % 3 == 0, 50).otherwise(c("total_frames")).alias("total_frames")), d),
+    lambda t, d: verify.total_reconcile(t.select("video_id", F.when(c("video_id") % 5 != 0, c("total_frames") + c("video_id") % 2).cast("int").alias("total_frames")), t.select("video_id", F.when(c("video_id") % 3 == 0, 50).otherwise(c("total_frames")).alias("total_frames")), d),
     f"""{PREFIX}, m AS (SELECT t.video_id, CASE WHEN t.video_id % 5 = 0 THEN 0 ELSE CAST(total_frames + t.video_id % 2 AS INT) END AS old_total, CASE WHEN t.video_id % 3 = 0 THEN 50 ELSE total_frames END AS new_total, coalesce(prefix_frames, 0) AS prefix_frames FROM typed t LEFT JOIN pre ON pre.video_id = t.video_id)
 SELECT *, CASE WHEN old_total > 0 AND old_total <> new_total AND prefix_frames > new_total THEN old_total ELSE new_total END AS total_frames FROM m""",
 )
@@ -346,7 +345,7 @@ def documents(d: DataFrame) -> DataFrame:
 R.add(
     "checkpoint_read",
     "segments_done",
-    lambda d: checkpoints.checkpoint_read(documents(d), d.where("seg_idx <> 2").withColumn("frames", (c("frames") - 10).cast("int"))),
+    lambda d: checkpoints.checkpoint_read(documents(d), d.withColumn("frames", F.when(c("seg_idx") == 2, 0).otherwise(c("frames") - 10).cast("int"))),
     "SELECT video_id, seg_idx, CASE WHEN video_id % 2 = 0 THEN frames ELSE frames - 10 END AS frames, 3000 AS total_frames FROM segments_done WHERE video_id % 11 <> 0 AND (video_id % 2 = 0 OR (seg_idx <> 2 AND frames > 10))",
 )
 R.add(

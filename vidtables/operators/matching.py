@@ -10,20 +10,28 @@ from vidtables.functions import vectors
 BROADCAST_ROWS = 20_000
 
 
-def sized(references: DataFrame, rows: int | None) -> DataFrame:
-    """references, broadcast only where the caller knows that they are few."""
-    return F.broadcast(references) if rows is not None and rows <= BROADCAST_ROWS else references
+SALTS = 32
 
 
 def similarity_join(detections: DataFrame, references: DataFrame, threshold: float, n_references: int | None = None) -> DataFrame:
     """Pairs of detections and references of one video with a cosine of at least threshold.
 
-    Vectors are made unit length once on either side, so a pair costs one dot product.
+    Vectors are made unit length once on either side, so a pair costs one dot product. At most
+    BROADCAST_ROWS references are broadcast, and detections aren't shuffled; n_references is
+    their number where the caller knows it, else they are counted up to that bound. More
+    references are shuffled with the detections, a video's frames spread over SALTS keys.
     """
     unit = lambda df: df.withColumn("_unit", vectors.vec_normalize(F.col("embedding"))).where("_unit is not null")
     a = unit(detections).select("video_id", "frame_idx", "position", "det_seq", F.col("_unit").alias("_a"))
     b = unit(references).select("video_id", F.col("position").alias("ref"), F.col("_unit").alias("_b"))
-    rows = a.join(sized(b, n_references), "video_id").withColumn("similarity", vectors.dot(F.col("_a"), F.col("_b")))
+    n = references.select("video_id").limit(BROADCAST_ROWS + 1).count() if n_references is None else n_references
+    if n <= BROADCAST_ROWS:
+        rows = a.join(F.broadcast(b), "video_id")
+    else:
+        a = a.withColumn("_salt", F.pmod("frame_idx", F.lit(SALTS)))
+        b = b.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        rows = a.join(b, ["video_id", "_salt"]).drop("_salt")
+    rows = rows.withColumn("similarity", vectors.dot(F.col("_a"), F.col("_b")))
     return rows.where(F.col("similarity") >= threshold).drop("_a", "_b")
 
 
@@ -86,10 +94,12 @@ def lost_recover(detections: DataFrame, lost: DataFrame, threshold: float, max_a
     return best.select("video_id", "frame_idx", "det_seq", F.col("m.track_id").alias("track_id"), (-F.col("m.s")).alias("similarity"))
 
 
-def retain_unmatched(matched: DataFrame, tracks: DataFrame, frame: int, max_age: int) -> DataFrame:
-    """matched (video_id, track_id, last_seen) and the tracks not matched that aren't older than max_age (-1: any)."""
-    young = tracks if max_age == -1 else tracks.where(frame - F.col("last_seen") <= max_age)
-    old = young.join(matched.select("video_id", "track_id"), ["video_id", "track_id"], "left_anti")
+def retain_unmatched(matched: DataFrame, tracks: DataFrame, max_age: int) -> DataFrame:
+    """At each frame the tracks matched there, and those known but not matched that aren't older than
+    max_age (-1: any). Both tables: video_id, frame_idx, track_id, last_seen."""
+    young = tracks if max_age == -1 else tracks.where(F.col("frame_idx") - F.col("last_seen") <= max_age)
+    keys = ["video_id", "frame_idx", "track_id"]
+    old = young.join(matched.select(keys), keys, "left_anti")
     return matched.withColumn("matched", F.lit(True)).unionByName(old.withColumn("matched", F.lit(False)))
 
 

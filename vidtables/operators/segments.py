@@ -148,6 +148,7 @@ def extract_only(processed: DataFrame, ranges: DataFrame, fps: str = "fps") -> D
 
 
 def frame_order(results: DataFrame, partitions: int | None = None) -> DataFrame:
-    """Results in frame order within each video, for a sink: one video's rows lie in one partition, sorted."""
-    dealt = results.repartition(partitions, "video_id") if partitions else results.repartition("video_id")
+    """Results by video and frame, for a sink: partitions follow each other in that order, each of them sorted; a long video spans several."""
+    by = ("video_id", "frame_idx")
+    dealt = results.repartitionByRange(partitions, *by) if partitions else results.repartitionByRange(*by)
     return dealt.sortWithinPartitions("video_id", "frame_idx")

@@ -39,6 +39,9 @@ TEMPLATES = {
  CAST(10 + o_orderkey % 591 AS INT) AS frames, o_orderstatus FROM {orders}) t WHERE o_orderstatus <> 'P'""",
     "positions": """SELECT *, CAST(row_number() OVER (PARTITION BY video_id, frame_idx ORDER BY x1, det_seq) - 1 AS INT) AS position FROM {detections}""",
     "slots": """SELECT video_id, position, CASE WHEN position = 1 THEN NULL ELSE embedding END AS embedding, position = 1 AS is_skip FROM {positions} WHERE frame_idx = 0""",
+    "expected": """SELECT video_id, CASE WHEN event_id % 17 = 3 THEN frame_idx + 1000000 ELSE frame_idx END AS frame_idx FROM {frames}""",
+    "people": """SELECT video_id, frame_idx, position, det_seq, CAST((position + frame_idx) % 3 AS INT) AS person FROM {positions}""",
+    "kept_slots": """SELECT CASE WHEN video_id % 4 = 1 AND position = 2 THEN video_id + 1000 WHEN video_id = 4 THEN 2004 ELSE video_id END AS video_id, position, embedding, is_skip FROM {slots}""",
     "results": """SELECT * FROM {frames} WHERE event_type <> 'error'""",
     "typed": """SELECT video_id, CASE video_id % 6 WHEN 0 THEN CAST(30000 AS DOUBLE) / 1001 WHEN 1 THEN CAST(25 AS DOUBLE) WHEN 2 THEN CAST(24000 AS DOUBLE) / 1001 ELSE CAST(30 AS DOUBLE) END AS fps,
  CASE WHEN video_id % 3 = 1 THEN 640 ELSE 1920 END AS width, CASE WHEN video_id % 3 = 1 THEN 360 ELSE 1080 END AS height,

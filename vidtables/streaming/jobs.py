@@ -18,19 +18,18 @@ TRACKER = "held binary"
 
 
 def reassemble_group(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState, patience: int) -> Iterator[pd.DataFrame]:
-    """Rows of one video in index order; the state is the next index and the indexes that wait."""
+    """Rows of one video in index order; the state is the next index and the indexes that wait. A trigger's rows have no order of their own and are taken by index."""
     due, waiting = (state.get[0], set(state.get[1])) if state.exists else (0, set())
     out: list[tuple[int, str]] = []
-    for pdf in batches:
-        for i in pdf["frame_idx"].tolist():
-            if i < due or i in waiting:
-                out.append((i, "late"))
-                continue
-            waiting.add(i)
-            while due in waiting or len(waiting) > patience:
-                out.append((due, "in_order" if due in waiting else "recovered"))
-                waiting.discard(due)
-                due += 1
+    for i in sorted(i for pdf in batches for i in pdf["frame_idx"].tolist()):
+        if i < due or i in waiting:
+            out.append((i, "late"))
+            continue
+        waiting.add(i)
+        while due in waiting or len(waiting) > patience:
+            out.append((due, "in_order" if due in waiting else "recovered"))
+            waiting.discard(due)
+            due += 1
     state.update((due, sorted(waiting)))
     yield pd.DataFrame({"video_id": key[0], "frame_idx": pd.array([i for i, _ in out], "int32"), "status": [s for _, s in out]})
 
