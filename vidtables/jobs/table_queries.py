@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from vidtables.jobs import video_job
 from vidtables.jobs.registry import Registry
 from vidtables.operators import matching, requests, segments, stats, verify
 from vidtables.sources import checkpoints
@@ -348,6 +349,55 @@ R.add(
     lambda d: checkpoints.checkpoint_read(documents(d), d.withColumn("frames", F.when(c("seg_idx") == 2, 0).otherwise(c("frames") - 10).cast("int"))),
     "SELECT video_id, seg_idx, CASE WHEN video_id % 2 = 0 THEN frames ELSE frames - 10 END AS frames, 3000 AS total_frames FROM segments_done WHERE video_id % 11 <> 0 AND (video_id % 2 = 0 OR (seg_idx <> 2 AND frames > 10))",
 )
+R.add(
+    "checkpoint_write",
+    "segments_done",
+    lambda d: checkpoints.checkpoint_write(d.withColumn("total_frames", F.lit(3000))),
+    """SELECT video_id, '{"completed_segments":{' || string_agg('"' || seg_idx || '":' || frames, ',' ORDER BY seg_idx) || '},"total_frames":3000}' AS doc FROM segments_done GROUP BY 1""",
+)
+R.add(
+    "checkpoint_repair",
+    "results",
+    lambda r: checkpoints.checkpoint_repair(recorded(r), cut(r)),
+    f"""{REC}, s AS (SELECT *, row_number() OVER (PARTITION BY video_id ORDER BY md5(video_id || ':' || seg_idx || ':7'), seg_idx) AS r, count(*) OVER (PARTITION BY video_id) AS n FROM rec),
+v AS (SELECT s.*, coalesce(k, 0) AS k, r <= greatest(1, least(n // 10, 50)) AS checked FROM s LEFT JOIN m ON m.video_id = s.video_id AND m.seg_idx = s.seg_idx)
+SELECT video_id, seg_idx, CASE WHEN checked THEN k ELSE frames END AS frames, CASE WHEN NOT checked THEN 'unchecked' WHEN k <> frames THEN 'corrected' ELSE 'ok' END AS status FROM v WHERE NOT checked OR k > 0""",
+)
+
+
+def job(f: DataFrame, r: DataFrame, v: DataFrame, d: DataFrame) -> video_job.Run:
+    """The whole run; processing turns the sign of an event's value."""
+    return video_job.run(f.select("video_id", "frame_idx", "event_id", "value"), r.select("video_id", "frame_idx", "event_id", (-c("value")).alias("value")), whole_ranges(v), d, ["event_id", "value"], 600)
+
+
+JOB = f"""{RESUME}, todo AS (SELECT f.*, CAST(n_prefix + (frame_idx - resume) // 600 AS INT) AS seg_idx FROM frames f JOIN res USING (video_id) WHERE frame_idx >= resume AND frame_idx < range_end)"""
+R.add(
+    "video_job",
+    "frames results typed segments_done",
+    lambda f, r, v, d: job(f, r, v, d).report,
+    f"""{JOB}, s AS (SELECT video_id, count(*) AS n, count(*) FILTER (event_type = 'error') AS e FROM todo GROUP BY 1)
+SELECT video_id, n_prefix AS segments_before, resume, range_end, CAST((range_end - resume + 599) // 600 AS BIGINT) AS segments_planned, coalesce(n, 0) AS frames_todo, coalesce(n - e, 0) AS processed, coalesce(e, 0) AS recovered FROM res LEFT JOIN s USING (video_id)""",
+)
+R.add(
+    "video_job_frames",
+    "frames results typed segments_done",
+    lambda f, r, v, d: job(f, r, v, d).frames,
+    f"""{JOB} SELECT f.video_id, f.frame_idx, f.event_id, CASE WHEN todo.frame_idx IS NOT NULL AND f.event_type <> 'error' THEN -f.value ELSE f.value END AS value, CASE WHEN todo.frame_idx IS NULL THEN 'original' ELSE 'processed' END AS origin
+FROM frames f LEFT JOIN todo ON todo.video_id = f.video_id AND todo.frame_idx = f.frame_idx""",
+)
+R.add(
+    "video_job_merged",
+    "frames results typed segments_done",
+    lambda f, r, v, d: job(f, r, v, d).merged,
+    f"""{JOB} SELECT video_id, seg_idx, frame_idx, event_id, CASE WHEN event_type = 'error' THEN value ELSE -value END AS value, event_type = 'error' AS recovered, row_number() OVER (PARTITION BY video_id ORDER BY frame_idx) - 1 AS out_idx FROM todo""",
+)
+R.add(
+    "video_job_checkpoint",
+    "frames results typed segments_done",
+    lambda f, r, v, d: job(f, r, v, d).checkpoint,
+    f"""{JOB}, n AS (SELECT video_id, seg_idx, count(*) AS frames FROM todo GROUP BY 1, 2)
+SELECT video_id, seg_idx, coalesce(n.frames, d.frames) AS frames FROM segments_done d FULL JOIN n USING (video_id, seg_idx)""",
+)
 R.add(
     "checkpoint_upsert",
     "segments_done",

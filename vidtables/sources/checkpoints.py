@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from vidtables.operators.segments import segment_sample
+from vidtables.operators.verify import segment_verify
+
 SCHEMA = "completed_segments string, total_frames int"
 
 
@@ -23,6 +26,22 @@ def checkpoint_read(docs: DataFrame, actual: DataFrame) -> DataFrame:
     return maps.unionByName(lists)
 
 
+def checkpoint_write(done: DataFrame) -> DataFrame:
+    """JSON docs (video_id, doc) of segments done (video_id, seg_idx, frames, total_frames), which checkpoint_read reads back; segments in order."""
+    rows = done.groupBy("video_id").agg(F.max("total_frames").alias("total_frames"), F.array_sort(F.collect_list(F.struct("seg_idx", "frames"))).alias("s"))
+    held = F.map_from_entries(F.transform("s", lambda x: F.struct(x["seg_idx"].cast("string"), x["frames"])))
+    return rows.select("video_id", F.to_json(F.struct(held.alias("completed_segments"), "total_frames")).alias("doc"))
+
+
+def checkpoint_repair(done: DataFrame, rows: DataFrame, sampled: bool = True) -> DataFrame:
+    """done (video_id, seg_idx, frames) against the rows (video_id, seg_idx, ...) that are there: segments without
+    rows go, others get their real count. Checked is a sample of each video's segments, or all; status says
+    ok, corrected or unchecked."""
+    said = segment_verify(segment_sample(done) if sampled else done, rows)
+    out = done.join(said.select("video_id", "seg_idx", "actual", F.col("status").alias("_said")), ["video_id", "seg_idx"], "left").where("_said is null or _said <> 'dropped'")
+    return out.select("video_id", "seg_idx", F.coalesce("actual", F.col("frames").cast("long")).alias("frames"), F.coalesce("_said", F.lit("unchecked")).alias("status"))
+
+
 def checkpoint_upsert(done: DataFrame, updates: DataFrame) -> DataFrame:
     """done with updates (video_id, seg_idx, frames, version); the highest version of a segment wins, done being the oldest."""
     both = done.withColumn("version", F.lit(-1).cast("long")).unionByName(updates.select("video_id", "seg_idx", "frames", F.col("version").cast("long")))
