@@ -8,12 +8,14 @@ from vidtables.functions import scalars, vectors
 from vidtables.jobs.registry import Registry
 from vidtables.operators import boxes, requests
 from vidtables.sources import catalog
+from vidtables.sources.fixtures import TIME
 
 R = Registry()
 QUERIES, ORACLES = R.QUERIES, R.ORACLES
 c = F.col
 
-TIME = "CASE start_time WHEN '3.5' THEN 3.5e0 WHEN '0:05' THEN 5e0 WHEN '0:00:02.5' THEN 2.5e0 END"
+RATE = """, n AS (SELECT *, string_split(avg_frame_rate, '/') AS p FROM videos), q AS (SELECT *, CASE WHEN len(p) = 1 THEN TRY_CAST(p[1] AS DOUBLE) WHEN len(p) = 2 AND TRY_CAST(p[2] AS DOUBLE) <> 0 THEN TRY_CAST(p[1] AS DOUBLE) / TRY_CAST(p[2] AS DOUBLE) END AS x FROM n),
+rates AS (SELECT video_id, CASE WHEN x > 0 AND x <= 240 THEN x ELSE 30e0 END AS fps FROM q)"""
 R.add("parse_time", "requests", lambda r: r.select("request_id", "start_time", scalars.parse_time(c("start_time")).alias("seconds")), f"SELECT request_id, start_time, {TIME} AS seconds FROM requests")
 R.add(
     "time_to_frame",
@@ -35,18 +37,18 @@ R.add(
     """, t AS (SELECT frame_idx, CAST(floor(elapsed_ms * 10 + frame_idx % 5000) AS BIGINT) AS s FROM frame_log)
 SELECT frame_idx, CASE WHEN s >= 3600 THEN printf('%02d:', s // 3600) ELSE '' END || printf('%02d:%02d', (s % 3600) // 60, s % 60) AS duration FROM t""",
 )
-R.add("fps_parse", "videos", lambda v: v.select("video_id", F.round(scalars.fps_parse(c("avg_frame_rate")), 6).alias("fps")), "SELECT video_id, round(CASE avg_frame_rate WHEN '30000/1001' THEN 30000e0 / 1001 WHEN '25/1' THEN 25e0 WHEN '24000/1001' THEN 24000e0 / 1001 ELSE 30e0 END, 6) AS fps FROM videos")
+R.add("fps_parse", "videos", lambda v: v.select("video_id", F.round(scalars.fps_parse(c("avg_frame_rate")), 6).alias("fps")), f"{RATE} SELECT video_id, round(fps, 6) AS fps FROM rates")
 R.add(
     "fps_rational",
     "videos",
-    lambda v: scalars.fps_rational(v.withColumn("fps", F.when(c("video_id") % 7 == 0, F.lit(12.5)).otherwise(scalars.fps_parse(c("avg_frame_rate"))))).select("video_id", "fps_rational"),
-    "SELECT video_id, CASE WHEN video_id % 7 = 0 THEN '25/2' ELSE CASE avg_frame_rate WHEN '30000/1001' THEN '30000/1001' WHEN '25/1' THEN '25/1' WHEN '24000/1001' THEN '24000/1001' ELSE '30/1' END END AS fps_rational FROM videos",
+    lambda v: scalars.fps_rational(v.select("video_id", F.element_at(F.array(*map(F.lit, (12.5, 30000 / 1001, 25.0, 24000 / 1001, 30.0, 7.5, 48.0))), (c("video_id") % 7 + 1).cast("int")).alias("fps"))).select("video_id", "fps_rational"),
+    "SELECT video_id, CASE video_id % 7 WHEN 0 THEN '25/2' WHEN 1 THEN '30000/1001' WHEN 2 THEN '25/1' WHEN 3 THEN '24000/1001' WHEN 4 THEN '30/1' WHEN 5 THEN '15/2' ELSE '48/1' END AS fps_rational FROM videos",
 )
 R.add(
     "resolution_parse",
     "videos",
     lambda v: v.select("video_id", scalars.resolution_parse(c("resolution")).alias("r")).select("video_id", "r.width", "r.height"),
-    "SELECT video_id, CASE resolution WHEN '1920x1080' THEN 1920 WHEN '640x360' THEN 640 ELSE 256 END AS width, CASE resolution WHEN '1920x1080' THEN 1080 WHEN '640x360' THEN 360 ELSE 256 END AS height FROM videos",
+    ", m AS (SELECT video_id, regexp_extract(resolution, '^([0-9]+)x([0-9]+)$', ['w', 'h']) AS r FROM videos) SELECT video_id, coalesce(TRY_CAST(r.w AS INT), 256) AS width, coalesce(TRY_CAST(r.h AS INT), 256) AS height FROM m",
 )
 R.add(
     "resolution_even",
@@ -190,18 +192,26 @@ R.add(
     lambda d: boxes.box_rescale(d, F.element_at(F.array(F.lit(1.0), F.lit(0.7), F.lit(0.5), F.lit(0.35)), c("pass_no") + 1)).select("det_seq", *[F.round(x, 6).alias(x) for x in ("x1", "y1", "x2", "y2")]),
     ", s AS (SELECT *, CASE pass_no WHEN 0 THEN 1e0 WHEN 1 THEN 0.7e0 WHEN 2 THEN 0.5e0 ELSE 0.35e0 END AS k FROM detections) SELECT det_seq, round(x1 / k, 6) AS x1, round(y1 / k, 6) AS y1, round(x2 / k, 6) AS x2, round(y2 / k, 6) AS y2 FROM s",
 )
+SHIFTED = ", moved AS (SELECT video_id, frame_idx, det_seq, x1 + (det_seq % 4) * 0.25e0 AS x1, x2 + (det_seq % 3) * 0.375e0 AS x2, y1 + (det_seq % 5) * 0.125e0 AS y1, y2 + 0.75e0 AS y2 FROM detections)"
+
+
+def shifted(d):
+    """Detections with corners between whole numbers."""
+    return d.select("video_id", "frame_idx", "det_seq", (c("x1") + (c("det_seq") % 4) * 0.25).alias("x1"), (c("x2") + (c("det_seq") % 3) * 0.375).alias("x2"), (c("y1") + (c("det_seq") % 5) * 0.125).alias("y1"), (c("y2") + 0.75).alias("y2"))
+
+
 R.add(
     "center_distance",
     "detections",
-    lambda d: d.alias("a").join(d.alias("b"), (c("a.video_id") == c("b.video_id")) & (c("a.frame_idx") == c("b.frame_idx")) & (c("a.det_seq") < c("b.det_seq"))).select(c("a.det_seq").alias("det_seq"), c("b.det_seq").alias("other"), F.round(boxes.center_distance("a", "b"), 6).alias("distance")),
-    "SELECT a.det_seq, b.det_seq AS other, round(sqrt(pow((a.x1 + a.x2 - b.x1 - b.x2) / 2, 2) + pow((a.y1 + a.y2 - b.y1 - b.y2) / 2, 2)), 6) AS distance FROM detections a JOIN detections b ON a.video_id = b.video_id AND a.frame_idx = b.frame_idx AND a.det_seq < b.det_seq",
+    lambda d: shifted(d).alias("a").join(shifted(d).alias("b"), (c("a.video_id") == c("b.video_id")) & (c("a.frame_idx") == c("b.frame_idx")) & (c("a.det_seq") < c("b.det_seq"))).select(c("a.det_seq").alias("det_seq"), c("b.det_seq").alias("other"), F.round(boxes.center_distance("a", "b"), 6).alias("distance")),
+    f"{SHIFTED} SELECT a.det_seq, b.det_seq AS other, round(sqrt(pow((trunc(a.x1) + trunc(a.x2) - b.x1 - b.x2) / 2, 2) + pow((trunc(a.y1) + trunc(a.y2) - b.y1 - b.y2) / 2, 2)), 6) AS distance FROM moved a JOIN moved b ON a.video_id = b.video_id AND a.frame_idx = b.frame_idx AND a.det_seq < b.det_seq",
 )
 R.add(
     "nearest_box_match",
     "detections",
-    lambda d: boxes.nearest_box_match(d.where("det_seq % 2 = 0"), d.where("det_seq % 2 = 1")),
-    """, p AS (SELECT a.video_id, a.frame_idx, a.det_seq, b.det_seq AS other, sqrt(pow((a.x1 + a.x2 - b.x1 - b.x2) / 2, 2) + pow((a.y1 + a.y2 - b.y1 - b.y2) / 2, 2)) AS d
- FROM detections a JOIN detections b ON a.video_id = b.video_id AND a.frame_idx = b.frame_idx AND a.det_seq % 2 = 0 AND b.det_seq % 2 = 1)
+    lambda d: boxes.nearest_box_match(shifted(d), shifted(d).withColumn("x1", c("x1") + 31.5)),
+    f"""{SHIFTED}, p AS (SELECT a.video_id, a.frame_idx, a.det_seq, b.det_seq AS other, sqrt(pow((trunc(a.x1) + trunc(a.x2) - b.x1 - 31.5e0 - b.x2) / 2, 2) + pow((trunc(a.y1) + trunc(a.y2) - b.y1 - b.y2) / 2, 2)) AS d
+ FROM moved a JOIN moved b ON a.video_id = b.video_id AND a.frame_idx = b.frame_idx)
 SELECT video_id, frame_idx, det_seq, other, round(d, 6) AS distance FROM (SELECT *, row_number() OVER (PARTITION BY video_id, frame_idx, det_seq ORDER BY d, other) AS n FROM p) WHERE n = 1""",
 )
 R.add(

@@ -9,13 +9,13 @@ from vidtables.jobs import video_job
 from vidtables.jobs.registry import Registry
 from vidtables.operators import matching, requests, segments, stats, verify
 from vidtables.sources import checkpoints
+from vidtables.sources.fixtures import SKIP_LIST, TIME
 
 R = Registry()
 QUERIES, ORACLES = R.QUERIES, R.ORACLES
 c = F.col
 LENGTH = 120  # frames of a segment in these queries
 
-TIME = "CASE start_time WHEN '3.5' THEN 3.5e0 WHEN '0:05' THEN 5e0 WHEN '0:00:02.5' THEN 2.5e0 END"
 RANGES = f""", r0 AS (SELECT r.*, fps, total_frames, greatest(0, least(coalesce(start_frame, CAST(trunc({TIME} * fps) AS INT), 0), total_frames)) AS range_start FROM requests r JOIN typed t USING (video_id)),
 ranges AS (SELECT *, greatest(range_start, least(coalesce(end_frame, total_frames), total_frames)) AS range_end FROM r0)"""
 
@@ -44,7 +44,7 @@ R.add(
     """, t AS (SELECT request_id, concat_ws(',', CASE WHEN sim_threshold < 0 OR sim_threshold > 1 THEN 'sim_threshold' END, CASE WHEN max_age < -1 THEN 'max_age' END, CASE WHEN reset_interval < 1 THEN 'reset_interval' END,
  CASE WHEN segment_frames < 10 THEN 'segment_frames' END, CASE WHEN skip_spec IS NOT NULL AND request_id % 3 <> 1 THEN 'sources' END) AS reasons FROM requests) SELECT request_id, reasons, reasons = '' AS accepted FROM t""",
 )
-SKIPS = ", s AS (SELECT *, CASE skip_spec WHEN '-1' THEN [] WHEN '0,2' THEN [0, 2] WHEN '1, ,3' THEN [1, 3] END AS skips FROM requests)"
+SKIPS = ", s AS (SELECT *, " + SKIP_LIST + " AS skips FROM requests)"
 R.add("skip_parse", "requests", lambda r: requests.skip_parse(r).select("request_id", F.concat_ws(",", F.transform("skip_positions", lambda x: x.cast("string"))).alias("skips")), f"{SKIPS} SELECT request_id, coalesce(array_to_string(skips, ','), '') AS skips FROM s")
 R.add(
     "skip_validate",
@@ -53,7 +53,7 @@ R.add(
         "request_id", F.concat_ws(",", F.transform("invalid", lambda x: x.cast("string"))).alias("invalid"), "n_applied"
     ),
     f"""{SKIPS}, n AS (SELECT video_id, count(*) AS n FROM detections WHERE frame_idx = 0 GROUP BY 1)
-SELECT request_id, array_to_string(list_filter(skips, lambda p: p >= n), ',') AS invalid, n - len(list_filter(skips, lambda p: p < n)) AS n_applied FROM s JOIN n USING (video_id) WHERE skips IS NOT NULL""",
+SELECT request_id, array_to_string(list_filter(skips, lambda p: p >= n), ',') AS invalid, n - len(list_distinct(list_filter(skips, lambda p: p < n))) AS n_applied FROM s JOIN n USING (video_id) WHERE skips IS NOT NULL""",
 )
 R.add("slot_assign", "positions slots", lambda p, s: requests.slot_assign(p, s), "SELECT video_id, p.position, det_seq, CASE WHEN is_skip THEN 'SKIP' ELSE CAST(p.position AS VARCHAR) END AS source FROM positions p JOIN slots s USING (video_id, position) WHERE frame_idx = 0")
 R.add(

@@ -1,6 +1,7 @@
 """Logical input tables derived from the star-schema tables, in SQL that Spark and DuckDB share.
 
-A template names the tables that it reads in braces.
+A template names the tables that it reads in braces. TIME and SKIP_LIST are the rules for the texts
+of requests in DuckDB SQL.
 """
 
 from __future__ import annotations
@@ -11,21 +12,22 @@ from pyspark.sql import DataFrame, SparkSession
 
 TEMPLATES = {
     "videos": """SELECT c_custkey AS video_id,
- CASE c_custkey % 6 WHEN 0 THEN '30000/1001' WHEN 1 THEN '25/1' WHEN 2 THEN '24000/1001' WHEN 3 THEN '0/0' WHEN 4 THEN 'N/A' ELSE '300' END AS avg_frame_rate,
- CASE c_custkey % 3 WHEN 0 THEN '1920x1080' WHEN 1 THEN '640x360' ELSE '' END AS resolution,
+ CASE c_custkey % 9 WHEN 0 THEN '30000/1001' WHEN 1 THEN CAST(c_custkey % 300 AS VARCHAR(20)) || '/1' WHEN 2 THEN CAST(1000 * (c_custkey % 70) AS VARCHAR(20)) || '/1001' WHEN 3 THEN CAST(c_custkey % 50 AS VARCHAR(20)) || '/0' WHEN 4 THEN 'N/A' WHEN 5 THEN CAST(c_custkey % 300 AS VARCHAR(20)) WHEN 6 THEN '1/2/' || CAST(c_custkey % 9 AS VARCHAR(20)) WHEN 7 THEN CAST(c_custkey % 60 AS VARCHAR(20)) || '.5' ELSE '-' || CAST(c_custkey % 30 AS VARCHAR(20)) END AS avg_frame_rate,
+ CASE c_custkey % 6 WHEN 0 THEN '1920x1080' WHEN 1 THEN CAST(100 + c_custkey % 1900 AS VARCHAR(20)) || 'x' || CAST(90 + c_custkey % 1100 AS VARCHAR(20)) WHEN 2 THEN '' WHEN 3 THEN CAST(c_custkey % 500 AS VARCHAR(20)) || 'x' WHEN 4 THEN CAST(c_custkey % 500 AS VARCHAR(20)) || 'x2x3' ELSE CAST(c_custkey % 500 AS VARCHAR(20)) || '.5x9' END AS resolution,
  CASE WHEN c_custkey % 4 = 0 THEN NULL ELSE CAST(600 + c_custkey % 5000 AS VARCHAR(20)) END AS nb_read_packets,
  CASE WHEN c_custkey % 8 = 0 THEN 'N/A' ELSE CAST(598 + c_custkey % 5000 AS VARCHAR(20)) END AS nb_frames,
  CASE WHEN c_custkey % 16 = 0 THEN NULL ELSE CAST(590 + c_custkey % 5003 AS INT) END AS decoder_frames
  FROM {customer}""",
     "requests": """SELECT o_orderkey AS request_id, o_custkey AS video_id,
- CASE o_orderkey % 5 WHEN 0 THEN NULL WHEN 1 THEN '3.5' WHEN 2 THEN '0:05' WHEN 3 THEN '0:00:02.5' ELSE 'x:y:z:w' END AS start_time,
+ CASE o_orderkey % 9 WHEN 0 THEN NULL WHEN 1 THEN CAST(o_orderkey % 40 AS VARCHAR(20)) || '.5' WHEN 2 THEN CAST(o_orderkey % 3 AS VARCHAR(20)) || ':' || CAST(o_orderkey % 75 AS VARCHAR(20)) WHEN 3 THEN '0:' || CAST(o_orderkey % 2 AS VARCHAR(20)) || ':' || CAST(o_orderkey % 60 AS VARCHAR(20)) || '.25'
+ WHEN 4 THEN '1:2:3:' || CAST(o_orderkey % 9 AS VARCHAR(20)) WHEN 5 THEN 'x:' || CAST(o_orderkey % 9 AS VARCHAR(20)) WHEN 6 THEN CAST(o_orderkey % 5 AS VARCHAR(20)) || '.5:10' WHEN 7 THEN '' ELSE CAST(o_orderkey % 100 AS VARCHAR(20)) END AS start_time,
  CASE WHEN o_orderkey % 7 = 0 THEN CAST(o_orderkey % 900 AS INT) ELSE NULL END AS start_frame,
  CASE WHEN o_orderkey % 3 = 0 THEN CAST(300 + o_orderkey % 9000 AS INT) ELSE NULL END AS end_frame,
  CAST(o_orderkey % 40 - 2 AS INT) AS reference_frame,
  CAST(o_orderkey % 120 AS DOUBLE) / 100 - 0.1 AS sim_threshold,
  CAST(o_orderkey % 90 - 3 AS INT) AS max_age, CAST(o_orderkey % 70 AS INT) AS reset_interval,
  CAST(o_orderkey % 700 AS INT) AS segment_frames,
- CASE o_orderkey % 4 WHEN 0 THEN '-1' WHEN 1 THEN '0,2' WHEN 2 THEN '1, ,3' ELSE NULL END AS skip_spec FROM {orders}""",
+ CASE o_orderkey % 6 WHEN 0 THEN '-1' WHEN 1 THEN CAST(o_orderkey % 5 AS VARCHAR(20)) || ',2' WHEN 2 THEN CAST(o_orderkey % 4 AS VARCHAR(20)) || ', ,' || CAST(o_orderkey % 7 AS VARCHAR(20)) WHEN 3 THEN 'a, ' || CAST(o_orderkey % 3 AS VARCHAR(20)) || ',1.5' WHEN 4 THEN CAST(o_orderkey % 3 AS VARCHAR(20)) || ',-1' ELSE NULL END AS skip_spec FROM {orders}""",
     "frames": """SELECT user_id % 10 AS video_id, CAST(row_number() OVER (PARTITION BY user_id % 10 ORDER BY event_id) - 1 AS INT) AS frame_idx, event_id, ts, event_type, value FROM {events}""",
     "frame_log": """SELECT user_id % 2 AS gpu_id, user_id % 8 AS worker_id, event_id AS frame_idx, ts, value AS elapsed_ms, event_type = 'error' AS failed FROM {events}""",
     "detections": """SELECT label AS video_id, CAST(floor(rn / 3) AS INT) AS frame_idx, vec_id AS det_seq,
@@ -49,6 +51,14 @@ TEMPLATES = {
 }
 
 
+_PART = "split_part(start_time, ':', {})".format
+_WHOLE = "CASE WHEN regexp_full_match({0}, '[0-9]+') THEN CAST({0} AS INT) END".format
+TIME = f"""(CASE len(string_split(start_time, ':')) WHEN 1 THEN TRY_CAST(start_time AS DOUBLE) WHEN 2 THEN ({_WHOLE(_PART(1))}) * 60 + TRY_CAST({_PART(2)} AS DOUBLE)
+ WHEN 3 THEN ({_WHOLE(_PART(1))}) * 3600 + ({_WHOLE(_PART(2))}) * 60 + TRY_CAST({_PART(3)} AS DOUBLE) END)"""
+_NUMBERS = "list_filter(list_transform(string_split(skip_spec, ','), lambda x: CASE WHEN regexp_full_match(trim(x), '[+-]?[0-9]+') THEN CAST(trim(x) AS INT) END), lambda x: x IS NOT NULL)"
+SKIP_LIST = f"CASE WHEN list_contains({_NUMBERS}, -1) THEN CAST([] AS INT[]) ELSE {_NUMBERS} END"
+
+
 def inputs(name: str) -> list[str]:
     return re.findall(r"\{(\w+)\}", TEMPLATES[name])
 
