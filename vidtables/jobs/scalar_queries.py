@@ -16,6 +16,7 @@ c = F.col
 
 RATE = """, n AS (SELECT *, string_split(avg_frame_rate, '/') AS p FROM videos), q AS (SELECT *, CASE WHEN len(p) = 1 THEN TRY_CAST(p[1] AS DOUBLE) WHEN len(p) = 2 AND TRY_CAST(p[2] AS DOUBLE) <> 0 THEN TRY_CAST(p[1] AS DOUBLE) / TRY_CAST(p[2] AS DOUBLE) END AS x FROM n),
 rates AS (SELECT video_id, CASE WHEN x > 0 AND x <= 240 THEN x ELSE 30e0 END AS fps FROM q)"""
+SIZE = ", m AS (SELECT video_id, regexp_extract(resolution, '^([0-9]+)x([0-9]+)$', ['w', 'h']) AS r FROM videos)"
 R.add("parse_time", "requests", lambda r: r.select("request_id", "start_time", scalars.parse_time(c("start_time")).alias("seconds")), f"SELECT request_id, start_time, {TIME} AS seconds FROM requests")
 R.add(
     "time_to_frame",
@@ -48,7 +49,7 @@ R.add(
     "resolution_parse",
     "videos",
     lambda v: v.select("video_id", scalars.resolution_parse(c("resolution")).alias("r")).select("video_id", "r.width", "r.height"),
-    ", m AS (SELECT video_id, regexp_extract(resolution, '^([0-9]+)x([0-9]+)$', ['w', 'h']) AS r FROM videos) SELECT video_id, coalesce(TRY_CAST(r.w AS INT), 256) AS width, coalesce(TRY_CAST(r.h AS INT), 256) AS height FROM m",
+    f"{SIZE} SELECT video_id, coalesce(TRY_CAST(r.w AS INT), 256) AS width, coalesce(TRY_CAST(r.h AS INT), 256) AS height FROM m",
 )
 R.add(
     "resolution_even",
@@ -131,7 +132,7 @@ R.add(
     lambda v: catalog.probe_catalog(v).select("video_id", "total_frames", "count_method"),
     "SELECT video_id, coalesce(TRY_CAST(nb_read_packets AS INT), TRY_CAST(nb_frames AS INT), decoder_frames, 0) AS total_frames, CASE WHEN nb_read_packets IS NOT NULL THEN 'packets' WHEN TRY_CAST(nb_frames AS INT) IS NOT NULL THEN 'nb_frames' WHEN decoder_frames IS NOT NULL THEN 'decoder' ELSE 'none' END AS count_method FROM videos",
 )
-R.add("probe_resolution", "videos", lambda v: catalog.probe_resolution(v).select("video_id", "width", "height"), "SELECT video_id, CASE resolution WHEN '640x360' THEN 640 ELSE 1920 END AS width, CASE resolution WHEN '640x360' THEN 360 ELSE 1080 END AS height FROM videos")
+R.add("probe_resolution", "videos", lambda v: catalog.probe_resolution(v).select("video_id", "width", "height"), f"{SIZE} SELECT video_id, coalesce(TRY_CAST(r.w AS INT), 1920) AS width, coalesce(TRY_CAST(r.h AS INT), 1080) AS height FROM m")
 R.add(
     "detections_scan",
     "detections",
