@@ -13,8 +13,9 @@ window's shingles that any item holds, counted by running sums over the whole te
 drops no window that would pass the last step.
 
 The work is one pass over the documents without a shuffle. The benchmark is read in blocks of
-at most BLOCK characters, one after the other; a block's index takes about 4 bytes a character
-and 60 an item, on the driver and in each worker. Each block is one more pass.
+at most BLOCK characters, one after the other, and each block but the last has its result
+written before the next is read; so the driver and each worker hold one block's index, about
+4 bytes a character and 60 an item. Each block is one more pass.
 
 Definitions: words are runs other than ASCII white space, A-Z lower-cased. A text of fewer
 than k words has its whole sequence as one shingle. A document shorter than an item is one
@@ -26,7 +27,7 @@ contaminated() and kept by drop_contaminated().
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import cache, partial, reduce
+from functools import cache, partial
 from itertools import combinations
 
 import numpy as np
@@ -34,6 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from vidtables.llm.scratch import Scratch
 from vidtables.llm.words import U, Words, mix, slices, utf8
 
 RADIUS = 31  # of 128 bits
@@ -197,17 +199,17 @@ def clean_batches(batches: Iterator[pa.RecordBatch], bench: Benchmark, place: in
         yield batch.filter(pa.array(keep))
 
 
-def blocks(benchmark: DataFrame, item_col: str, item_text: str, k: int, percent: int) -> Iterator[Benchmark]:
-    """The benchmark in blocks of at most BLOCK characters, or of one longer item."""
+def blocks(benchmark: DataFrame, item_col: str, item_text: str) -> Iterator[tuple[list, list[str], bool]]:
+    """Ids and texts of the benchmark's items, in blocks of at most BLOCK characters or of one longer item, and whether a block is the last."""
     ids, texts, size = [], [], 0
     for item, text in benchmark.select(item_col, item_text).where(F.col(item_text).isNotNull()).toLocalIterator():
         if texts and size + len(text) > BLOCK:
-            yield Benchmark(ids, texts, k, percent)
+            yield ids, texts, False
             ids, texts, size = [], [], 0
         ids.append(item), texts.append(text)
         size += len(text)
     if texts:
-        yield Benchmark(ids, texts, k, percent)
+        yield ids, texts, True
 
 
 def contaminated(
@@ -217,9 +219,13 @@ def contaminated(
     kind, item_kind = docs.schema[id_col].dataType.simpleString(), benchmark.schema[item_col].dataType.simpleString()
     item_type = benchmark.select(item_col).limit(0).toArrow().schema.field(0).type
     schema = f"id {kind}, item {item_kind}, similarity double, first_word long, n_words long"
-    picked = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    found = [picked.mapInArrow(partial(hit_batches, bench=bench, item_type=item_type), schema) for bench in blocks(benchmark, item_col, item_text, k, percent)]
-    out = reduce(DataFrame.union, found) if found else docs.sparkSession.createDataFrame([], schema)
+    picked, scratch, out = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), Scratch(docs.sparkSession, "decontamination"), None
+    for ids, texts, last in blocks(benchmark, item_col, item_text):
+        found = picked.mapInArrow(partial(hit_batches, bench=Benchmark(ids, texts, k, percent), item_type=item_type), schema)
+        found = found if last else scratch.save(found)
+        out = found if out is None else out.union(found)
+    if out is None:
+        out = docs.sparkSession.createDataFrame([], schema)
     names = [id_col, item_col if item_col != id_col else f"{item_col}_item"]
     return out.withColumnsRenamed(dict(zip(("id", "item"), names, strict=True)))
 
@@ -228,7 +234,8 @@ def drop_contaminated(
     docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text: str = "text", k: int = 5, percent: int = 75
 ) -> DataFrame:
     """Rows of docs, with all columns, that hold no item."""
-    out = docs
-    for bench in blocks(benchmark, item_col, item_text, k, percent):
-        out = out.mapInArrow(partial(clean_batches, bench=bench, place=docs.columns.index(text_col)), docs.schema)
+    out, scratch = docs, Scratch(docs.sparkSession, "decontamination")
+    for ids, texts, last in blocks(benchmark, item_col, item_text):
+        out = out.mapInArrow(partial(clean_batches, bench=Benchmark(ids, texts, k, percent), place=docs.columns.index(text_col)), docs.schema)
+        out = out if last else scratch.save(out)
     return out
