@@ -8,7 +8,9 @@ Features: lengths of URL, host and path, depth, digit ratio, entropy of characte
 host labels, query parameters, scheme, and for the host's last label, its last two labels and
 the path's first segment the smoothed share of blocked URLs and the count. These statistics
 come from all labelled URLs and keep all values, in a table in the shared folder; URLs are
-joined with it by value, which SALTS parts of each value share.
+joined with it by value, which SALTS parts of each value share. A URL that the trees learn from
+has the statistics without those of its own fold, one of FOLDS by a hash of the URL, so that its
+own label is no input.
 
 Host: after the first "://" up to "/", "?", "#" or the end, A-Z lower-cased; path: from there
 up to "?", "#" or the end. A null URL, or one without "://", has both empty. A rule "host/path"
@@ -29,7 +31,7 @@ from pyspark.sql import functions as F
 
 from vidtables.llm.scratch import Scratch
 
-SALTS = 16
+SALTS, FOLDS = 16, 5
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 KINDS = ("last_label", "last_two", "head")
 
@@ -70,7 +72,7 @@ def lexical(urls: DataFrame, url_col: str = "url") -> DataFrame:
         "f_entropy": F.aggregate(F.filter(chars, lambda c: c != ""), F.lit(0.0), lambda a, c: a - share(c) * F.ln(share(c))),
         "f_hyphens": count(F.col("host"), "-"),
         "f_labels": count(F.col("host"), "."),
-        "f_parameters": F.when(u.contains("?"), count(u, "&") + count(u, "=")).otherwise(0.0),
+        "f_parameters": F.size(F.filter(F.split(F.regexp_extract(u, "^[^?#]*[?]([^#]*)", 1), "&"), lambda p: p != "")).cast("double"),
         "f_secure": F.lower(u).startswith("https://").cast("double"),
         "last_label": F.substring_index("host", ".", -1),
         "last_two": F.substring_index("host", ".", -2),
@@ -91,15 +93,8 @@ class UrlModel:
 
     def features(self, urls: DataFrame) -> DataFrame:
         """urls from lexical() with the statistics and their vector."""
-        names = list(FEATURES)
-        salts = F.explode(F.array(*map(F.lit, range(SALTS)))).alias("_salt")
-        urls = urls.withColumn("_salt", F.pmod(F.xxhash64("url"), F.lit(SALTS)).cast("int"))
-        for kind in KINDS:
-            share, count = f"f_{kind}_share", f"f_{kind}_count"
-            known = self.statistics.where(F.col("kind") == kind).select(F.col("value").alias(kind), F.col("share").alias(share), F.col("n").alias(count), salts)
-            urls = urls.join(known, [kind, "_salt"], "left").fillna({share: 0.5, count: 0.0})
-            names += [share, count]
-        return VectorAssembler(inputCols=names, outputCol="_features").transform(urls)
+        salts = F.explode(F.array(*map(F.lit, range(SALTS)))).alias("_part")
+        return with_statistics(urls.withColumn("_part", F.pmod(F.xxhash64("url"), F.lit(SALTS)).cast("int")), self.statistics.select("*", salts))
 
     def score(self, urls: DataFrame) -> DataFrame:
         """urls (with url, host and path) with score, the probability of being blocked."""
@@ -109,16 +104,35 @@ class UrlModel:
         return found.select(*urls.columns, vector_to_array("probability")[1].alias("score"))
 
 
+def with_statistics(urls: DataFrame, statistics: DataFrame) -> DataFrame:
+    """urls (with _part) with the statistics (kind, value, _part, share, n) of their values, and the vector of all features."""
+    names = list(FEATURES)
+    for kind in KINDS:
+        share, count = f"f_{kind}_share", f"f_{kind}_count"
+        known = statistics.where(F.col("kind") == kind).select(F.col("value").alias(kind), "_part", F.col("share").alias(share), F.col("n").alias(count))
+        urls = urls.join(known, [kind, "_part"], "left").fillna({share: 0.5, count: 0.0})
+        names += [share, count]
+    return VectorAssembler(inputCols=names, outputCol="_features").transform(urls)
+
+
 def train(labelled: DataFrame, most: int = 10_000, iterations: int = 8, depth: int = 4) -> UrlModel:
     """A model from labelled URLs (url, host, path, blocked): statistics of all, trees from at most `most` of them."""
-    rows = labelled.where("blocked is not null").select("url", "host", "path", F.col("blocked").cast("double").alias("label"))
-    values = lexical(rows).select("label", F.explode(F.array(*[F.struct(F.lit(k).alias("kind"), F.col(k).alias("value")) for k in KINDS])).alias("v")).select("label", "v.*")
-    counts = Scratch(labelled.sparkSession, "url-statistics").save(values.groupBy("kind", "value").agg(F.count("*").cast("double").alias("n"), F.sum("label").alias("k")))
+    fold = F.pmod(F.xxhash64("url"), F.lit(FOLDS)).cast("int").alias("_part")
+    rows = labelled.where("blocked is not null").select("url", "host", "path", F.col("blocked").cast("double").alias("label"), fold)
+    values = lexical(rows).select("label", "_part", F.explode(F.array(*[F.struct(F.lit(k).alias("kind"), F.col(k).alias("value")) for k in KINDS])).alias("v")).select("label", "_part", "v.*")
+    sums = [F.count("*").cast("double").alias("n"), F.sum("label").alias("k")]
+    counts = Scratch(labelled.sparkSession, "url-statistics").save(values.groupBy("kind", "value", "_part").agg(*sums))
     rate = counts.where(F.col("kind") == KINDS[0]).agg(F.sum("k") / F.sum("n")).first()[0]
     if rate is None or not 0 < rate < 1:
         return UrlModel(None, None)
-    model = UrlModel(counts.select("kind", "value", ((F.col("k") + 2 * rate) / (F.col("n") + 2)).alias("share"), "n"), None)
-    sample = model.features(lexical(rows.orderBy(F.xxhash64("url"), "url").limit(most))).select("_features", "label").cache()
+    share = ((F.col("k") + 2 * rate) / (F.col("n") + 2)).alias("share")
+    whole = counts.groupBy("kind", "value").agg(F.sum("n").alias("n"), F.sum("k").alias("k"))
+    folds = F.explode(F.array(*map(F.lit, range(FOLDS)))).alias("_part")
+    own = counts.select("kind", "value", "_part", F.col("n").alias("own_n"), F.col("k").alias("own_k"))
+    others = whole.select("kind", "value", folds, "n", "k").join(own, ["kind", "value", "_part"], "left").fillna(0.0, ["own_n", "own_k"])
+    others = others.select("kind", "value", "_part", (F.col("n") - F.col("own_n")).alias("n"), (F.col("k") - F.col("own_k")).alias("k")).where("n > 0")
+    sample = with_statistics(lexical(rows.orderBy(F.xxhash64("url"), "url").limit(most)), others.select("kind", "value", "_part", share, "n"))
+    model, sample = UrlModel(whole.select("kind", "value", share, "n"), None), sample.select("_features", "label").cache()
     try:
         if 0 < sample.agg(F.avg("label")).first()[0] < 1:
             model.trees = GBTClassifier(featuresCol="_features", labelCol="label", maxIter=iterations, maxDepth=depth, seed=7).fit(sample)
