@@ -9,8 +9,8 @@ are then verified: weighted Jaccard of the word shingles of window and item, a s
 weight being its number of occurrences, of at least percent.
 
 Windows that can't reach percent aren't hashed: weights shared with an item are at most the
-window's shingles that any item holds, counted by running sums over the whole text. This
-drops no window that would pass the last step.
+window's shingles that some item of its size holds, counted by running sums over the whole text.
+This drops no window that would pass the last step.
 
 The work is one pass over the documents without a shuffle. The benchmark is read in blocks of
 at most BLOCK characters, one after the other, and each block but the last has its result
@@ -80,7 +80,10 @@ class Benchmark:
         self.first, self.total = np.searchsorted(owner[starts], np.arange(len(ids) + 1)), np.diff(first)
         own = np.flatnonzero(self.size)
         self.sizes = np.unique(self.size[own]).tolist()
-        self.held = np.unique(shingles)
+        self.short = np.array([n for n in self.sizes if n < k], np.int32)
+        of_size = np.unique(np.rec.fromarrays((self.shingles, self.size[owner[starts]].astype(np.int32)), names="shingle,size"))
+        self.held, self.held_first = np.unique(of_size["shingle"], return_index=True)  # shingles of any item, and where their sizes of items begin
+        self.held_first, self.held_size = np.append(self.held_first, len(of_size)), of_size["size"]
         self.may = np.zeros(1 << 16, bool)
         self.may[(self.held >> U(48)).astype(np.int64)] = True
         prints = np.zeros((len(ids), BLOCKS), np.uint16)
@@ -91,6 +94,7 @@ class Benchmark:
         order = np.argsort(value, kind="stable")
         self.items = np.repeat(own, BLOCKS)[order].astype(np.int32)
         self.starts = np.searchsorted(value[order], np.arange((BLOCKS << WIDTH) + 1)).astype(np.int32)
+        self.used = self.starts[1:] > self.starts[:-1]
 
     def within(self, prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(window, item) of all fingerprints at most RADIUS bits apart."""
@@ -98,7 +102,7 @@ class Benchmark:
         for some in range(0, len(prints), PROBES):
             at = (prints[some : some + PROBES, :, None] ^ flips()).astype(np.int32) + (np.arange(BLOCKS, dtype=np.int32) << WIDTH)[:, None]
             at = at.reshape(len(at), -1)
-            window, place = np.nonzero(self.starts[at + 1] > self.starts[at])
+            window, place = np.nonzero(self.used[at])
             value = at[window, place]
             lo, n = self.starts[value], self.starts[value + 1] - self.starts[value]
             entry = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(lo, n)
@@ -121,22 +125,24 @@ class Benchmark:
         """Best window of one document for each item that it holds: similarity, first word, words."""
         best: dict[int, tuple[float, int, int]] = {}
         n, k = len(hashes), self.k
-        known = self.may[(shingles >> U(48)).astype(np.int64)]
-        if known.any():
-            places = np.flatnonzero(known)
-            at = np.minimum(np.searchsorted(self.held, shingles[places]), len(self.held) - 1)
-            known[places] = self.held[at] == shingles[places]
-        hits = np.concatenate(([0], np.cumsum(known)))
-        for size in self.sizes:
+        places = np.flatnonzero(self.may[(shingles >> U(48)).astype(np.int64)])
+        at = np.minimum(np.searchsorted(self.held, shingles[places]), max(len(self.held) - 1, 0))
+        known = self.held[at] == shingles[places]
+        places, at = places[known], at[known]
+        sizes = self.held_first[at + 1] - self.held_first[at]  # of items that hold the shingle at each place
+        held_at = np.repeat(places, sizes)
+        held_size = self.held_size[np.arange(len(held_at)) - np.repeat(np.cumsum(sizes) - sizes, sizes) + np.repeat(self.held_first[at], sizes)]
+        for size in np.union1d(held_size, self.short).tolist():
             m = min(size, n)
-            if m < k:  # the window is one shingle, with a hash of its own
-                if m < n and size < k:
-                    starts = np.arange(n - m + 1)
-                    own = _short(hashes, starts, m)
-                    starts = starts[np.isin(own, self.held)]
-                else:
-                    starts = np.arange(1) if m == n and hits[-1] else np.zeros(0, np.int64)
+            if m < k and m < n:  # the window is one shingle, with a hash of its own
+                starts = np.arange(n - m + 1)
+                starts = starts[np.isin(_short(hashes, starts, m), self.held)]
+            elif m < k:
+                starts = np.arange(1) if (held_size == size).any() else np.zeros(0, np.int64)
             else:
+                hits = np.zeros(len(shingles) + 1, np.int32)
+                hits[held_at[held_size == size] + 1] = 1
+                hits = np.cumsum(hits, dtype=np.int32)
                 shares = hits[m - k + 1 :] - hits[: len(hits) - (m - k + 1)]
                 item_shingles = max(size - k + 1, 1)
                 need = -(-self.percent * (item_shingles + m - k + 1) // (100 + self.percent))
