@@ -7,12 +7,13 @@ import random
 import pytest
 
 import corpus_pipeline
+from pyspark.sql import functions as F
 from oracles import differences
 from vidtables.llm import ngram_join, preferences, quality_rules, queries, toxicity, url_filters, warc
 from vidtables.llm.components import components
 from vidtables.llm.scratch import Scratch
 
-SF = "/root/testdata/sf0.001"
+SF, LARGER = "/root/testdata/sf0.001", "/root/testdata/sf0.1"
 RULES = queries.URL_RULES
 
 
@@ -42,6 +43,45 @@ def test_url_rules(spark):
     assert url_filters.judge(df.limit(0), RULES).count() == 0
 
 
+@pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
+def test_op3_query_equals_sql_and_brute_force(spark):
+    """Host, path, rule and the rules' verdicts of all pages, in SQL; other verdicts follow the score."""
+    cut = "CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END"
+    rules = " UNION ALL ".join(f"SELECT '{said}' AS said, '{rule}' AS rule" for said, rule in RULES)
+    sql = f"""WITH p AS (SELECT page_id, coalesce({cut}, '') AS rest FROM pages), q AS (SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*'), '{url_filters.UPPER}', '{url_filters.LOWER}') AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM p),
+rules AS ({rules}), fits AS (SELECT page_id, rule, said, row_number() OVER (PARTITION BY page_id ORDER BY length(rule) DESC) AS n FROM q JOIN rules ON (host = split_part(rule, '/', 1) OR ends_with(host, '.' || split_part(rule, '/', 1))) AND starts_with(path, substr(rule, instr(rule, '/'))))
+SELECT page_id, host, path, fits.rule AS rule, said AS by_rule FROM q LEFT JOIN (SELECT * FROM fits WHERE n = 1) fits USING (page_id)"""
+
+    def query(spark, sf_dir):
+        got = queries.op3_url_filters(spark, sf_dir)
+        own = F.when(F.col("score") >= 0.5, "block").otherwise("allow")
+        assert got.where(F.col("rule").isNull() & (F.col("verdict") != own)).count() == 0
+        return got.select("page_id", "host", "path", "rule", F.when(F.col("rule").isNotNull(), F.col("verdict")).alias("by_rule"))
+
+    assert differences(spark, SF, query, sql) == ([], [], 0)
+
+
+@pytest.mark.skipif(not os.path.isdir(LARGER), reason="no test tables")
+def test_url_verdicts_of_hosts_not_learnt_from(spark):
+    """Labels that rules give to the pages' URLs, for hosts that training doesn't see; repeated rows and null ids."""
+    pages = spark.read.parquet(f"{LARGER}/pages.parquet").select("page_id", "url")
+    rule, verdict = url_filters.rule_of(RULES)
+    rows = url_filters.parts(pages).withColumn("blocked", verdict == "block").where("blocked is not null").withColumn("held", F.pmod(F.xxhash64("host"), F.lit(4)) == 0)
+    model = url_filters.train(rows.where("not held"))
+    got = model.score(rows.where("held")).collect()
+    right = sum((r.score >= 0.5) == r.blocked for r in got)
+    print("held-out hosts:", right, "of", len(got), "URLs right;", sum(r.blocked for r in got), "blocked")
+    assert len(got) > 100 and right / len(got) >= 0.9
+    odd = spark.createDataFrame([(None, "http://a.org/x"), (1, "http://a.org/x"), (1, "http://a.org/x"), (None, None)], "page_id long, url string")
+    assert len({(r.host, r.verdict) for r in url_filters.judge(odd, RULES, model=model).collect() if r.host}) == 1 and url_filters.judge(odd, RULES, model=model).count() == 4
+
+
+def test_parameters_are_counted(spark):
+    urls = {"http://a.b/?a=1&b=2": 2, "http://a.b/?a": 1, "http://a.b/?": 0, "http://a.b/?&&x=1#&y": 1, "http://a.b/a=1&b=2": 0}
+    df = url_filters.lexical(url_filters.parts(spark.createDataFrame([(u,) for u in urls], "url string")))
+    assert {r.url: r.f_parameters for r in df.collect()} == urls
+
+
 def test_url_model_learns_from_labels(spark):
     rng = random.Random(1)
     rows = [(i, f"http://{'buy' + str(rng.randrange(99999)) + '-x' if i % 2 else 'site'}.example.org/{'/'.join('ab' for _ in range(rng.randrange(3)))}?a={i}", bool(i % 2)) for i in range(400)]
@@ -81,8 +121,9 @@ def test_preferences(spark):
     assert None not in {k[0] for k in got} and 4 not in {k[0] for k in got}
     for rows_ in got.values():
         assert [r.start_char for r in rows_] == [0, *[r.end_char for r in rows_[:-1]]] and all(r.end_char - r.start_char == len(r.rendered) for r in rows_)
-    whole = {r.pair_id: r for r in preferences.assemble(parts).collect()}
+    whole = {r.pair_id: r for r in preferences.paired(parts).collect()}
     a = whole[0]
+    assert whole.keys() == {k[0] for k in got} and (whole[2].chosen, whole[2].rejected, whole[2].piece) == ("", "", 0)
     assert a.prompt + a.chosen == "".join(f"<|{r}|>\n{t}<|end|>\n" for r, t in said) and a.rejected_spans == [[0, len("<|assistant|>\nbad<|end|>\n")]]
     assert preferences.format_pairs(turns.limit(0)).count() == 0
 
@@ -90,9 +131,14 @@ def test_preferences(spark):
 def test_preferences_of_long_conversations(spark):
     rows = [(c, t, "user" if t % 2 == 0 else "assistant", f"turn {t}" if t < 150 else f"turn {t} of {c}") for c in (0, 1) for t in range(400)]
     parts = preferences.format_pairs(preferences.paired_by_id(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")))
-    a = preferences.assemble(parts).first()
+    a = preferences.paired(parts).first()
     text = lambda x, lo, hi: "".join(f"<|{r}|>\n{t}<|end|>\n" for c, k, r, t in rows if c == x and lo <= k < hi)
     assert (a.prompt, a.chosen, a.rejected) == (text(0, 0, 150), text(0, 150, 400), text(1, 150, 400))
+    pieces = sorted(preferences.paired(parts, 700).collect(), key=lambda r: r.piece)
+    assert len(pieces) > 5 and all(len(x) < 800 for r in pieces for x in (r.prompt, r.chosen, r.rejected))
+    for name in ("prompt", "chosen", "rejected"):
+        assert "".join(r[name] for r in pieces) == a[name]
+    assert [x for r in pieces for x in r.chosen_spans] == a.chosen_spans and "".join(a.chosen[i:j] for i, j in a.chosen_spans).count("<|assistant|>") == 125
 
 
 def test_warc_round_trip(spark):

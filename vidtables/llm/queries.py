@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from vidtables.llm import decontamination, licences, ngram_join, preferences, quality_rules, sentencepiece_bpe, token_counts, toxicity, url_filters, warc
 
@@ -21,7 +22,9 @@ def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_preference_format(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return preferences.format_pairs(preferences.paired_by_id(table(spark, sf_dir, "conversations")))
+    pairs = preferences.paired(preferences.format_pairs(preferences.paired_by_id(table(spark, sf_dir, "conversations"))))
+    spans = {c: F.array_join(F.transform(c, lambda x: F.concat_ws("-", x[0].cast("string"), x[1].cast("string"))), ",") for c in ("chosen_spans", "rejected_spans")}
+    return pairs.withColumns(spans)
 
 
 def op3_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
