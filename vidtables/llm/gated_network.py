@@ -73,8 +73,8 @@ class Network:
     def __init__(self, seed: int = 7):
         rng = np.random.default_rng(seed)
         normal = lambda scale, *shape: rng.normal(0, scale, shape).astype(F32)
-        h = HIDDEN
-        self.p = {"word": normal(0.1, WORDS, DIM), "gram": normal(0.1, GRAMS, DIM), "v": normal(0.3, 2 * h), "w": normal(0.3, 2 * h), "b": np.zeros(1, F32)}
+        h = HIDDEN  # the tables begin near 0, so that words never learnt from hardly count
+        self.p = {"word": normal(0.01, WORDS, DIM), "gram": normal(0.01, GRAMS, DIM), "v": normal(0.3, 2 * h), "w": normal(0.3, 2 * h), "b": np.zeros(1, F32)}
         for d in "fb":
             self.p |= {f"x{d}": normal(0.3, 2 * DIM, 3 * h), f"u{d}": normal(0.3, h, 3 * h), f"c{d}": np.zeros(3 * h, F32)}
         self.shift = 0.0
@@ -184,7 +184,7 @@ class Network:
         np.add.at(g["gram"], gram, (dvec[:, DIM:] / count)[owner])
         return g
 
-    def fit(self, w: Words, labels: np.ndarray, rounds: int = 3, epochs: int = 4, batch: int = 128, rate: float = 0.01, seed: int = 7) -> None:
+    def fit(self, w: Words, labels: np.ndarray, rounds: int = 5, epochs: int = 3, batch: int = 128, rate: float = 0.01, seed: int = 7) -> None:
         """Learns from whole labelled texts, given as one Words.
 
         A text's label belongs to its most telling window: at first the one with the most telling
