@@ -244,3 +244,14 @@ def test_reassembly():
     assert feed(3, 4) == []
     assert feed(5) == [(2, "recovered"), (3, "in_order"), (4, "in_order"), (5, "in_order")]
     assert feed(2) == [(2, "late")]
+
+
+def test_fallback_takes_the_first_pass_of_the_plan(spark):
+    schema = "video_id long, frame_idx int, pass_no int, det_seq long, x1 double, y1 double, x2 double, y2 double, kps array<array<double>>"
+    rows = [(1, 0, 2, 1, 10.0, 20.0, 30.0, 40.0, [[5.0, 6.0]]), (1, 0, 3, 2, 1.0, 1.0, 2.0, 2.0, None), (1, 1, 0, 3, 1.0, 2.0, 3.0, 4.0, None), (1, 1, 1, 4, 9.0, 9.0, 9.0, 9.0, None)]
+    rows += [(2, 0, 1, 5, 16.0, 16.0, 32.0, 32.0, [[8.0, 8.0]]), (3, 0, 1, 6, 1.0, 1.0, 2.0, 2.0, None), (4, 0, 0, 7, 1.0, 1.0, 2.0, 2.0, None)]
+    videos = spark.createDataFrame([(1, 1920, 1080), (2, 400, 300), (3, 640, 480)], "video_id long, width int, height int")
+    got = {r.det_seq: r for r in boxes.detect_with_fallback(spark.createDataFrame(rows, schema), videos).collect()}
+    assert set(got) == {1, 3, 5}  # video 3 has one pass only, video 4 no size
+    assert (got[1].scale, got[1].x1, got[1].y2, got[1].kps) == (0.5, 20.0, 80.0, [[10.0, 12.0]])
+    assert (got[3].scale, got[3].x2, got[3].kps) == (1.0, 3.0, None) and (got[5].scale, got[5].x1, got[5].kps) == (1.6, 10.0, [[5.0, 5.0]])

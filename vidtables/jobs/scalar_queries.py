@@ -256,6 +256,18 @@ p AS (SELECT *, unnest(CASE WHEN side > 1080 THEN [0, 1, 2, 3] WHEN side < 480 T
 q AS (SELECT *, CASE WHEN pass_no = 0 THEN 1e0 WHEN side < 480 THEN 640e0 / side WHEN pass_no = 1 THEN 0.7e0 WHEN pass_no = 2 THEN 0.5e0 ELSE 0.35e0 END AS k FROM p)
 SELECT video_id, pass_no, round(k, 6) AS scale, CAST(CASE WHEN pass_no = 0 THEN w ELSE floor(trunc(w * k) / 2) * 2 END AS INT) AS pass_width, CAST(CASE WHEN pass_no = 0 THEN h ELSE floor(trunc(h * k) / 2) * 2 END AS INT) AS pass_height FROM q""",
 )
+R.add(
+    "detect_with_fallback",
+    "detections typed",
+    lambda d, v: boxes.detect_with_fallback(
+        d.withColumn("kps", F.array(F.array(c("x1") + 5, c("y1") + 5), F.array(c("x2") - 5, c("y2") - 7))), v.withColumn("width", F.when(c("video_id") % 5 == 0, 400).otherwise(c("width"))).withColumn("height", F.when(c("video_id") % 5 == 0, 300).otherwise(c("height")))
+    ).select("video_id", "frame_idx", "det_seq", "pass_no", *[F.round(x, 6).alias(x) for x in ("scale", "x1", "y1", "x2", "y2")], F.round(c("kps")[0][1], 6).alias("first_y"), F.round(c("kps")[1][0], 6).alias("second_x")),
+    """, v AS (SELECT video_id, CASE WHEN video_id % 5 = 0 THEN 400 ELSE greatest(width, height) END AS side FROM typed),
+p AS (SELECT *, unnest(CASE WHEN side > 1080 THEN [0, 1, 2, 3] WHEN side < 480 THEN [0, 1] ELSE [0] END) AS pass_no FROM v),
+q AS (SELECT video_id, pass_no, CASE WHEN pass_no = 0 THEN 1e0 WHEN side < 480 THEN 640e0 / side WHEN pass_no = 1 THEN 0.7e0 WHEN pass_no = 2 THEN 0.5e0 ELSE 0.35e0 END AS k FROM p),
+r AS (SELECT d.*, k, min(d.pass_no) OVER (PARTITION BY d.video_id, frame_idx) AS m FROM detections d JOIN q ON q.video_id = d.video_id AND q.pass_no = d.pass_no)
+SELECT video_id, frame_idx, det_seq, pass_no, round(k, 6) AS scale, round(x1 / k, 6) AS x1, round(y1 / k, 6) AS y1, round(x2 / k, 6) AS x2, round(y2 / k, 6) AS y2, round((y1 + 5) / k, 6) AS first_y, round((x2 - 5) / k, 6) AS second_x FROM r WHERE pass_no = m""",
+)
 R.add(
     "frames_without_detections",
     "frames detections",

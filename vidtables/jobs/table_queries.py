@@ -288,6 +288,15 @@ R.add(
     lambda r: verify.segment_verify(recorded(r), cut(r)),
     f"{REC} SELECT rec.video_id, rec.seg_idx, frames, coalesce(k, 0) AS actual, CASE WHEN k IS NULL THEN 'dropped' WHEN k <> frames THEN 'corrected' ELSE 'ok' END AS status FROM rec LEFT JOIN m ON m.video_id = rec.video_id AND m.seg_idx = rec.seg_idx",
 )
+R.add(
+    "merge_audit",
+    "results",
+    lambda r: verify.merge_audit(recorded(r), cut(r)),
+    f"""{REC}, s AS (SELECT *, row_number() OVER (PARTITION BY video_id ORDER BY md5(video_id || ':' || seg_idx || ':7'), seg_idx) AS r, count(*) OVER (PARTITION BY video_id) AS n,
+ CAST(row_number() OVER w AS INT) AS place, CAST(coalesce(sum(frames) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS "offset" FROM rec WINDOW w AS (PARTITION BY video_id ORDER BY seg_idx)),
+a AS (SELECT s.*, CASE WHEN r <= greatest(1, least(n // 10, 50)) THEN coalesce(k, 0) END AS actual FROM s LEFT JOIN m ON m.video_id = s.video_id AND m.seg_idx = s.seg_idx)
+SELECT video_id, seg_idx, place, "offset", frames, actual, CASE WHEN actual IS NULL THEN 'unchecked' WHEN actual = 0 THEN 'dropped' WHEN actual <> frames THEN 'corrected' ELSE 'ok' END AS status FROM a""",
+)
 R.add(
     "segment_stats",
     "expected results",

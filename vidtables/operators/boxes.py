@@ -76,6 +76,16 @@ def first_nonempty_pass(detections: DataFrame, pass_col: str = "pass_no") -> Dat
     return detections.withColumn("_first", first).where(F.col(pass_col) == F.col("_first")).drop("_first")
 
 
+def detect_with_fallback(detections: DataFrame, videos: DataFrame) -> DataFrame:
+    """Detections (video_id, frame_idx, pass_no, boxes and maybe kps at the pass's size) of the first pass of each
+    frame that found any, at the size of the image (videos: video_id, width, height), with the pass's scale.
+
+    Passes that the video's plan hasn't, and videos without a size, give nothing. The plan has at most four rows a video."""
+    plan = pass_plan(videos.select("video_id", "width", "height")).select("video_id", "pass_no", "scale")
+    rows = first_nonempty_pass(detections.join(plan, ["video_id", "pass_no"]))
+    return box_rescale(rows, F.col("scale"))
+
+
 # The order of rotations tried.
 ROTATIONS = [0, -30, 30]
 

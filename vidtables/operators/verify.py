@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vidtables.operators.segments import KEY, contiguous_prefix, frames_missing_extra
+from vidtables.operators.segments import KEY, contiguous_prefix, frames_missing_extra, segment_sample, segments_ordered
 
 
 def segment_verify(recorded: DataFrame, rows: DataFrame) -> DataFrame:
@@ -16,6 +16,14 @@ def segment_verify(recorded: DataFrame, rows: DataFrame) -> DataFrame:
     return out.select(*KEY, "frames", "actual", status.alias("status"))
 
 
+def merge_audit(recorded: DataFrame, rows: DataFrame) -> DataFrame:
+    """The segments that a merge takes, in order (place, offset), with the audit of a sample of each video's:
+    actual and status of segment_verify(), or unchecked. All are merged, whatever the audit says."""
+    said = segment_verify(segment_sample(recorded), rows).select(*KEY, "actual", F.col("status").alias("_said"))
+    out = segments_ordered(recorded).join(said, KEY, "left")
+    return out.select(*KEY, "place", "offset", "frames", "actual", F.coalesce("_said", F.lit("unchecked")).alias("status"))
+
+
 def segment_stats(expected: DataFrame, actual: DataFrame) -> DataFrame:
     """Per segment: expected and written frames, how many are missing and extra."""
     apart = frames_missing_extra(expected, actual).groupBy(*KEY).agg(F.count_if(F.col("status") == "missing").alias("missing"), F.count_if(F.col("status") == "extra").alias("extra"))
