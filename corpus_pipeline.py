@@ -2,6 +2,11 @@
 
 Each stage works on all rows that the one before has kept and returns the columns of
 documents; the last returns the encoded documents.
+
+Rows without text, or with too few words, go with the quality rules. Of rows that share an id one
+stays. Rows without id are judged like others and have no near duplicates. Columns beyond those of
+documents pass through, whatever their names. An empty table gives no rows; without labels of both
+kinds no document is toxic, without a benchmark none is contaminated.
 """
 
 from __future__ import annotations

@@ -233,3 +233,22 @@ def test_pipeline_equals_its_parts(spark):
     for _, stage in corpus_pipeline.STAGES[:-1]:
         assert stage(spark, docs, SF).columns == docs.columns
     assert ngram_join.near_duplicates(docs).count() == docs.count()
+
+
+def test_pipeline_on_odd_tables(spark, tmp_path):
+    rng = random.Random(12)
+    some = lambda n: " ".join(rng.choice(["kind", "Plain", "word", "café"]) + str(rng.randrange(3000)) for _ in range(n))
+    good, long, item = [some(90) for _ in range(3)], some(40_000), some(30)
+    near = " ".join(w if j != 40 else "changed" for j, w in enumerate(good[0].split(" ")))
+    rows = [(5, good[0]), (5, good[0]), (7, near), (8, good[1]), (None, good[2]), (None, None), (9, None), (10, ""), (11, "few words"), (12, long), (13, f"{good[1][:300]} {item} {some(60)}"), (14, "# " * 200 + some(90))]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, id string, n int, score double, rep long, component_id int"
+    spark.createDataFrame([(i, t, "en", "s", 1, "x", 2, 0.9, 3, 4) for i, t in rows], schema).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(5, 1, None), (None, None, 1), (99, 0, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([(1, item), (2, None), (3, "")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    got = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    assert sorted((r.doc_id is None, r.doc_id) for r in got) == [(False, 5), (False, 8), (False, 12), (True, None)]
+    none = spark.read.parquet(f"{tmp_path}/documents.parquet").limit(0)
+    none.write.parquet(f"{tmp_path}/empty/documents.parquet")
+    spark.read.parquet(f"{tmp_path}/labels.parquet").limit(0).write.parquet(f"{tmp_path}/empty/labels.parquet")
+    spark.read.parquet(f"{tmp_path}/benchmark.parquet").limit(0).write.parquet(f"{tmp_path}/empty/benchmark.parquet")
+    assert corpus_pipeline.run(spark, f"{tmp_path}/empty").count() == 0

@@ -198,6 +198,50 @@ def test_multi_index_misses_nothing_within_the_radius():
     assert set(zip(*(x.tolist() for x in bench.within(prints)), strict=True)) == set(zip(*(x.tolist() for x in np.nonzero(apart <= decontamination.RADIUS)), strict=True))
 
 
+def test_fingerprints_find_windows_of_all_sizes():
+    """Windows with scattered changes, or changes in one place, that still link with their item."""
+    rng = random.Random(6)
+    for n in (5, 8, 20, 50, 150, 400):
+        items = [[f"v{int(rng.paretovariate(0.7)) % 4000}" for _ in range(n)] for _ in range(40)]
+        bench = decontamination.Benchmark(list(range(len(items))), [" ".join(v) for v in items], 5, 75)
+        found = tried = 0
+        for i, v in enumerate(items):
+            for together in (False, True):
+                for changes in range(max(n // 7, 1) + 1):
+                    w, at = list(v), rng.randrange(n)
+                    for j in range(changes):
+                        w[(at + j) % n if together else rng.randrange(n)] = f"new{rng.randrange(10**6)}"
+                    if weighted_jaccard(bag(w), bag(v)) >= 0.75:
+                        tried += 1
+                        window = Words(*utf8(pa.array([" ".join(w)]))).hash[None]
+                        found += i in bench.within(decontamination.fingerprints(window))[1].tolist()
+        print("words:", n, "windows found:", found, "of", tried)
+        assert tried >= 40 and found >= 0.98 * tried
+
+
+def test_few_windows_reach_the_index(monkeypatch):
+    rng = random.Random(3)
+    items = [" ".join(f"i{rng.randrange(300)}" for _ in range(n)) for n in range(15, 55)]
+    bench = decontamination.Benchmark(list(range(40)), items, 5, 75)
+    texts = [" ".join(f"d{rng.randrange(500)}" for _ in range(300)) for _ in range(50)]
+    texts[7] += " " + items[20] + " " + " ".join(items[3].split()[:9])
+    hashed = []
+    own = decontamination.fingerprints
+    monkeypatch.setattr(decontamination, "fingerprints", lambda words: hashed.append(len(words)) or own(words))
+    found = dict(decontamination.search_rows(pa.array(texts), bench))
+    assert list(found) == [7] and list(found[7]) == [20] and sum(hashed) < 40
+
+
+def test_a_large_benchmark_goes_block_by_block(spark, monkeypatch):
+    rng = random.Random(4)
+    items = [" ".join(f"i{rng.randrange(900)}" for _ in range(20)) for _ in range(9)]
+    docs = spark.createDataFrame([(i, f"some words before {t} and after") for i, t in enumerate(items)] + [(100, "clean " * 30)], "doc_id long, text string")
+    bench = spark.createDataFrame([(f"b{i}", t) for i, t in enumerate(items)], "item_id string, text string")
+    monkeypatch.setattr(decontamination, "BLOCK", 250)
+    assert sorted((r.doc_id, r.item_id) for r in decontamination.contaminated(docs, bench).collect()) == [(i, f"b{i}") for i in range(9)]
+    assert [r.doc_id for r in decontamination.drop_contaminated(docs, bench).collect()] == [100]
+
+
 def test_sentencepiece_equals_the_library(docs, none):
     path = P.path("piece_bpe_32k.model")
     lib = sentencepiece_bpe.vocabulary(path).library
@@ -365,7 +409,36 @@ def test_toxicity_learns_and_generalises(spark, docs, none):
     assert toxicity.score(none, network).count() == 0
     clean = toxicity.drop_toxic(table, network)
     assert clean.columns == table.columns and {r.doc_id for r in clean.collect()} == {i for i, r in got.items() if not r.predicted}
-    assert toxicity.score(table, toxicity.train(table, labels.limit(0))).count() == len(rows)
+    assert [r.predicted for r in toxicity.score(table, toxicity.train(table, labels.limit(0))).collect()] == [0] * len(rows)
+
+
+def test_scores_equal_a_plain_loop_over_windows():
+    """Each window alone, word by word and unit by unit, with the network's parameters."""
+    net = gated_network.Network()
+    net.p = {k: x * 3 for k, x in net.p.items()}
+    net.shift = 0.2
+    texts = ["", "one", "some few words", " ".join(f"w{i % 17}" for i in range(47)), "x " * 20]
+    got = net.score_texts(Words(*utf8(pa.array(texts))))
+    sig = lambda x: 1 / (1 + np.exp(-x))
+    h = gated_network.HIDDEN
+    for t, score in zip(texts, got, strict=True):
+        best = -np.inf if t else float(net.p["b"][0])
+        for at in gated_network.windows(len(t.split())) if t else ():
+            vectors = []
+            for word in t.split()[at : at + gated_network.WINDOW]:
+                lex = gated_network.Lexicon(Words(*utf8(pa.array([word]))))
+                vectors.append(np.concatenate((net.p["word"][lex.word[0]], net.p["gram"][lex.gram].mean(0))))
+            states = [np.zeros(2 * h) for _ in vectors]
+            for d, order, own in (("f", range(len(vectors)), slice(0, h)), ("b", range(len(vectors) - 1, -1, -1), slice(h, None))):
+                s = np.zeros(h)
+                for i in order:
+                    x, u = vectors[i] @ net.p[f"x{d}"] + net.p[f"c{d}"], s @ net.p[f"u{d}"]
+                    z, r = sig(x[:h] + u[:h]), sig(x[h : 2 * h] + u[h : 2 * h])
+                    s = (1 - z) * np.tanh(x[2 * h :] + r * u[2 * h :]) + z * s
+                    states[i][own] = s
+            weight = np.exp([s @ net.p["v"] for s in states])
+            best = max(best, float((weight / weight.sum()) @ np.array(states) @ net.p["w"] + net.p["b"][0]))
+        assert abs(sig(best - net.shift) - score) < 1e-4
 
 
 def test_windows_cover_every_word():

@@ -77,7 +77,7 @@ class Network:
         self.p = {"word": normal(0.01, WORDS, DIM), "gram": normal(0.01, GRAMS, DIM), "v": normal(0.3, 2 * h), "w": normal(0.3, 2 * h), "b": np.zeros(1, F32)}
         for d in "fb":
             self.p |= {f"x{d}": normal(0.3, 2 * DIM, 3 * h), f"u{d}": normal(0.3, h, 3 * h), f"c{d}": np.zeros(3 * h, F32)}
-        self.shift = 0.0
+        self.shift = 50.0  # until it has learnt, all scores are nearly 0
 
     def inputs(self, lex: Lexicon) -> np.ndarray:
         """The input vector of each distinct word."""

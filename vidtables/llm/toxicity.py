@@ -6,10 +6,11 @@ of at most `longest` characters. Scoring covers every text whole: all overlappin
 20 words, 10 words apart; a text's score is its highest window's. Scoring is one pass without
 a shuffle; labels, language, source and id are no inputs of a score.
 
-Null and empty texts, and texts without words, get the score of no window. Rows that repeat
+A task holds one text at least, whatever its size, with about 40 bytes a byte of it. Null and
+empty texts, and texts without words, get the score of no window. Rows that repeat
 are scored alike. Labels that are null, and labels of documents that don't exist, are left
-out; if an id has several labels each counts. Without any usable label all scores are those
-of the untrained network. Extra columns are left out by score() and kept by drop_toxic().
+out; if an id has several labels each counts. Without labels of both kinds nothing is learnt,
+and all scores are nearly 0. Extra columns are left out by score() and kept by drop_toxic().
 """
 
 from __future__ import annotations
