@@ -109,6 +109,13 @@ def test_near_duplicates_with_a_large_group(spark):
     assert {r.doc_id: r.component_id for r in got.collect()} == comp
 
 
+def test_pairs_are_verified_once_in_any_order(spark):
+    rows = [("a", "one two three four five six"), ("b", "one two three four five six seven"), ("c", "other words here in this text")]
+    run = ngram_join.GroupedPrefixJoin(spark.createDataFrame(rows, "doc_id string, text string"))
+    pairs = spark.createDataFrame([("b", "a"), ("a", "b"), ("c", "a"), ("b", "a")], "rep string, gid string")
+    assert sorted(map(tuple, run.verify(pairs).collect())) == [("a", "b", 2, 5), ("a", "c", 0, 4)]
+
+
 def test_near_duplicates_inside_a_group(spark):
     """Two of a group link with each other and not with its leader; their prefix is the head's 3 of 11 shingles,
     once private and once with one shingle that another document has. Each row is a batch, so no shingle is frequent."""

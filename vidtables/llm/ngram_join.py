@@ -145,15 +145,15 @@ def set_batches(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.Record
 
 
 def common_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """How many shingles the two sets of each row share."""
+    """How many shingles the two sets of each row share, and how many they have together, shared ones twice."""
     for batch in batches:
         out = []
         for x, y in zip(batch.column("x"), batch.column("y"), strict=True):
             both = np.concatenate((np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)))
             both.sort(kind="stable")
-            out.append((int(np.count_nonzero(both[1:] == both[:-1])), len(x.as_buffer()) // 8, len(y.as_buffer()) // 8))
-        common, nx, ny = zip(*out, strict=True) if out else ((), (), ())
-        yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), *(pa.array(z, pa.int64()) for z in (common, nx, ny))], names=["a", "b", "common", "na", "nb"])
+            out.append((int(np.count_nonzero(both[1:] == both[:-1])), len(both)))
+        common, total = zip(*out, strict=True) if out else ((), ())
+        yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), *(pa.array(z, pa.int64()) for z in (common, total))], names=["a", "b", "common", "total"])
 
 
 class GroupedPrefixJoin:
@@ -187,22 +187,28 @@ class GroupedPrefixJoin:
         return f"({x}n + {y}n - ({apart})) div 2"
 
     def verify(self, pairs: DataFrame) -> DataFrame:
-        """Shared shingles of each pair (a, b), from the whole texts; written."""
-        pairs = self.scratch.save(pairs)
+        """Shared shingles of each pair, as (a, b) with a < b, from the whole texts; written.
+
+        Many pairs may have the same second one, a pivot. Their rows carry the set of the first when
+        they meet it, so that their size shows how many they are and Spark splits them.
+        """
+        first, second = pairs.columns
+        pairs = pairs.select(F.col(first).alias("tried"), F.col(second).alias("pivot"), F.least(first, second).alias("a"), F.greatest(first, second).alias("b"))
+        pairs = self.scratch.save(pairs.dropDuplicates(["a", "b"]))
         needed = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
         texts = self.docs.join(needed, "id", "left_semi")
         sets = self.scratch.save(texts.mapInArrow(partial(set_batches, k=self.k), f"id {self.id_type}, hashes binary"))
-        x = sets.select(F.col("id").alias("a"), F.col("hashes").alias("x"))
-        y = sets.select(F.col("id").alias("b"), F.col("hashes").alias("y"))
-        y = y.join(pairs.select("b").distinct(), "b", "left_semi")
-        joined = pairs.join(y, "b").join(x, "a").select("a", "b", "x", "y")
-        schema = f"a {self.id_type}, b {self.id_type}, common long, na long, nb long"
+        x = sets.select(F.col("id").alias("tried"), F.col("hashes").alias("x"))
+        y = sets.select(F.col("id").alias("pivot"), F.col("hashes").alias("y"))
+        y = y.join(pairs.select("pivot").distinct(), "pivot", "left_semi")
+        joined = pairs.join(x, "tried").join(y, "pivot").select("a", "b", "x", "y")
+        schema = f"a {self.id_type}, b {self.id_type}, common long, total long"
         out = self.scratch.save(joined.mapInArrow(common_batches, schema))
         self.scratch.drop(sets), self.scratch.drop(pairs)
         return out
 
     def linked(self, verified: DataFrame) -> DataFrame:
-        return verified.where(f"100 * common >= {self.percent} * (na + nb - common)").select("a", "b")
+        return verified.where(f"100 * common >= {self.percent} * (total - common)").select("a", "b")
 
     def classes(self) -> DataFrame:
         """(rep, gid, n, bitmap) of each class of equal sets."""
@@ -228,7 +234,7 @@ class GroupedPrefixJoin:
         return comp.join(main.select("gid", F.col("m.comp").alias("main"), F.col("m.p.rep").alias("pivot")), "gid")
 
     def near_pivots(self, found: DataFrame | None, done: DataFrame | None) -> DataFrame:
-        """Each group with the pivot that it may share most with. At first pivots are any groups, and
+        """(tried, pivot): each group with the pivot that it may share most with. At first pivots are any groups, and
         classes come with their leaders; later pivots are of their list's main component, and only
         groups of other components are tried, without the pairs in done."""
         sets = self.classes_.where("rep = gid").select("gid", "n", *LANES)
@@ -247,13 +253,11 @@ class GroupedPrefixJoin:
         bound = bound.select("gid", "pivot", F.least("gid", "pivot").alias("a"), F.greatest("gid", "pivot").alias("b"), (F.col("n") + F.col("p_n") - 2 * F.col("most")).alias("apart"))
         if done is not None:
             bound = bound.join(done, ["a", "b"], "left_anti")
-            inside = self.split_groups(found).where("comp <> main").select(F.least("rep", "pivot").alias("a"), F.greatest("rep", "pivot").alias("b")).join(done, ["a", "b"], "left_anti")
-        best = bound.groupBy("gid").agg(F.min(F.struct("apart", "a", "b")).alias("best")).select("best.a", "best.b")
+            inside = self.split_groups(found).where("comp <> main").select("rep", "pivot", F.least("rep", "pivot").alias("a"), F.greatest("rep", "pivot").alias("b")).join(done, ["a", "b"], "left_anti")
+        best = bound.groupBy("gid").agg(F.min(F.struct("apart", "a", "b", "pivot")).alias("best")).select(F.col("gid").alias("tried"), "best.pivot")
         if found is None:
-            best = best.union(self.classes_.where("rep <> gid").select(F.least("rep", "gid"), F.greatest("rep", "gid")))
-        else:
-            best = best.union(inside)
-        return best.distinct()
+            return best.union(self.classes_.where("rep <> gid").select("rep", "gid"))
+        return best.union(inside.select("rep", "pivot"))
 
     def left_apart(self, found: DataFrame, done: DataFrame) -> DataFrame:
         """Pairs of classes that may link, in different components of found, without those of done."""

@@ -56,7 +56,7 @@ def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
-def slices(offsets: np.ndarray, limit: int = 4 * PIECE) -> Iterator[tuple[int, int]]:
+def slices(offsets: np.ndarray, limit: int = PIECE) -> Iterator[tuple[int, int]]:
     """Row ranges of at most limit bytes each, or of one longer row."""
     lo, n = 0, len(offsets) - 1
     while lo < n:
