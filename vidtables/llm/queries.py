@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vidtables.llm import decontamination, licences, ngram_join, preferences, quality_rules, sentencepiece_bpe, token_counts, toxicity, url_filters, warc
+from vidtables.llm import decontamination, licences, line_dedup, ngram_join, preferences, quality_rules, sentencepiece_bpe, token_counts, toxicity, url_filters, warc
 
 PIECES = "piece_bpe_32k.model"
 RANKS = "byte_bpe_50k.tiktoken"
@@ -64,6 +64,11 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(table(spark, sf_dir, "documents"))
 
 
+def op11_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = line_dedup.deduplicated(table(spark, sf_dir, "documents"))
+    return rows.select("doc_id", "_lines.n_lines", "_lines.n_dropped", F.sha2("_lines.kept", 256).alias("kept_sha256"))
+
+
 def queries() -> dict:
     found = (
         op1_decontamination,
@@ -76,6 +81,7 @@ def queries() -> dict:
         op8_toxicity,
         op9_warc,
         op10_quality_rules,
+        op11_line_dedup,
     )
     return {f.__name__: f for f in found}
 
@@ -86,4 +92,5 @@ def oracle_sql() -> dict[str, str]:
         "op4_licence_scan": licences.oracle(),
         "op9_warc": warc.ORACLE,
         "op10_quality_rules": quality_rules.ORACLE,
+        "op11_line_dedup": line_dedup.ORACLE,
     }
