@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vidtables.llm import decontamination, licences, line_dedup, ngram_join, preferences, quality_rules, sentencepiece_bpe, token_counts, toxicity, url_filters, vector_codes, warc
+from vidtables.llm import collocations, decontamination, licences, line_dedup, ngram_join, preferences, quality_rules, sentencepiece_bpe, token_counts, toxicity, url_filters, vector_codes, warc
 
 PIECES = "piece_bpe_32k.model"
 RANKS = "byte_bpe_50k.tiktoken"
@@ -69,6 +69,10 @@ def op11_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "_lines.n_lines", "_lines.n_dropped", F.sha2("_lines.kept", 256).alias("kept_sha256"))
 
 
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
 def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = vector_codes.compressed(table(spark, sf_dir, "embeddings"))
     return rows.select("vec_id", "code", F.col("error").cast("long"), F.col("label_error").cast("long"), "codebooks_sha256")
@@ -87,6 +91,7 @@ def queries() -> dict:
         op9_warc,
         op10_quality_rules,
         op11_line_dedup,
+        op12_collocations,
         op13_vector_codes,
     )
     return {f.__name__: f for f in found}
@@ -99,5 +104,6 @@ def oracle_sql() -> dict[str, str]:
         "op9_warc": warc.ORACLE,
         "op10_quality_rules": quality_rules.ORACLE,
         "op11_line_dedup": line_dedup.ORACLE,
+        "op12_collocations": collocations.ORACLE,
         "op13_vector_codes": vector_codes.oracle(),
     }
