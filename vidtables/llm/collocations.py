@@ -126,17 +126,13 @@ def pieces_of(text: pa.Scalar, size: int = BLOCK) -> Iterator[np.ndarray]:
         yield data[lo:]
 
 
-NEW_LINE = np.array([10], np.uint8)
-
-
 def list_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Blocks (lang, words, lengths, positions) of (lang, text)."""
-    held: dict[str, list[np.ndarray]] = {}
-    sizes: dict[str, int] = {}
+    held: dict[str, bytearray] = {}
+    size = 0
 
     def block(lang: str) -> Iterator[pa.RecordBatch]:
-        sizes.pop(lang)
-        found = indexed(np.concatenate(held.pop(lang)))
+        found = indexed(np.frombuffer(held.pop(lang), np.uint8))
         if found:
             words, lengths, positions = found
             first = np.concatenate(([0], np.cumsum(lengths)))[:-1]
@@ -149,12 +145,13 @@ def list_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text"), strict=True):
             for piece in pieces_of(text):
-                held.setdefault(lang, []).extend((piece, NEW_LINE))
-                sizes[lang] = sizes.get(lang, 0) + len(piece) + 1
-                if sizes[lang] >= BLOCK:
-                    yield from block(lang)
-                elif sum(sizes.values()) >= 4 * BLOCK:  # many languages
-                    yield from block(max(sizes, key=sizes.get))
+                own = held.setdefault(lang, bytearray())
+                own += piece.tobytes() + b"\n"
+                size += len(piece) + 1
+                if len(own) >= BLOCK or size >= 4 * BLOCK:
+                    longest = max(held, key=lambda x: len(held[x]))
+                    size -= len(held[longest])
+                    yield from block(longest)
     for lang in list(held):
         yield from block(lang)
 

@@ -148,7 +148,7 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_doc"), F.col(f"`{id_col}`").alias("id"), row_key(F.col(f"`{text_col}`")).alias("_key"))
     text, dropped = F.col("_doc").getField(text_col), F.col("dropped")
     lines = F.struct(F.size(lines_of(text)).cast("long").alias("n_lines"), F.size(dropped).cast("long").alias("n_dropped"), kept_text(text, dropped).alias("kept"))
-    return _with_dropped(whole, lost, "id").select("_doc.*", lines.alias("_lines"))
+    return _with_dropped(whole, lost, "id").select("_doc", lines.alias("_lines")).select("_doc.*", "_lines")
 
 
 ORACLE = """
