@@ -63,12 +63,12 @@ def hashed(words: pa.Array) -> np.ndarray:
     return out
 
 
-def cells_of(parts: list[np.ndarray], lang: int) -> np.ndarray:
+def cells_of(parts: list[np.ndarray], lang: int, cells: int) -> np.ndarray:
     """The bit of each phrase, given the hashes of its words in order, and that of the language."""
     out = np.full(len(parts[0]), U(lang))
     for h in parts:
         out = mix(out + h * U(3))
-    return (out % U(CELLS)).astype(np.int64)
+    return (out % U(cells)).astype(np.int64)
 
 
 def lang_hash(lang: str) -> int:
@@ -107,7 +107,7 @@ def indexed(text: np.ndarray) -> tuple[pa.Array, np.ndarray, np.ndarray] | None:
     return found.dictionary.cast(pa.string()), np.bincount(ids, minlength=len(found.dictionary)), position[order]
 
 
-def pieces_of(text: pa.Scalar, size: int = BLOCK) -> Iterator[np.ndarray]:
+def pieces_of(text: pa.Scalar, size: int) -> Iterator[np.ndarray]:
     """A text's bytes, in parts of about size that end where a piece does."""
     data = np.frombuffer(text.as_buffer(), np.uint8) if text.is_valid and len(text.as_buffer()) else np.zeros(0, np.uint8)
     lo = 0
@@ -126,7 +126,7 @@ def pieces_of(text: pa.Scalar, size: int = BLOCK) -> Iterator[np.ndarray]:
         yield data[lo:]
 
 
-def list_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def list_batches(batches: Iterator[pa.RecordBatch], block_size: int) -> Iterator[pa.RecordBatch]:
     """Blocks (lang, words, lengths, positions) of (lang, text)."""
     held: dict[str, bytearray] = {}
     size = 0
@@ -144,11 +144,11 @@ def list_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     for batch in batches:
         for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text"), strict=True):
-            for piece in pieces_of(text):
+            for piece in pieces_of(text, block_size):
                 own = held.setdefault(lang, bytearray())
                 own += piece.tobytes() + b"\n"
                 size += len(piece) + 1
-                if len(own) >= BLOCK or size >= 4 * BLOCK:
+                if len(own) >= block_size or size >= 4 * block_size:
                     longest = max(held, key=lambda x: len(held[x]))
                     size -= len(held[longest])
                     yield from block(longest)
@@ -172,7 +172,7 @@ class Block:
         for n in range(1, k):
             bits = np.frombuffer(frequent[n - 1].value, np.uint8)
             words = [self.id[at + j] for j in range(n)]
-            cell = cells_of([self.hash[w] for w in words], self.lang)
+            cell = cells_of([self.hash[w] for w in words], self.lang, 8 * len(bits))
             at = at[(bits[cell >> 3] >> (cell & 7).astype(np.uint8)) & 1 == 1]
             at = np.intersect1d(at, at - 1, assume_unique=True)  # the lists of those that begin one word later
         return at, np.stack([self.id[at + j] for j in range(k)], axis=1) if len(at) else np.zeros((0, k), np.int64)
@@ -203,7 +203,7 @@ def count_batches(batches: Iterator[pa.RecordBatch], k: int, frequent: list[Broa
                 yield pa.RecordBatch.from_arrays([pa.array([lang]).take(pa.array(np.zeros(len(some), np.int64))), some, pa.array(np.asarray(counts[lo : lo + (1 << 16)]), pa.int64())], names=["lang", "phrase", "f"])
 
 
-def cell_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def cell_batches(batches: Iterator[pa.RecordBatch], n_cells: int) -> Iterator[pa.RecordBatch]:
     """The bit of each (lang, phrase)."""
     for batch in batches:
         cells = np.zeros(len(batch), np.int64)
@@ -214,16 +214,16 @@ def cell_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             flat = hashed(words.flatten()).reshape(-1, k)
             for lang in set(langs):
                 own = langs == lang
-                cells[own] = cells_of([flat[own, j] for j in range(k)], lang_hash(lang))
+                cells[own] = cells_of([flat[own, j] for j in range(k)], lang_hash(lang), n_cells)
         yield pa.RecordBatch.from_arrays([pa.array(cells)], names=["cell"])
 
 
-def bits_of(frequent: DataFrame) -> bytes:
-    """The bitmap of frequent phrases: CELLS bits, whatever their number."""
-    cells = frequent.mapInArrow(cell_batches, "cell long")
+def bits_of(frequent: DataFrame, n_cells: int) -> bytes:
+    """The bitmap of frequent phrases: n_cells bits, a multiple of 32768, whatever their number."""
+    cells = frequent.mapInArrow(partial(cell_batches, n_cells=n_cells), "cell long")
     rows = cells.groupBy(F.bitmap_bucket_number(F.col("cell") + 1).alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(F.col("cell") + 1)).alias("bits"))
-    out = np.zeros(CELLS // 8, np.uint8)
-    for r in rows.collect():  # at most CELLS / 32768 rows of 4 KB
+    out = np.zeros(n_cells // 8, np.uint8)
+    for r in rows.collect():  # at most n_cells / 32768 rows of 4 KB
         out[(r.bucket - 1) * 4096 : r.bucket * 4096] = np.frombuffer(r.bits, np.uint8)
     return out.tobytes()
 
@@ -231,11 +231,11 @@ def bits_of(frequent: DataFrame) -> bytes:
 class Collocations:
     """Frequent phrases of one table, level by level."""
 
-    def __init__(self, docs: DataFrame, text_col: str = "text", lang_col: str = "lang", least: int = 10, words: int = 3):
-        self.spark, self.least, self.most = docs.sparkSession, least, words
+    def __init__(self, docs: DataFrame, text_col: str = "text", lang_col: str = "lang", least: int = 10, words: int = 3, block: int = BLOCK, cells: int = CELLS):
+        self.spark, self.least, self.most, self.cells = docs.sparkSession, least, words, cells
         self.scratch = Scratch(self.spark, "collocations")
         texts = docs.select(F.coalesce(F.col(f"`{lang_col}`").cast("string"), F.lit("und")).alias("lang"), F.col(f"`{text_col}`").alias("text")).where("text is not null")
-        self.lists = self.scratch.save(texts.mapInArrow(list_batches, "lang string, words array<string>, lengths array<int>, positions binary"))
+        self.lists = self.scratch.save(texts.mapInArrow(partial(list_batches, block_size=block), "lang string, words array<string>, lengths array<int>, positions binary"))
         self.totals = self.lists.groupBy("lang").agg(F.sum(F.expr("aggregate(lengths, 0L, (s, x) -> s + x)")).alias("n"))
 
     def frequent(self) -> DataFrame:
@@ -244,7 +244,7 @@ class Collocations:
         for k in range(1, self.most + 1):
             if k > 1:
                 with settings(self.spark, WHILE_WRITING):
-                    bits.append(self.spark.sparkContext.broadcast(bits_of(levels[-1])))
+                    bits.append(self.spark.sparkContext.broadcast(bits_of(levels[-1], self.cells)))
             counts = self.lists.mapInArrow(partial(count_batches, k=k, frequent=bits), "lang string, phrase string, f long")
             levels.append(self.scratch.save(counts.groupBy("lang", "phrase").agg(F.sum("f").alias("f")).where(F.col("f") >= self.least)))
         found = [level.withColumn("words", F.lit(k)) for k, level in enumerate(levels, 1)]
@@ -283,10 +283,10 @@ class Collocations:
         return final.join(self.totals, "lang").select("lang", F.col("rank").cast("long").alias("rank"), "phrase", "a", "l", "r", "n", "score")
 
 
-def collocations(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", least: int = 10, words: int = 3, top: int = 2000) -> DataFrame:
+def collocations(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", least: int = 10, words: int = 3, top: int = 2000, block: int = BLOCK, cells: int = CELLS) -> DataFrame:
     """The `top` phrases of 2 to `words` words of each language by score, with a = f(phrase) >= least, the parts'
     frequencies l and r of its lowest-scoring cut, and the language's words n."""
-    return Collocations(docs, text_col, lang_col, least, words).ranked(top)
+    return Collocations(docs, text_col, lang_col, least, words, block, cells).ranked(top)
 
 
 ORACLE = """

@@ -75,7 +75,7 @@ def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = vector_codes.compressed(table(spark, sf_dir, "embeddings"))
-    return rows.select("vec_id", "code", F.col("error").cast("long"), F.col("label_error").cast("long"), "codebooks_sha256")
+    return rows.select("vec_id", "code", F.col("error").try_cast("long").alias("error"), F.col("label_error").try_cast("long").alias("label_error"), "codebooks_sha256")
 
 
 def queries() -> dict:

@@ -61,12 +61,12 @@ def stored_type(largest: int) -> np.dtype | None:
     return next((np.dtype(t) for t in (np.int16, np.int32, np.int64) if largest <= np.iinfo(t).max), None)
 
 
-def blocked(batches: Iterator[pa.RecordBatch], dims: int) -> Iterator[pa.RecordBatch]:
+def blocked(batches: Iterator[pa.RecordBatch], dims: int, size: int) -> Iterator[pa.RecordBatch]:
     """Rows (id, label, v) as blocks: ids and labels as lists, components column by column as bytes, the
     largest absolute component. v has no nulls and `dims` finite components."""
     for batch in batches:
-        for lo in range(0, len(batch), BLOCK):
-            part = batch.slice(lo, BLOCK)
+        for lo in range(0, len(batch), size):
+            part = batch.slice(lo, size)
             flat = integers(part.column("v").flatten().to_numpy(zero_copy_only=False))
             columns = flat.reshape(len(part), dims).T
             largest = int(np.abs(columns).max())
@@ -170,10 +170,10 @@ def encoded(batches: Iterator[pa.RecordBatch], books: Codebooks) -> Iterator[pa.
 class VectorCodes:
     """Codes for the vectors of one table."""
 
-    def __init__(self, vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", parts: int = 4, entries: int = 256, rounds: int = 4):
+    def __init__(self, vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", parts: int = 4, entries: int = 256, rounds: int = 4, block: int = BLOCK):
         if entries > 256:
             raise ValueError("a code's digit pair has 256 values")
-        self.spark, self.parts, self.n, self.rounds = vectors.sparkSession, parts, entries, rounds
+        self.spark, self.parts, self.n, self.rounds, self.block = vectors.sparkSession, parts, entries, rounds, block
         self.scratch = Scratch(self.spark, "vector-codes")
         rows = vectors.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{label_col}`").alias("label"), F.col(f"`{vector_col}`").alias("v"))
         unusable = "v is null or size(v) = 0 or exists(v, x -> x is null or isnan(x) or abs(x) = double('infinity'))"
@@ -192,7 +192,7 @@ class VectorCodes:
 
     def blocks(self, dims: int) -> DataFrame:
         schema = f"ids array<{self.types['id']}>, labels array<{self.types['label']}>, data binary, largest string"
-        return self.scratch.save(self.rows.where(f"size(v) = {dims}").mapInArrow(partial(blocked, dims=dims), schema))
+        return self.scratch.save(self.rows.where(f"size(v) = {dims}").mapInArrow(partial(blocked, dims=dims, size=self.block), schema))
 
     def trained(self, blocks: DataFrame, books: Codebooks) -> Codebooks:
         held: RDD = blocks.select("data", "largest").rdd.map(lambda r: (bytes(r.data), int(r.largest)))
@@ -213,7 +213,7 @@ class VectorCodes:
         largest = max(int(r[0]) for r in blocks.groupBy(F.length("largest").alias("n")).agg(F.max("largest").alias("x")).select("x").collect())  # a row for each length
         kind = number_type(largest, first.shape[2])
         books = self.trained(blocks, Codebooks(first.astype(kind), kind))
-        return blocks.mapInArrow(partial(encoded, books=books), schema).withColumn("error", F.col("error").cast("decimal(38,0)")), books
+        return blocks.mapInArrow(partial(encoded, books=books), schema).withColumn("error", F.col("error").try_cast("decimal(38,0)")), books
 
 
 def with_label_error(rows: DataFrame) -> DataFrame:
@@ -223,15 +223,16 @@ def with_label_error(rows: DataFrame) -> DataFrame:
     most rows have is spread over SLOTS keys.
     """
     placed = rows.withColumn("_slot", F.pmod(F.xxhash64("id", "code"), F.lit(SLOTS)))
-    of_slot = placed.groupBy("label", "_slot").agg(F.sum("error").alias("e"))
-    of_label = of_slot.groupBy(F.col("label").alias("l")).agg(F.sum("e").alias("label_error"))
+    of_slot = placed.groupBy("label", "_slot").agg(F.try_sum("error").alias("e"))
+    of_label = of_slot.groupBy(F.col("label").alias("l")).agg(F.try_sum("e").alias("label_error"))
     spread = of_slot.join(of_label, F.col("label").eqNullSafe(F.col("l"))).select(F.col("label").alias("l"), F.col("_slot").alias("s"), "label_error")
     return placed.join(spread, F.col("label").eqNullSafe(F.col("l")) & (F.col("_slot") == F.col("s"))).drop("l", "s", "_slot")
 
 
-def compressed(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", parts: int = 4, entries: int = 256, rounds: int = 4) -> DataFrame:
-    """(id_col, label_col, code, error, label_error, codebooks_sha256) of each vector that is kept. Errors are decimal(38, 0)."""
-    run = VectorCodes(vectors, id_col, vector_col, label_col, parts, entries, rounds)
+def compressed(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", parts: int = 4, entries: int = 256, rounds: int = 4, block: int = BLOCK) -> DataFrame:
+    """(id_col, label_col, code, error, label_error, codebooks_sha256) of each vector that is kept. Errors are
+    decimal(38, 0), null where they have more digits."""
+    run = VectorCodes(vectors, id_col, vector_col, label_col, parts, entries, rounds, block)
     found, books = run.result()
     rows = with_label_error(run.scratch.save(found))
     digest = F.lit(books.digest() if books else None).cast("string")
