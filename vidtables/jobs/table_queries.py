@@ -374,38 +374,57 @@ SELECT video_id, seg_idx, CASE WHEN checked THEN k ELSE frames END AS frames, CA
 )
 
 
-def job(f: DataFrame, r: DataFrame, v: DataFrame, d: DataFrame) -> video_job.Run:
-    """The whole run; processing turns the sign of an event's value."""
-    return video_job.run(f.select("video_id", "frame_idx", "event_id", "value"), r.select("video_id", "frame_idx", "event_id", (-c("value")).alias("value")), whole_ranges(v), d, ["event_id", "value"], 600)
-
-
-JOB = f"""{RESUME}, todo AS (SELECT f.*, CAST(n_prefix + (frame_idx - resume) // 600 AS INT) AS seg_idx FROM frames f JOIN res USING (video_id) WHERE frame_idx >= resume AND frame_idx < range_end)"""
+def job(f: DataFrame, r: DataFrame, v: DataFrame, d: DataFrame, stored: DataFrame) -> video_job.Run:
+    """The whole run; processing turns the sign of an event's value, as it did in the segments of earlier runs, some of which are damaged."""
+    before = v.select("video_id", (c("total_frames") + c("video_id") % 3 * 40 - 40).cast("int").alias("total_frames"))
+    return video_job.run(f.select("video_id", "frame_idx", "event_id", "value"), r.select("video_id", "frame_idx", "event_id", (-c("value")).alias("value")), v, whole_ranges(v), d, stored, ["event_id", "value"], 600, before)
+
+
+JOB_TABLES = "frames results typed segments_done stored"
+# from the reference's rules: segments without rows go, the others count what they hold; the prefix without a gap decides the
+# frame to go on with; all completed segments are merged, and the clip lies over the whole range
+JOB = """, held AS (SELECT d.video_id, d.seg_idx, d.frames AS said, count(s.frame_idx) AS frames FROM segments_done d LEFT JOIN stored s ON s.video_id = d.video_id AND s.seg_idx = d.seg_idx GROUP BY 1, 2, 3),
+rep AS (SELECT *, row_number() OVER (PARTITION BY video_id ORDER BY seg_idx) - 1 AS rn FROM held WHERE frames > 0),
+pre AS (SELECT video_id, count(*) FILTER (rn = seg_idx) AS n_prefix, coalesce(sum(frames) FILTER (rn = seg_idx), 0) AS prefix_frames, count(*) FILTER (frames <> said) AS corrected FROM rep GROUP BY 1),
+res AS (SELECT video_id, total_frames, fps, greatest(total_frames, 100) AS range_end, coalesce(n_prefix, 0) AS n_prefix, coalesce(prefix_frames, 0) AS prefix_frames, coalesce(corrected, 0) AS corrected, CAST(least(100 + coalesce(prefix_frames, 0), greatest(total_frames, 100)) AS INT) AS resume FROM typed LEFT JOIN pre USING (video_id)),
+rng AS (SELECT f.*, resume, n_prefix, s.seg_idx AS old, s.recovered AS old_recovered FROM frames f JOIN res ON res.video_id = f.video_id AND f.frame_idx >= 100 AND f.frame_idx < range_end
+  LEFT JOIN stored s ON s.video_id = f.video_id AND s.frame_idx = f.frame_idx AND s.seg_idx < n_prefix AND f.frame_idx < resume),
+j AS (SELECT video_id, frame_idx, event_id, CASE WHEN frame_idx >= resume THEN CAST(n_prefix + (frame_idx - resume) // 600 AS INT) ELSE old END AS seg_idx, frame_idx >= resume AS is_new,
+  CASE WHEN frame_idx >= resume THEN event_type = 'error' ELSE coalesce(old_recovered, true) END AS recovered, value FROM rng)"""
+JOB_VALUE = "CASE WHEN j.recovered THEN j.value ELSE -j.value END AS value"
 R.add(
     "video_job",
-    "frames results typed segments_done",
-    lambda f, r, v, d: job(f, r, v, d).report,
-    f"""{JOB}, s AS (SELECT video_id, count(*) AS n, count(*) FILTER (event_type = 'error') AS e FROM todo GROUP BY 1)
-SELECT video_id, n_prefix AS segments_before, resume, range_end, CAST((range_end - resume + 599) // 600 AS BIGINT) AS segments_planned, coalesce(n, 0) AS frames_todo, coalesce(n - e, 0) AS processed, coalesce(e, 0) AS recovered FROM res LEFT JOIN s USING (video_id)""",
+    JOB_TABLES,
+    lambda *t: job(*t).report,
+    f"""{JOB}, s AS (SELECT video_id, count(*) FILTER (is_new) AS n, count(*) FILTER (is_new AND recovered) AS e, count(*) FILTER (seg_idx IS NULL) AS lost, count(seg_idx) AS written FROM j GROUP BY 1),
+p AS (SELECT video_id, count(*) AS k, array_to_string(list(frame_idx ORDER BY frame_idx)[1:20], ',') AS first FROM j WHERE recovered GROUP BY 1),
+b AS (SELECT video_id, max(frame_idx) + 1 AS last FROM frames GROUP BY 1),
+t AS (SELECT video_id, least(last, CASE WHEN old > 0 AND old <> total_frames AND prefix_frames > total_frames THEN old ELSE total_frames END) AS total FROM (SELECT res.*, total_frames + video_id % 3 * 40 - 40 AS old FROM res) JOIN b USING (video_id)),
+o AS (SELECT res.*, coalesce(total, 0) AS total, coalesce(n, 0) AS n, coalesce(e, 0) AS e, coalesce(lost, 0) AS lost, coalesce(written, 0) AS written, coalesce(k, 0) AS k, coalesce(first, '') AS first, CAST(greatest(least(range_end, coalesce(total, 0)) - 100, 0) AS BIGINT) AS expected
+  FROM res LEFT JOIN s USING (video_id) LEFT JOIN p USING (video_id) LEFT JOIN t USING (video_id)),
+q AS (SELECT *, written > 0 AND resume + n >= least(range_end, total) AS done, total / fps AS was, (total - expected + written + lost) / fps AS final FROM o)
+SELECT video_id, n_prefix AS segments_before, 100 AS range_start, resume, range_end, CAST((range_end - resume + 599) // 600 AS BIGINT) AS segments_planned, corrected AS segments_corrected, n AS frames_todo, n - e AS processed, e AS recovered, lost AS lost_before, written,
+  k AS recovered_in_all, first AS first_recovered, CAST(total AS INT) AS total_frames, expected, done, done AND written < expected * 0.95 AS remerge,
+  round(abs(final - was), 9) <= round(CASE WHEN was < 300 THEN 1e0 WHEN was < 1800 THEN greatest(1e0, was * 0.001e0) ELSE least(2e0, was * 0.001e0) END, 9) AS duration_ok FROM q""",
 )
 R.add(
     "video_job_frames",
-    "frames results typed segments_done",
-    lambda f, r, v, d: job(f, r, v, d).frames,
-    f"""{JOB} SELECT f.video_id, f.frame_idx, f.event_id, CASE WHEN todo.frame_idx IS NOT NULL AND f.event_type <> 'error' THEN -f.value ELSE f.value END AS value, CASE WHEN todo.frame_idx IS NULL THEN 'original' ELSE 'processed' END AS origin
-FROM frames f LEFT JOIN todo ON todo.video_id = f.video_id AND todo.frame_idx = f.frame_idx""",
+    JOB_TABLES,
+    lambda *t: job(*t).frames,
+    f"""{JOB} SELECT f.video_id, f.frame_idx, f.event_id, CASE WHEN j.frame_idx IS NOT NULL AND NOT j.recovered THEN -f.value ELSE f.value END AS value, CASE WHEN j.frame_idx IS NULL THEN 'original' ELSE 'processed' END AS origin, coalesce(j.recovered, false) AS recovered
+FROM frames f LEFT JOIN j ON j.video_id = f.video_id AND j.frame_idx = f.frame_idx""",
 )
 R.add(
     "video_job_merged",
-    "frames results typed segments_done",
-    lambda f, r, v, d: job(f, r, v, d).merged,
-    f"""{JOB} SELECT video_id, seg_idx, frame_idx, event_id, CASE WHEN event_type = 'error' THEN value ELSE -value END AS value, event_type = 'error' AS recovered, row_number() OVER (PARTITION BY video_id ORDER BY frame_idx) - 1 AS out_idx FROM todo""",
+    JOB_TABLES,
+    lambda *t: job(*t).merged,
+    f"{JOB} SELECT video_id, seg_idx, frame_idx, event_id, {JOB_VALUE}, recovered, is_new, row_number() OVER (PARTITION BY video_id ORDER BY seg_idx, frame_idx) - 1 AS out_idx FROM j WHERE seg_idx IS NOT NULL",
 )
 R.add(
     "video_job_checkpoint",
-    "frames results typed segments_done",
-    lambda f, r, v, d: job(f, r, v, d).checkpoint,
-    f"""{JOB}, n AS (SELECT video_id, seg_idx, count(*) AS frames FROM todo GROUP BY 1, 2)
-SELECT video_id, seg_idx, coalesce(n.frames, d.frames) AS frames FROM segments_done d FULL JOIN n USING (video_id, seg_idx)""",
+    JOB_TABLES,
+    lambda *t: job(*t).checkpoint,
+    f"{JOB} SELECT video_id, seg_idx, count(*) AS frames FROM j WHERE seg_idx IS NOT NULL GROUP BY 1, 2",
 )
 R.add(
     "checkpoint_upsert",

@@ -78,12 +78,13 @@ def frame_set_diff(expected: DataFrame, actual: DataFrame) -> DataFrame:
     return a.subtract(b).withColumn("status", F.lit("missing")).union(b.subtract(a).withColumn("status", F.lit("extra")))
 
 
-def fill_from_original(original: DataFrame, processed: DataFrame, columns: list[str]) -> DataFrame:
-    """All original frames, with processed columns where there are any, else the original's, and recovered."""
-    key = ["video_id", "frame_idx"]
-    p = processed.select(*key, *[F.col(c).alias(f"_p_{c}") for c in columns], F.lit(True).alias("_there"))
-    rows = original.select(*key, *columns).join(p, key, "left")
-    return rows.select(*key, *[F.when(F.col("_there"), F.col(f"_p_{c}")).otherwise(F.col(c)).alias(c) for c in columns], F.col("_there").isNull().alias("recovered"))
+def fill_from_original(original: DataFrame, processed: DataFrame, columns: list[str], more: list[str] | None = None, own: list[str] | None = None) -> DataFrame:
+    """All original frames, with processed columns where there are any, else the original's, and recovered.
+    more: further columns of processed, null (or false) where there is no row; own: further ones of original."""
+    key, more, own = ["video_id", "frame_idx"], more or [], own or []
+    p = processed.select(*key, *[F.col(c).alias(f"_p_{c}") for c in columns], *more, F.lit(True).alias("_there"))
+    rows = original.select(*key, *own, *columns).join(p, key, "left").na.fill(False, more)
+    return rows.select(*key, *own, *[F.when(F.col("_there"), F.col(f"_p_{c}")).otherwise(F.col(c)).alias(c) for c in columns], *more, F.col("_there").isNull().alias("recovered"))
 
 
 def missing_preview(missing: DataFrame, k: int = 10) -> DataFrame:

@@ -39,6 +39,10 @@ TEMPLATES = {
     "segments_done": """SELECT video_id, seg_idx, frames FROM (SELECT o_custkey AS video_id,
  CAST(row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1 AS INT) AS seg_idx,
  CAST(10 + o_orderkey % 591 AS INT) AS frames, o_orderstatus FROM {orders}) t WHERE o_orderstatus <> 'P'""",
+    "offsets": """SELECT video_id, seg_idx, frames, CAST(100 + coalesce(sum(frames) OVER (PARTITION BY video_id ORDER BY seg_idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS INT) AS seg_start FROM {segments_done}""",
+    "stored": """SELECT f.video_id, s.seg_idx, f.frame_idx, f.event_id, CASE WHEN f.event_type = 'error' THEN f.value ELSE -f.value END AS value, f.event_type = 'error' AS recovered
+ FROM {frames} f JOIN {offsets} s ON f.video_id = s.video_id AND f.frame_idx >= s.seg_start AND f.frame_idx < s.seg_start + s.frames
+ WHERE (f.video_id + s.seg_idx) % 7 <> 3 AND NOT ((f.video_id + s.seg_idx) % 3 = 1 AND f.frame_idx < s.seg_start + 2)""",
     "positions": """SELECT *, CAST(row_number() OVER (PARTITION BY video_id, frame_idx ORDER BY x1, det_seq) - 1 AS INT) AS position FROM {detections}""",
     "slots": """SELECT video_id, position, CASE WHEN position = 1 THEN NULL ELSE embedding END AS embedding, position = 1 AS is_skip FROM {positions} WHERE frame_idx = 0""",
     "expected": """SELECT video_id, CASE WHEN event_id % 17 = 3 THEN frame_idx + 1000000 ELSE frame_idx END AS frame_idx FROM {frames}""",
