@@ -105,6 +105,11 @@ def _there(spark: SparkSession, path: str) -> bool:
     return at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def load(spark: SparkSession, folder: str, schema: str) -> tuple[DataFrame, DataFrame]:
     """The checkpoint and the segments' rows of a folder; empty tables at first. schema has the columns of a row."""
     done, stored = f"{folder}/{CHECKPOINT}", f"{folder}/{SEGMENTS}"
@@ -127,24 +132,21 @@ def process(frames: DataFrame, results: DataFrame, videos: DataFrame, ranges: Da
     columns = [c.strip().split()[0] for c in schema.split(",")]
     done, stored = load(spark, folder, schema)
     now = run(frames, results, videos, ranges, done, stored, columns, segment_frames)
-    groups = [r.g for r in now.plan.join(_prefix(now), "video_id").select(_group(at_once).alias("g")).distinct().orderBy("g").collect()]  # a number for each group
     version = spark.range(1).select(F.unix_micros(F.current_timestamp())).first()[0]
-    todo = now.written.where("is_new").join(_prefix(now), "video_id")
-    for g in groups:
-        rows = todo.where(_group(at_once) == g).select("video_id", "seg_idx", "frame_idx", *columns, "recovered")
-        checkpoints.segment_sink(rows, f"{folder}/{SEGMENTS}")
-        back = spark.read.schema(f"{schema}, frame_idx int, recovered boolean, video_id long, seg_idx int").parquet(f"{folder}/{SEGMENTS}")
-        marks = back.join(now.plan.join(_prefix(now), "video_id").where(_group(at_once) == g).select("video_id", "seg_idx"), ["video_id", "seg_idx"], "left_semi")
-        marks.groupBy("video_id", "seg_idx").agg(F.count("*").alias("frames")).withColumn("version", F.lit(version + g)).write.mode("append").parquet(f"{folder}/{CHECKPOINT}")
+    first = now.plan.groupBy("video_id").agg(F.min("seg_idx").alias("_first"))
+    group = F.floor((F.col("seg_idx") - F.col("_first")) / at_once).cast("int").alias("g")
+    fields = f"{schema}, frame_idx int, recovered boolean, video_id long, seg_idx int"
+    todo = f"{folder}/todo-{version}"
+    rows = now.written.where("is_new").join(first, "video_id").select(*columns, "frame_idx", "recovered", "video_id", "seg_idx", group)
+    rows.write.partitionBy("g").parquet(todo)  # once, so that each group reads its own rows only
+    rows = spark.read.schema(f"{fields}, g int").parquet(todo)
+    for g in sorted(r.g for r in rows.select("g").distinct().collect()):  # a number for each group
+        own = rows.where(F.col("g") == g).drop("g")
+        checkpoints.segment_sink(own, f"{folder}/{SEGMENTS}")
+        own.groupBy("video_id", "seg_idx").agg(F.count("*").alias("frames")).withColumn("version", F.lit(version + g)).write.mode("append").parquet(f"{folder}/{CHECKPOINT}")
         if after:
             after(g)
+    remove(spark, todo)
     done, stored = load(spark, folder, schema)
     return run(frames, results, videos, ranges, done, stored, columns, segment_frames)
 
-
-def _prefix(now: Run) -> DataFrame:
-    return now.plan.groupBy("video_id").agg(F.min("seg_idx").alias("_first"))
-
-
-def _group(at_once: int):
-    return F.floor((F.col("seg_idx") - F.col("_first")) / at_once).cast("int")
