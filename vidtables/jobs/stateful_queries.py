@@ -180,7 +180,7 @@ SELECT video_id, 'in_order' AS status, count(*) AS n, max(frame_idx) AS last FRO
 UNION ALL SELECT video_id, 'late', CAST(sum(k - 1) AS BIGINT), max(frame_idx) FROM f WHERE k > 1 GROUP BY 1""",
     "stream_late": f"{WAITED} SELECT video_id, frame_idx, 'late' AS status FROM (SELECT video_id, frame_idx, unnest(range(1, k)) FROM f)",
     "stream_track": f"{common_tables('people')}{TRACKED}{SLOTTED} SELECT * FROM t",
-    "segment_sink": "WITH f AS (SELECT user_id % 10 AS video_id, CAST(row_number() OVER (PARTITION BY user_id % 10 ORDER BY event_id) - 1 AS INT) AS frame_idx, event_id, event_type FROM events) SELECT video_id, CAST(frame_idx // 600 AS INT) AS seg_idx, frame_idx, event_id FROM f WHERE event_type <> 'error'",
+    "segment_sink": "WITH f AS (SELECT event_id % 10 AS video_id, CAST(event_id // 10 AS INT) AS frame_idx, event_id, event_type FROM events) SELECT video_id, CAST(frame_idx // 600 AS INT) AS seg_idx, frame_idx, event_id FROM f WHERE event_type <> 'error'",
     "stream_segments": SEGMENTS,
     "stream_resume": SEGMENTS,
     "stream_stats": "SELECT CAST(floor(epoch(ts) / 3600) * 3600 AS BIGINT) AS window_start, user_id % 8 AS worker_id, count(*) AS frames, count(*) FILTER (event_type = 'error') AS failed, round(avg(value), 6) AS avg_ms FROM events GROUP BY 1, 2",

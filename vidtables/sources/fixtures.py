@@ -28,14 +28,14 @@ TEMPLATES = {
  CAST(o_orderkey % 90 - 3 AS INT) AS max_age, CAST(o_orderkey % 70 AS INT) AS reset_interval,
  CAST(o_orderkey % 700 AS INT) AS segment_frames,
  CASE o_orderkey % 6 WHEN 0 THEN '-1' WHEN 1 THEN CAST(o_orderkey % 5 AS VARCHAR(20)) || ',2' WHEN 2 THEN CAST(o_orderkey % 4 AS VARCHAR(20)) || ', ,' || CAST(o_orderkey % 7 AS VARCHAR(20)) WHEN 3 THEN 'a, ' || CAST(o_orderkey % 3 AS VARCHAR(20)) || ',1.5' WHEN 4 THEN CAST(o_orderkey % 3 AS VARCHAR(20)) || ',-1' ELSE NULL END AS skip_spec FROM {orders}""",
-    "frames": """SELECT user_id % 10 AS video_id, CAST(row_number() OVER (PARTITION BY user_id % 10 ORDER BY event_id) - 1 AS INT) AS frame_idx, event_id, ts, event_type, value FROM {events}""",
+    "frames": """SELECT event_id % 10 AS video_id, CAST(floor(event_id / 10) AS INT) AS frame_idx, event_id, ts, event_type, value FROM {events}""",
     "frame_log": """SELECT user_id % 2 AS gpu_id, user_id % 8 AS worker_id, event_id AS frame_idx, ts, value AS elapsed_ms, event_type = 'error' AS failed FROM {events}""",
-    "detections": """SELECT label AS video_id, CAST(floor(rn / 3) AS INT) AS frame_idx, vec_id AS det_seq,
+    "detections": """SELECT CAST(vec_id % 10 AS INT) AS video_id, CAST(floor(floor(vec_id / 10) / 3) AS INT) AS frame_idx, vec_id AS det_seq,
  CAST((vec_id * 37) % 1600 AS DOUBLE) AS x1, CAST((vec_id * 53) % 800 AS DOUBLE) AS y1,
  CAST((vec_id * 37) % 1600 + 40 + (vec_id * 29) % 500 AS DOUBLE) AS x2,
  CAST((vec_id * 53) % 800 + 40 + (vec_id * 31) % 500 AS DOUBLE) AS y2,
  CAST((vec_id * 17) % 100 AS DOUBLE) / 100 AS det_score, CAST(vec_id % 4 AS INT) AS pass_no, embedding
- FROM (SELECT *, row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS rn FROM {embeddings}) t""",
+ FROM {embeddings}""",
     "segments_done": """SELECT video_id, seg_idx, frames FROM (SELECT o_custkey AS video_id,
  CAST(row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1 AS INT) AS seg_idx,
  CAST(10 + o_orderkey % 591 AS INT) AS frames, o_orderstatus FROM {orders}) t WHERE o_orderstatus <> 'P'""",
