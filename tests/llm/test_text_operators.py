@@ -118,7 +118,7 @@ def test_pairs_are_verified_once_in_any_order(spark):
 
 def test_near_duplicates_inside_a_group(spark):
     """Two of a group link with each other and not with its leader; their prefix is the head's 3 of 11 shingles,
-    once private and once with one shingle that another document has. Each row is a batch, so no shingle is frequent."""
+    once private and once with one shingle that another document has. In one cell of counts shingles are ordered by hash."""
     rng = random.Random(7)
 
     def some(n):
@@ -139,7 +139,8 @@ def test_near_duplicates_inside_a_group(spark):
     comp, _ = brute_components(rows)
     assert comp == {1: 1, 2: 2, 3: 2, 11: 11, 12: 12, 13: 12, 19: 19}
     docs = spark.createDataFrame(spark.sparkContext.parallelize(rows, len(rows)), "doc_id long, text string")
-    assert {r.doc_id: r.component_id for r in ngram_join.near_duplicates(docs).collect()} == comp
+    for cells in (1, ngram_join.CELLS):  # by hash alone, and by counts
+        assert {r.doc_id: r.component_id for r in ngram_join.GroupedPrefixJoin(docs, cells=cells).result().collect()} == comp
 
 
 def test_one_of_each_keeps_columns(docs, none):

@@ -1,8 +1,8 @@
 """Grouped prefix join: near-duplicate documents by the Jaccard similarity of word shingles.
 
-Each document's set of shingles is put in one order for the whole corpus: rare shingles by
-hash first, those that many documents share last. Two sets that link must share a shingle of
-their prefixes, the first n - ceil(percent * n / 100) + 1 shingles. The steps:
+Each document's set of shingles is put in one order for the whole corpus: by how many documents hold
+shingles of the same cell of a sketch, rare ones first, then by hash. Two sets that link must share a shingle
+of their prefixes, the first n - ceil(percent * n / 100) + 1 shingles. The steps:
 
 1. Documents with equal sets form a class; classes with identical prefixes and size a group.
 2. Groups post their prefixes. Shingles that only one group posts go; classes of one group share
@@ -10,8 +10,8 @@ their prefixes, the first n - ceil(percent * n / 100) + 1 shingles. The steps:
 3. Each posting list has a pivot, one of its groups by hash. Every group is verified against
    the one of its lists' pivots that it may share most shingles with, and every class against
    its group's leader. Two more rounds try groups that aren't in a list's main component
-   against pivots of it, and classes against one of their group's main component, so that
-   large groups of near copies hang together by few pairs.
+   against up to TRIES pivots of it, and classes against one of their group's main component, so that
+   large groups of near copies hang together by few pairs for each of them.
 4. What is still apart is compared in full: groups of one list are expanded to their classes,
    and pairs in different components so far that pass the size, position, bitmap and count
    filters are verified. Of a list's main component only pairs with the others are made. The
@@ -28,7 +28,8 @@ Pairs inside a component that is already connected add nothing to components; al
 compared, so no link between different texts is lost. Verification compares whole sets.
 
 The order of shingles decides only how much work there is, never the result. Its counts come
-from all documents; the most frequent HOT shingles are held on every executor (2 MB).
+from all documents: each task counts its shingles in CELLS cells, the tasks' counts are summed through a
+reduction tree, and the cells' ranks (4 MB, whatever the input) are held on every executor.
 
 Definitions: words are runs other than ASCII white space, A-Z lower-cased. A document with
 fewer than k words has its whole sequence as one shingle; one without words or text has an
@@ -44,16 +45,17 @@ from functools import partial
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark import Broadcast
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vidtables.llm.components import components
 from vidtables.llm.scratch import WHILE_WRITING, Scratch, settings
 from vidtables.llm.words import Words, slices, utf8
 
-HOT = 1 << 18
-TOGETHER = 1 << 21  # shingles counted at once
+CELLS = 1 << 20
 ROUNDS = 3
+TRIES = 8
 BITS = 512
 LANES = [f"b{i}" for i in range(BITS // 64)]
 
@@ -68,30 +70,27 @@ def set_rows(batch: pa.RecordBatch, k: int) -> Iterator[tuple[int, np.ndarray]]:
             yield lo + i, x[np.append(True, x[1:] != x[:-1])] if len(x) > 1 else x
 
 
-def frequent_batches(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
-    """Shingles of at least 3 documents of about TOGETHER shingles, with their counts."""
+def cell_of(x: np.ndarray, cells: int) -> np.ndarray:
+    """The sketch's cell of each shingle; other bits than those that order by hash looks at first."""
+    return (x & np.uint64(cells - 1)).astype(np.int64)
 
-    def counted(sets: list[np.ndarray]) -> pa.RecordBatch:
-        token, n = np.unique(np.concatenate(sets), return_counts=True)
-        keep = n >= 3
-        return pa.RecordBatch.from_arrays([pa.array(token[keep].view(np.int64)), pa.array(n[keep].astype(np.int64))], names=["token", "n"])
 
-    sets, held = [], 0
+def sketch_batches(batches: Iterator[pa.RecordBatch], k: int, cells: int) -> Iterator[pa.RecordBatch]:
+    """One row: how many documents' shingles a task has in each cell."""
+    counts = np.zeros(cells, np.int64)
     for batch in batches:
         for _, x in set_rows(batch, k):
-            sets.append(x)
-            held += len(x)
-            if held >= TOGETHER:
-                yield counted(sets)
-                sets, held = [], 0
-    if sets:
-        yield counted(sets)
-
-
-def signature_batches(batches: Iterator[pa.RecordBatch], k: int, percent: int, hot: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """Size, digest of the set, digest of prefix and size, prefix, bitmap. hot: the frequent shingles, rarest first."""
-    by_hash = np.argsort(hot)
-    sorted_hot = hot[by_hash]
+            np.add.at(counts, cell_of(x, cells), 1)
+    yield pa.RecordBatch.from_arrays([pa.array([counts.tobytes()], pa.binary())], names=["counts"])
+
+
+def added(x: bytes, y: bytes) -> bytes:
+    return (np.frombuffer(x, np.int64) + np.frombuffer(y, np.int64)).tobytes()
+
+
+def signature_batches(batches: Iterator[pa.RecordBatch], k: int, percent: int, ranks: Broadcast) -> Iterator[pa.RecordBatch]:
+    """Size, digest of the set, digest of prefix and size, prefix, bitmap. ranks: the place of each cell, rarest first."""
+    rank = np.frombuffer(ranks.value, np.int32)
     for batch in batches:
         size, digest, key, prefix, bits = [], [], [], [], np.zeros((len(batch), BITS), bool)
         for row, x in set_rows(batch, k):
@@ -102,17 +101,9 @@ def signature_batches(batches: Iterator[pa.RecordBatch], k: int, percent: int, h
                 digest.append(None), key.append(None), prefix.append(np.zeros(0, np.int64))
                 continue
             p = n - -(-percent * n // 100) + 1
-            if len(hot):
-                at = np.minimum(np.searchsorted(sorted_hot, x), len(hot) - 1)
-                is_hot = sorted_hot[at] == x
-                cold = x[~is_hot]
-                if len(cold) < p:
-                    x_hot, rank = x[is_hot], by_hash[at[is_hot]]
-                    first = np.concatenate((cold, x_hot[np.argsort(rank)][: p - len(cold)]))
-                else:
-                    first = cold[:p]
-            else:
-                first = x[:p]
+            place = rank[cell_of(x, len(rank))]
+            least = np.flatnonzero(place <= np.partition(place, p - 1)[p - 1])  # cells that the prefix may take shingles of
+            first = x[least[np.lexsort((x[least], place[least]))[:p]]]
             digest.append(hashlib.blake2b(x.tobytes(), digest_size=16).digest())
             key.append(hashlib.blake2b(first.tobytes() + n.to_bytes(8, "little"), digest_size=16).digest())
             prefix.append(first.view(np.int64))
@@ -159,18 +150,20 @@ def common_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
 class GroupedPrefixJoin:
     """One run over one table; result() gives a row for each row of it."""
 
-    def __init__(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 75):
-        self.spark, self.id_col, self.k, self.percent = docs.sparkSession, id_col, k, percent
+    def __init__(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 75, cells: int = CELLS):
+        self.spark, self.id_col, self.k, self.percent, self.cells = docs.sparkSession, id_col, k, percent, cells
         self.id_type = docs.schema[id_col].dataType.simpleString()
         self.docs = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
         self.scratch = Scratch(self.spark, "ngram-join")
 
-    def frequent(self) -> np.ndarray:
-        """The HOT most frequent shingles, rarest first; a bounded table."""
-        found = self.docs.mapInArrow(partial(frequent_batches, k=self.k), "token long, n long")
+    def ranks(self) -> bytes:
+        """The place of each cell in the order of counts, rarest first."""
+        rows = self.docs.mapInArrow(partial(sketch_batches, k=self.k, cells=self.cells), "counts binary").rdd.map(lambda r: bytes(r.counts))
         with settings(self.spark, WHILE_WRITING):
-            top = found.groupBy("token").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "token").limit(HOT).toArrow()
-        return top.column("token").to_numpy().view(np.uint64)[::-1].copy()
+            counts = np.frombuffer(rows.treeAggregate(bytes(8 * self.cells), added, added, 2 if rows.getNumPartitions() < 256 else 3), np.int64)
+        out = np.empty(self.cells, np.int32)
+        out[np.argsort(counts, kind="stable")] = np.arange(self.cells, dtype=np.int32)
+        return out.tobytes()
 
     def need(self, n: str, m: str) -> str:
         """The least number of shared shingles with which sets of n and m link."""
@@ -222,9 +215,13 @@ class GroupedPrefixJoin:
         leaders = self.classes_.where("rep = gid").select("gid", "key")
         posts = self.sigs.join(leaders, (self.sigs.id == leaders.gid) & (self.sigs.key == leaders.key), "left_semi")
         posts = posts.select(F.col("id").alias("gid"), "n", F.posexplode("prefix").alias("pos", "token"))
-        of_token = Window.partitionBy("token")
-        shared = posts.select("*", F.min("gid").over(of_token).alias("lo"), F.max("gid").over(of_token).alias("hi")).where("lo < hi")
-        return self.scratch.save(shared.drop("lo", "hi"))
+        posts = self.scratch.save(posts)
+        # the shared tokens are written, so that a common one's posts meet their one row in a plain join, which Spark splits
+        shared = posts.groupBy("token").agg(F.min("gid").alias("lo"), F.max("gid").alias("hi")).where("lo < hi").select("token")
+        shared = self.scratch.save(shared)
+        out = self.scratch.save(posts.join(shared, "token"))
+        self.scratch.drop(posts), self.scratch.drop(shared)
+        return out
 
     def split_groups(self, found: DataFrame) -> DataFrame:
         """Classes of groups that are in several components of found, with the main one of their group and a pivot of it."""
@@ -235,8 +232,8 @@ class GroupedPrefixJoin:
 
     def near_pivots(self, found: DataFrame | None, done: DataFrame | None) -> DataFrame:
         """(tried, pivot): each group with the pivot that it may share most with. At first pivots are any groups, and
-        classes come with their leaders; later pivots are of their list's main component, and only
-        groups of other components are tried, without the pairs in done."""
+        classes come with their leaders; later pivots are of their list's main component, TRIES for each group, and
+        only groups of other components are tried, without the pairs in done."""
         sets = self.classes_.where("rep = gid").select("gid", "n", *LANES)
         by_hash = F.struct(F.xxhash64("token", "gid"), "gid", "n", "comp")
         if found is None:
@@ -244,8 +241,10 @@ class GroupedPrefixJoin:
             pivots = listed.groupBy("token").agg(F.min(by_hash).alias("p"))
         else:
             listed = self.lists_.join(found, F.col("gid") == F.col("v"), "left").withColumn("comp", F.coalesce("component", "gid")).drop("v", "component")
-            of_comp = listed.groupBy("token", "comp").agg(F.count("*").alias("c"), F.min(by_hash).alias("p"))
-            pivots = of_comp.groupBy("token").agg(F.max(F.struct("c", "p")).alias("m"), F.count("*").alias("comps")).where("comps > 1").select("token", F.col("m.p").alias("p"))
+            bucket = F.pmod(F.xxhash64("gid"), F.lit(TRIES)).alias("bucket")
+            of_bucket = listed.groupBy("token", "comp", bucket).agg(F.count("*").alias("c"), F.min(by_hash).alias("p"))
+            of_comp = of_bucket.groupBy("token", "comp").agg(F.sum("c").alias("c"), F.collect_list("p").alias("ps"))  # TRIES at most
+            pivots = of_comp.groupBy("token").agg(F.max(F.struct("c", "comp", "ps")).alias("m"), F.count("*").alias("comps")).where("comps > 1").select("token", F.explode("m.ps").alias("p"))
         tried = listed.join(pivots, "token").where(f"comp <> p.comp and 100 * least(n, p.n) >= {self.percent} * greatest(n, p.n)")
         pairs = tried.select("gid", F.col("p.gid").alias("pivot")).distinct()
         other = sets.withColumnsRenamed({c: f"p_{c}" for c in sets.columns}).withColumnRenamed("p_gid", "pivot")
@@ -254,7 +253,8 @@ class GroupedPrefixJoin:
         if done is not None:
             bound = bound.join(done, ["a", "b"], "left_anti")
             inside = self.split_groups(found).where("comp <> main").select("rep", "pivot", F.least("rep", "pivot").alias("a"), F.greatest("rep", "pivot").alias("b")).join(done, ["a", "b"], "left_anti")
-        best = bound.groupBy("gid").agg(F.min(F.struct("apart", "a", "b", "pivot")).alias("best")).select(F.col("gid").alias("tried"), "best.pivot")
+        nearest = F.array_sort(F.collect_set(F.struct("apart", "a", "b", "pivot")))  # of a group's shingles and their pivots
+        best = bound.groupBy("gid").agg(F.slice(nearest, 1, 1 if found is None else TRIES).alias("best")).select(F.col("gid").alias("tried"), F.explode("best.pivot").alias("pivot"))
         if found is None:
             return best.union(self.classes_.where("rep <> gid").select("rep", "gid"))
         return best.union(inside.select("rep", "pivot"))
@@ -279,7 +279,9 @@ class GroupedPrefixJoin:
         x, y = split.alias("x"), split.where("comp <> main").alias("y")
         may[0], may[2] = "x.gid = y.gid and x.comp <> y.comp and (x.comp = x.main or x.rep < y.rep)", "true"
         inside = x.join(y, F.expr(" and ".join(may))).select(F.least("x.rep", "y.rep").alias("a"), F.greatest("x.rep", "y.rep").alias("b"))
-        return self.enough(self.scratch.save(pairs.union(inside).distinct().join(done, ["a", "b"], "left_anti")))
+        out = self.scratch.save(pairs.union(inside).distinct().join(done, ["a", "b"], "left_anti"))
+        self.scratch.drop(mixed), self.scratch.drop(split)
+        return self.enough(out)
 
     def enough(self, pairs: DataFrame) -> DataFrame:
         """Pairs whose prefixes share so much that, with what lies behind them, the sets may link."""
@@ -288,11 +290,13 @@ class GroupedPrefixJoin:
         held = self.scratch.save(self.sigs.join(reps, ["id", "key"], "left_semi").select("id", "n", "prefix"))
         x, y = (held.select(F.col("id").alias(a), F.col("n").alias(f"n{a}"), F.col("prefix").alias(f"p{a}")) for a in "ab")
         shared = "size(array_intersect(pa, pb))"
-        return pairs.join(x, "a").join(y, "b").where(f"{shared} + greatest({self.behind('na')}, {self.behind('nb')}) >= {self.need('na', 'nb')}").select("a", "b").distinct()
+        out = self.scratch.save(pairs.join(x, "a").join(y, "b").where(f"{shared} + greatest({self.behind('na')}, {self.behind('nb')}) >= {self.need('na', 'nb')}").select("a", "b").distinct())
+        self.scratch.drop(held), self.scratch.drop(pairs)
+        return out
 
     def result(self) -> DataFrame:
         """(id, n_shingles, component_id) of each row."""
-        signed = partial(signature_batches, k=self.k, percent=self.percent, hot=self.frequent())
+        signed = partial(signature_batches, k=self.k, percent=self.percent, ranks=self.spark.sparkContext.broadcast(self.ranks()))
         self.sigs = self.scratch.save(self.docs.mapInArrow(signed, f"id {self.id_type}, n long, digest binary, key binary, prefix array<long>, " + ", ".join(f"{b} long" for b in LANES)))
         self.classes_ = self.classes()
         self.lists_ = self.lists()
