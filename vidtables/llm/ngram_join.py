@@ -217,7 +217,7 @@ class GroupedPrefixJoin:
         posts = posts.select(F.col("id").alias("gid"), "n", F.posexplode("prefix").alias("pos", "token"))
         posts = self.scratch.save(posts)
         # the shared tokens are written, so that a common one's posts meet their one row in a plain join, which Spark splits
-        shared = posts.groupBy("token").agg(F.min("gid").alias("lo"), F.max("gid").alias("hi")).where("lo < hi").select("token")
+        shared = posts.groupBy("token").agg(F.count("*").alias("groups")).where("groups > 1").select("token")  # a group posts a token once
         shared = self.scratch.save(shared)
         out = self.scratch.save(posts.join(shared, "token"))
         self.scratch.drop(posts), self.scratch.drop(shared)
@@ -235,17 +235,19 @@ class GroupedPrefixJoin:
         classes come with their leaders; later pivots are of their list's main component, TRIES for each group, and
         only groups of other components are tried, without the pairs in done."""
         sets = self.classes_.where("rep = gid").select("gid", "n", *LANES)
-        by_hash = F.struct(F.xxhash64("token", "gid"), "gid", "n", "comp")
+        own, by_hash = F.struct("gid", "n", "comp"), F.xxhash64("token", "gid")
         if found is None:
             listed = self.lists_.withColumn("comp", F.col("gid"))
-            pivots = listed.groupBy("token").agg(F.min(by_hash).alias("p"))
+            pivots = listed.groupBy("token").agg(F.array(F.min_by(own, by_hash)).alias("ps"))
         else:
             listed = self.lists_.join(found, F.col("gid") == F.col("v"), "left").withColumn("comp", F.coalesce("component", "gid")).drop("v", "component")
             bucket = F.pmod(F.xxhash64("gid"), F.lit(TRIES)).alias("bucket")
-            of_bucket = listed.groupBy("token", "comp", bucket).agg(F.count("*").alias("c"), F.min(by_hash).alias("p"))
-            of_comp = of_bucket.groupBy("token", "comp").agg(F.sum("c").alias("c"), F.collect_list("p").alias("ps"))  # TRIES at most
-            pivots = of_comp.groupBy("token").agg(F.max(F.struct("c", "comp", "ps")).alias("m"), F.count("*").alias("comps")).where("comps > 1").select("token", F.explode("m.ps").alias("p"))
-        tried = listed.join(pivots, "token").where(f"comp <> p.comp and 100 * least(n, p.n) >= {self.percent} * greatest(n, p.n)")
+            of_bucket = listed.groupBy("token", "comp", bucket).agg(F.count("*").alias("c"), F.min_by(own, by_hash).alias("p"))
+            of_comp = of_bucket.groupBy("token", "comp").agg(F.sum("c").alias("c"), F.array_sort(F.collect_list("p")).alias("ps"))  # TRIES at most
+            pivots = of_comp.groupBy("token").agg(F.max(F.struct("c", "comp", "ps")).alias("m"), F.count("*").alias("comps")).where("comps > 1").select("token", "m.ps")
+        # of a list's pivots a group takes one, by hash, so that its lists together offer it several
+        one = F.get("ps", F.pmod(F.xxhash64("gid", "token"), F.size("ps")).cast("int"))
+        tried = listed.join(pivots, "token").withColumn("p", one).where(f"comp <> p.comp and 100 * least(n, p.n) >= {self.percent} * greatest(n, p.n)")
         pairs = tried.select("gid", F.col("p.gid").alias("pivot")).distinct()
         other = sets.withColumnsRenamed({c: f"p_{c}" for c in sets.columns}).withColumnRenamed("p_gid", "pivot")
         bound = pairs.join(sets, "gid").join(other, "pivot").withColumn("most", F.expr(self.shared_at_most("", "p_"))).where(f"most >= {self.need('n', 'p_n')}")
