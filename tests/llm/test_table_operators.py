@@ -4,14 +4,17 @@ import hashlib
 import os
 import random
 
+import numpy as np
+import pyarrow as pa
 import pytest
 
 import corpus_pipeline
 from pyspark.sql import functions as F
 from oracles import differences
-from vidtables.llm import ngram_join, preferences, quality_rules, queries, toxicity, url_filters, warc
+from vidtables.llm import gated_network, ngram_join, preferences, quality_rules, queries, toxicity, url_filters, warc
 from vidtables.llm.components import components
 from vidtables.llm.scratch import Scratch
+from vidtables.llm.words import Words, utf8
 
 SF, LARGER = "/root/testdata/sf0.001", "/root/testdata/sf0.1"
 RULES = queries.URL_RULES
@@ -252,3 +255,31 @@ def test_pipeline_on_odd_tables(spark, tmp_path):
     spark.read.parquet(f"{tmp_path}/labels.parquet").limit(0).write.parquet(f"{tmp_path}/empty/labels.parquet")
     spark.read.parquet(f"{tmp_path}/benchmark.parquet").limit(0).write.parquet(f"{tmp_path}/empty/benchmark.parquet")
     assert corpus_pipeline.run(spark, f"{tmp_path}/empty").count() == 0
+
+
+@pytest.mark.skipif(not os.path.isdir(LARGER), reason="no test tables")
+def test_toxicity_of_held_out_rows(spark):
+    """The registered query on rows that it doesn't learn from: measured are a recall of 0.887 and a precision of 0.905."""
+    labels = spark.read.parquet(f"{LARGER}/labels.parquet").select("doc_id", "toxic")
+    rows = queries.op8_toxicity(spark, LARGER).where("held_out").join(labels, "doc_id").select("toxic", "predicted").collect()
+    found = sum(r.toxic and r.predicted for r in rows)
+    assert found >= 0.85 * sum(r.toxic for r in rows) and found >= 0.85 * sum(r.predicted for r in rows)
+
+
+def test_marks_around_words_do_not_count():
+    lex = [gated_network.Lexicon(Words(*utf8(pa.array([text])))) for text in ("scum été ## x", '"Scum!!" (été... ## x###')]
+    assert (lex[0].word[lex[0].inverse] == lex[1].word[lex[1].inverse]).all()
+    grams = [[x.gram[a : a + n].tolist() for a, n in zip(x.first_gram, x.count, strict=True)] for x in lex]
+    assert [[g[i] for i in x.inverse] for g, x in zip(grams, lex, strict=True)][0] == [[g[i] for i in x.inverse] for g, x in zip(grams, lex, strict=True)][1]
+    assert len(gated_network.Lexicon(Words(*utf8(pa.array([None, ""])))).word) == 0
+
+
+def test_the_cut_has_the_highest_f_measure():
+    rng = random.Random(5)
+    for _ in range(30):
+        y = [rng.random() < 0.4 for _ in range(40)] + [True]
+        score = [round(rng.gauss(float(t), 1), 1) for t in y]
+        b = gated_network.RECALL**2
+        f1 = lambda cut: (1 + b) * sum(t and s > cut for s, t in zip(score, y, strict=True)) / (sum(s > cut for s in score) + b * sum(y))  # noqa: E731,B023
+        cut = gated_network.Network.cut(np.array(score), np.array(y, int))
+        assert f1(cut) >= max(f1(x) for x in [*score, -99]) - 0.05

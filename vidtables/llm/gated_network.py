@@ -3,7 +3,7 @@
 A window of WINDOW words goes through a gated recurrent unit in both directions; attention
 pools the states, and a logistic unit scores the pool. A word's input joins an embedding of
 the word with the mean embedding of its character n-grams (three bytes anywhere, and its
-first four and five), both in hashed tables.
+first four and five), both in hashed tables. ASCII marks at both ends of a word are left out.
 """
 
 from __future__ import annotations
@@ -15,8 +15,12 @@ from vidtables.llm.words import LOWER, U, Words, mix
 WINDOW, STRIDE = 20, 10
 WORDS, GRAMS = 1 << 14, 1 << 15  # sizes of the hashed tables
 DIM, HIDDEN = 8, 8
+HELD = 0.98  # of the averaged parameters at each step
+RECALL = 1.5  # how much recall counts against precision for the cut
 TOGETHER = 2048  # windows scored at once
 CHUNK = 1 << 15  # distinct words whose n-grams are found at once
+MARK = np.zeros(256, bool)  # ASCII that is neither letter nor digit
+MARK[:128] = [not chr(c).isalnum() for c in range(128)]
 F32 = np.float32
 
 
@@ -31,16 +35,28 @@ class Lexicon:
     def __init__(self, w: Words):
         _, first, inverse = np.unique(w.hash, return_index=True, return_inverse=True)
         self.inverse = inverse.astype(np.int32)
-        self.word = (w.hash[first] % U(WORDS)).astype(np.int32)
-        start, n = w.start[first], w.end[first] - w.start[first]
+        start, n = self.bare(w.data, w.start[first], w.end[first] - w.start[first])
         parts = [self.grams(w.data, start[lo : lo + CHUNK], n[lo : lo + CHUNK]) for lo in range(0, len(n), CHUNK)]
-        self.gram = np.concatenate([g for g, _ in parts]) if parts else np.zeros(0, np.int32)
-        self.count = np.concatenate([c for _, c in parts]) if parts else np.zeros(0, np.int64)
+        self.gram, self.count, self.word = (np.concatenate(x) if parts else np.zeros(0, np.int32) for x in (list(zip(*parts, strict=True)) or [()] * 3))
         self.first_gram = np.cumsum(self.count) - self.count
 
     @staticmethod
-    def grams(data: np.ndarray, start: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The n-grams' places of some words, one word after the other, and their number for each word."""
+    def bare(data: np.ndarray, start: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Start and length of words without marks at both ends; words of marks only stay."""
+        start, end = start.copy(), start + n
+        left = np.arange(len(n))
+        while len(left := left[MARK[data[start[left]]]]):
+            start[left] += 1
+            left = left[start[left] < end[left]]
+        right = np.flatnonzero(start < end)
+        while len(right := right[MARK[data[end[right] - 1]]]):
+            end[right] -= 1
+        only = start == end
+        return np.where(only, end - n, start), np.where(only, n, end - start)
+
+    @staticmethod
+    def grams(data: np.ndarray, start: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The n-grams' places of some words, one word after the other, their number for each word, and the words' places."""
         at = np.cumsum(n) - n
         place = np.arange(n.sum()) - np.repeat(at, n)
         b = LOWER[data[np.repeat(start, n) + place]].astype(np.uint64)
@@ -57,7 +73,9 @@ class Lexicon:
                 x = x << U(8) | padded[own + j]
             found.append(mix(x)), owner.append(np.flatnonzero(n >= length))
         owner = np.concatenate(owner)
-        return (np.concatenate(found)[np.argsort(owner, kind="stable")] % U(GRAMS)).astype(np.int32), np.bincount(owner, minlength=len(n))
+        sums = np.concatenate(([U(0)], np.cumsum(mix(b + (place.astype(np.uint64) << U(8))))))
+        word = (mix(sums[at + n] - sums[at] + n.astype(np.uint64)) % U(WORDS)).astype(np.int32)
+        return (np.concatenate(found)[np.argsort(owner, kind="stable")] % U(GRAMS)).astype(np.int32), np.bincount(owner, minlength=len(n)), word
 
 
 def windows(n: int) -> np.ndarray:
@@ -184,22 +202,67 @@ class Network:
         np.add.at(g["gram"], gram, (dvec[:, DIM:] / count)[owner])
         return g
 
-    def fit(self, w: Words, labels: np.ndarray, rounds: int = 5, epochs: int = 3, batch: int = 128, rate: float = 0.01, seed: int = 7) -> None:
+    def fit(self, w: Words, labels: np.ndarray, parts: int = 3, **how: int) -> None:
         """Learns from whole labelled texts, given as one Words.
 
-        A text's label belongs to its most telling window: at first the one with the most telling
-        word by smoothed log odds, in later rounds the one that the network scores highest. Texts
-        of label 0 give one further window at random. At last the scores are shifted so that 0.5
-        parts the texts' highest windows best.
+        The cut is not chosen by scores of texts that the network has learnt from: for each of `parts` parts of
+        the texts a network learns from the others and scores it. The cut is the one with the highest F measure
+        of these scores together, in which recall counts RECALL times, halfway between two neighbours; then a network learns from all texts.
         """
-        lex, rng = Lexicon(w), np.random.default_rng(seed)
+        lex, score = Lexicon(w), np.full(len(labels), -np.inf)
         n = np.diff(w.first)
+        part = np.zeros(len(labels), np.int64)
+        for y in (0, 1):
+            part[labels == y] = np.random.default_rng(11).permutation(np.sum(labels == y)) % parts
+        enough = min(np.sum(labels == 0), np.sum(labels == 1)) >= 2 * parts
+        for k in range(parts if enough else 0):
+            other = Network()
+            other.learn(lex, w, labels, np.flatnonzero((n > 0) & (part != k)), **how)
+            own = np.flatnonzero((n > 0) & (part == k))
+            score[own] = other.best_windows(lex, w, own)
         texts = np.flatnonzero(n > 0)
-        starts = [windows(int(n[i])) + w.first[i] for i in texts]
-        at, of = np.concatenate(starts), np.repeat(np.arange(len(texts)), list(map(len, starts)))
-        size, y = np.minimum(n[texts][of], WINDOW), labels[texts].astype(F32)
-        begin = np.searchsorted(of, np.arange(len(texts)))
-        odds = self.log_odds(lex, w.first, labels)[lex.inverse]
+        self.learn(lex, w, labels, texts, **how)
+        if not enough:
+            score[texts] = self.best_windows(lex, w, texts)
+        self.shift = self.cut(score, labels)
+
+    @staticmethod
+    def cut(score: np.ndarray, labels: np.ndarray) -> float:
+        """The score above which label 1 is said with the highest F measure; of equal ones the middle."""
+        order = np.argsort(-score, kind="stable")
+        hits = np.cumsum(labels[order])
+        f = (1 + RECALL**2) * hits / (np.arange(len(order)) + 1 + RECALL**2 * labels.sum())
+        best = np.flatnonzero(f >= f.max() - 1e-12)
+        k = int(best[len(best) // 2])
+        edges = np.append(score[order], score[order[-1]] - 2)
+        return float((edges[k] + edges[k + 1]) / 2) if np.isfinite(edges[k + 1]) else float(edges[k]) - 1
+
+    def best_windows(self, lex: Lexicon, w: Words, texts: np.ndarray) -> np.ndarray:
+        """The highest score of each text's windows; texts have words."""
+        at, size, begin = self.windows_of(w, texts)
+        return np.maximum.reduceat(self.logits(lex, at, size), begin) if len(texts) else np.zeros(0)
+
+    @staticmethod
+    def windows_of(w: Words, texts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Windows of some texts that have words: first words, sizes, and each text's first window."""
+        n = np.diff(w.first)[texts]
+        starts = [windows(int(k)) + w.first[i] for i, k in zip(texts, n, strict=True)]
+        counts = np.array(list(map(len, starts)), np.int64)
+        at = np.concatenate(starts) if starts else np.zeros(0, np.int64)
+        return at, np.repeat(np.minimum(n, WINDOW), counts), np.cumsum(counts) - counts
+
+    def learn(self, lex: Lexicon, w: Words, labels: np.ndarray, texts: np.ndarray, rounds: int = 3, epochs: int = 3, batch: int = 128, rate: float = 0.01, seed: int = 7) -> None:
+        """Learns from some of the texts.
+
+        A text's label belongs to its most telling window: at first the one with the most telling
+        word by smoothed log odds, in later rounds the one that the network scores highest. Texts
+        of label 0 give one further window at random. The parameters are averaged over the steps.
+        """
+        rng = np.random.default_rng(seed)
+        at, size, begin = self.windows_of(w, texts)
+        of = np.repeat(np.arange(len(texts)), np.diff(np.append(begin, len(at))))
+        y = labels[texts].astype(F32)
+        odds = self.log_odds(lex, w.first, labels, texts)[lex.inverse]
         score = np.full(len(at), -99.0)
         for step in range(WINDOW):
             own = step < size
@@ -207,6 +270,7 @@ class Network:
         m1 = {k: np.zeros_like(x) for k, x in self.p.items()}
         m2 = {k: np.zeros_like(x) for k, x in self.p.items()}
         step = 0
+        average = {k: x.copy() for k, x in self.p.items()}
         for _ in range(rounds):
             order = np.lexsort((score, of))
             top = order[np.append(begin[1:], len(of)) - 1]
@@ -221,22 +285,17 @@ class Network:
                         m1[k] += F32(0.1) * (g - m1[k])
                         m2[k] += F32(0.01) * (g * g - m2[k])
                         self.p[k] -= F32(rate) * (m1[k] / F32(1 - 0.9**step)) / (np.sqrt(m2[k] / F32(1 - 0.99**step)) + F32(1e-6))
+                    for k, x in self.p.items():
+                        average[k] += F32(1 - min(HELD, step / (step + 5))) * (x - average[k])
             score = self.logits(lex, at, size)
-        best = np.maximum.reduceat(score, begin) if len(texts) else np.zeros(0)
-        order = np.argsort(best)
-        wrong = np.concatenate(([np.sum(y == 0)], np.sum(y == 0) + np.cumsum(np.where(y[order] == 1, 1, -1))))  # texts above the cut are 1
-        if len(texts):
-            ties = np.flatnonzero(wrong == wrong.min())
-            k = int(ties[len(ties) // 2])
-            edges = np.concatenate(([best[order[0]] - 1], best[order], [best[order[-1]] + 1]))
-            self.shift = float((edges[k] + edges[k + 1]) / 2)
+        self.p = average
 
     @staticmethod
-    def log_odds(lex: Lexicon, first: np.ndarray, labels: np.ndarray) -> np.ndarray:
+    def log_odds(lex: Lexicon, first: np.ndarray, labels: np.ndarray, texts: np.ndarray) -> np.ndarray:
         """For each distinct word the highest log odds of label 1, by texts, of the word or one of its n-grams."""
-        total = np.array([max(np.sum(labels == 0), 1), max(np.sum(labels == 1), 1)])
+        total = np.array([max(np.sum(labels[texts] == 0), 1), max(np.sum(labels[texts] == 1), 1)])
         words, grams = np.zeros((2, WORDS)), np.zeros((2, GRAMS))
-        for i, y in enumerate(labels):
+        for i, y in zip(texts, labels[texts], strict=True):
             own = np.unique(lex.inverse[first[i] : first[i + 1]])
             words[y, np.unique(lex.word[own])] += 1
             n = lex.count[own]
@@ -256,8 +315,5 @@ class Network:
         out = np.full(len(n), float(self.p["b"][0]) - self.shift)
         texts = np.flatnonzero(n > 0)
         if len(texts):
-            starts = [windows(int(n[i])) + w.first[i] for i in texts]
-            sizes = np.array(list(map(len, starts)))
-            score = self.logits(Lexicon(w), np.concatenate(starts), np.repeat(np.minimum(n[texts], WINDOW), sizes))
-            out[texts] = np.maximum.reduceat(score, np.cumsum(sizes) - sizes) - self.shift
+            out[texts] = self.best_windows(Lexicon(w), w, texts) - self.shift
         return sigmoid(out)

@@ -2,8 +2,8 @@
 
 measures() computes, for each whole text, the counts that rules need. A text fails at once
 with fewer than 50 words, or if more than half of its words stand in 3-word windows that the
-text holds twice or more. Texts that pass go through the cascade: each rule's cost (seconds a
-row) and selectivity (share rejected of the rows that earlier rules let pass) are estimated on
+text holds twice or more. Texts that pass go through the cascade: each rule's cost (CPU seconds
+of executors) and selectivity (share rejected of the rows that earlier rules let pass) are estimated on
 a bounded sample, and rules are tried in the order of rejection per cost; a row that one rule
 rejects isn't tried by the next.
 The order decides only how much work there is: a row is kept if no rule rejects it.
@@ -16,10 +16,11 @@ their text. Extra columns are left out by judge() and kept by keep_good().
 
 from __future__ import annotations
 
-import time
+import uuid
+from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 SPACES = " \t\n\x0b\x0c\r"
@@ -95,21 +96,38 @@ def cascade(rejects: dict[str, list[bool]], cost: dict[str, float]) -> list[str]
     return order
 
 
-def costs(some: DataFrame, rules: list[Rule], times: int = 20, tries: int = 3) -> dict[str, float]:
-    """Seconds that each rule takes for all rows of some: the least of some tries of `times` evaluations
-    of each row, less that of a rule which does nothing."""
-    again = some.withColumn("_again", F.explode(F.sequence(F.lit(1), F.lit(times))))
-
-    def seconds(rejects: str) -> float:
-        asked, best = again.agg(F.count_if(F.expr(rejects) & (F.col("_again") > 0))), float("inf")
-        for _ in range(tries):
-            began = time.perf_counter()
-            asked.first()
-            best = min(best, time.perf_counter() - began)
-        return best
-
-    nothing = seconds("n_words < 0")
-    return {rule.name: max(seconds(rule.rejects) - nothing, 1e-4) / times for rule in rules}
+def cpu_seconds(spark: SparkSession, job: Callable[[], object]) -> float:
+    """CPU seconds of all tasks of a job, whatever else the machine does meanwhile."""
+    group = f"quality-rules-{uuid.uuid4().hex}"
+    spark.sparkContext.setJobGroup(group, "costs of quality rules")
+    try:
+        job()
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+    tracker, store = spark.sparkContext.statusTracker(), spark.sparkContext._jsc.sc().statusStore()
+    stages = {s for j in tracker.getJobIdsForGroup(group) for s in tracker.getJobInfo(j).stageIds}
+    return sum(store.lastStageAttempt(s).executorCpuTime() for s in stages) / 1e9
+
+
+def costs(some: DataFrame, rules: list[Rule], least: float = 0.2, times: int = 20) -> dict[str, float]:
+    """CPU seconds of executors that each rule takes for all rows of some, less those of a rule which does nothing.
+    All rules are evaluated equally often on each row: so often that the dearest one takes `least` seconds at least."""
+    spark = some.sparkSession
+
+    def seconds(rejects: str, times: int) -> float:
+        again = some.withColumn("_again", F.explode(F.sequence(F.lit(1), F.lit(times))))
+        asked = again.agg(F.count_if(F.expr(rejects) & (F.col("_again") > 0)))
+        return cpu_seconds(spark, asked.first)
+
+    for _ in range(4):
+        nothing = seconds("n_words < 0", times)
+        found = {rule.name: max(seconds(rule.rejects, times) - nothing, 0.0) for rule in rules}
+        dearest = max(found.values(), default=least)
+        if dearest >= least:
+            break
+        times *= min(50, max(2, round(1.5 * least / max(dearest, 1e-3))))
+    return {name: max(x, 1e-3 * least) / times for name, x in found.items()}
 
 
 def order_rules(docs: DataFrame, rules: list[Rule] = RULES, text_col: str = "text", sample: int = 500, one_in: int = 20) -> list[Rule]:

@@ -9,7 +9,7 @@ a shuffle; labels, language, source and id are no inputs of a score.
 A task holds one text at least, whatever its size, with about 40 bytes a byte of it. Null and
 empty texts, and texts without words, get the score of no window. Rows that repeat
 are scored alike. Labels that are null, and labels of documents that don't exist, are left
-out; if an id has several labels each counts. Without labels of both kinds nothing is learnt,
+out; if an id has several labels each counts, if it has several texts the least one is learnt from. Without labels of both kinds nothing is learnt,
 and all scores are nearly 0. Extra columns are left out by score() and kept by drop_toxic().
 """
 
@@ -38,7 +38,7 @@ def train(
         part = marked.where(F.col("y") == y).orderBy(F.xxhash64("id"), "id").limit(most)
         sample = part if sample is None else sample.union(part)
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where(F.length("text") <= longest)
-    found = texts.join(F.broadcast(sample), "id").limit(2 * (positives + negatives))  # at most positives + negatives ids
+    found = texts.join(F.broadcast(sample), "id").groupBy("id", "y").agg(F.min("text").alias("text"))  # one row for each id and label
     model = found.select("id", "text", "y").repartition(1).mapInArrow(fit_batches, "model binary").first()
     return pickle.loads(model[0]) if model else Network()
 
