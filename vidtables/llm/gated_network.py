@@ -232,6 +232,7 @@ class Network:
         order = np.argsort(-score, kind="stable")
         hits = np.cumsum(labels[order])
         f = (1 + RECALL**2) * hits / (np.arange(len(order)) + 1 + RECALL**2 * labels.sum())
+        f[:-1][score[order][:-1] == score[order][1:]] = -1  # no cut parts equal scores
         best = np.flatnonzero(f >= f.max() - 1e-12)
         k = int(best[len(best) // 2])
         edges = np.append(score[order], score[order[-1]] - 2)
