@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from vidtables.llm.scratch import WHILE_WRITING, Scratch, settings
 from vidtables.llm.words import LOWER, mix, powers
 
-BLOCK = 4 << 20
+BLOCK = 2 << 20
 CELLS = 1 << 27
 SLOTS = 64
 BREAKS = np.zeros(256, bool)
@@ -97,7 +97,7 @@ def indexed(text: np.ndarray) -> tuple[pa.Array, np.ndarray, np.ndarray] | None:
     start, end = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
     if not len(start):
         return None
-    breaks = np.concatenate(([0], np.cumsum(BREAKS[text])))[start]
+    breaks = np.searchsorted(np.flatnonzero(BREAKS[text]), start)
     position = np.arange(len(start)) + np.concatenate(([0], np.cumsum(breaks[1:] != breaks[:-1])))
     ends = np.concatenate(([0], np.cumsum(end - start))).astype(np.int64)
     letters = pa.py_buffer(np.ascontiguousarray(text[word]))
