@@ -29,7 +29,7 @@ compared, so no link between different texts is lost. Verification compares whol
 
 The order of shingles decides only how much work there is, never the result. Its counts come
 from all documents: each task counts its shingles in CELLS cells, the tasks' counts are summed through a
-reduction tree, and the cells' ranks (4 MB, whatever the input) are held on every executor.
+reduction tree, and the cells' ranks (1 MB, whatever the input) are held on every executor.
 
 Definitions: words are runs other than ASCII white space, A-Z lower-cased. A document with
 fewer than k words has its whole sequence as one shingle; one without words or text has an
@@ -53,7 +53,7 @@ from vidtables.llm.components import components
 from vidtables.llm.scratch import WHILE_WRITING, Scratch, settings
 from vidtables.llm.words import Words, slices, utf8
 
-CELLS = 1 << 20
+CELLS = 1 << 18
 ROUNDS = 3
 TRIES = 8
 BITS = 512
