@@ -44,6 +44,7 @@ EVERYONE = """, t AS (SELECT video_id, frame_idx, position, det_seq, CAST(CASE W
  CASE WHEN NOT unseen AND NOT (other AND frame_idx = 15) THEN 1e0 END AS similarity, CASE WHEN unseen THEN 'none' ELSE 'act' END AS decision, CAST(CASE WHEN unseen THEN NULL WHEN other THEN frame_idx - 14 ELSE n END AS INT) AS stability, is_reset, back AS is_recovered, other AND frame_idx = 15 AS is_new FROM s)"""
 R.add("track_detections", "people slots", lambda p, s: rounded(tracking.track_detections(seen(p), s, PARAMS)), f"{TRACKED}{SLOTTED} SELECT * FROM t")
 R.add("track_detections_all", "people slots", lambda p, s: rounded(tracking.track_detections_all(seen(p), s.where("is_skip"), ALL)), f"{TRACKED}{EVERYONE} SELECT * FROM t")
+R.add("track_in_parts", "people slots", lambda p, s: rounded(tracking.track_detections_in_parts(seen(p), s, PARAMS, 5)[0]), f"{TRACKED}{SLOTTED} SELECT * FROM t")
 R.add(
     "track_summary",
     "people slots",

@@ -9,6 +9,7 @@ than `max_age` frames are lost, and may be recovered for eight times that span.
 
 from __future__ import annotations
 
+import ast
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -18,6 +19,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from vidtables.functions import vectors
+from vidtables.sources.shared import shared_path
 
 HISTORY = 12
 OUTPUT = "video_id long, frame_idx int, position int, det_seq long, track_id int, source string, similarity double, decision string, stability int, is_reset boolean, is_recovered boolean, is_new boolean"
@@ -176,12 +178,13 @@ class Tracker:
             self.reset(frame, dets)
         recovered = self.recover(frame, dets)
         pairs = []
-        for i, v in enumerate(dets):
-            if v is not None:
+        there = [i for i, v in enumerate(dets) if v is not None]
+        if there and self.tracks:
+            scores = np.array([dets[i] for i in there]) @ np.array([x.mean for x in self.tracks.values()]).T
+            for i, own in zip(there, scores.tolist(), strict=True):
                 for order, (k, x) in enumerate(self.tracks.items()):
-                    score = float(v @ x.mean)
-                    if x.accepts(score, v, t):
-                        pairs.append((-score, i, order, k))
+                    if x.accepts(own[order], dets[i], t):
+                        pairs.append((-own[order], i, order, k))
         out: list[tuple] = [(None, None, None, "none", None, is_reset, False, False)] * len(dets)
         matched: set[int] = set()
         taken: set[int] = set()
@@ -207,6 +210,24 @@ class Tracker:
         return out
 
 
+    def state(self) -> bytes:
+        """All that decides about later frames, the same bytes for the same state."""
+        raw = lambda v: np.ascontiguousarray(v, np.float64).tobytes()
+        tracks = [(int(k), raw(x.vector), int(x.seen), raw(x.first), str(x.source), int(x.stability), int(x.tolerance), [raw(h) for h in x.history]) for k, x in self.tracks.items()]
+        lost = [(int(k), raw(x.vector), str(x.source), int(x.frame), [raw(h) for h in x.history]) for k, x in self.lost.items()]
+        return repr((int(self.n_slots), sorted(map(int, self.skips)), self.begun, [(int(k), raw(r)) for k, r in self.refs.items()], tracks, lost)).encode()
+
+    @staticmethod
+    def of_state(params: Params, state: bytes) -> Tracker:
+        back = lambda b: np.frombuffer(b, np.float64)
+        n_slots, skips, begun, refs, tracks, lost = ast.literal_eval(state.decode())
+        out = Tracker(params, n_slots, tuple(skips))
+        out.begun, out.refs = begun, {k: back(r) for k, r in refs}
+        out.tracks = {k: Track(back(v), seen, back(first), source, stability, tolerance, [back(h) for h in history]) for k, v, seen, first, source, stability, tolerance, history in tracks}
+        out.lost = {k: Lost(back(v), source, frame, [back(h) for h in history]) for k, v, source, frame, history in lost}
+        return out
+
+
 def unit(v) -> np.ndarray | None:
     """A vector of length 1, or None where it isn't valid."""
     if v is None:
@@ -253,16 +274,125 @@ def frame_of(rows: list[tuple]) -> pd.DataFrame:
     return out.astype({"track_id": "Int32", "stability": "Int32"})
 
 
+PARTED = f"{OUTPUT}, part int, end_state binary"
+
+
+def track_part_batches(batches: Iterator[pd.DataFrame], params: Params) -> Iterator[pd.DataFrame]:
+    """Runs parts, each from the state that its first row has (frame -1), and tells the state at its end in a further row."""
+    key = tracker = None
+    waiting: list[tuple] = []
+
+    def told(rows: list[tuple], part: int, state: bytes | None = None) -> pd.DataFrame:
+        out = frame_of(rows)
+        return out.assign(part=np.int32(part), end_state=pd.Series([state] * len(out), dtype=object))
+
+    def end() -> Iterator[pd.DataFrame]:
+        if waiting:
+            yield told(rows_of(key[0], key[2], waiting, tracker), key[1])
+        yield told([(key[0], -1, -1, -1, None, None, None, "state", None, False, False, False)], key[1], tracker.state())
+
+    for pdf in batches:
+        out: list[tuple] = []
+        for video, part, frame, position, seq, vector, n_slots, skips, state in pdf.itertuples(index=False):
+            if key is None or key[:2] != (video, part):
+                if key:
+                    if out:
+                        yield told(out, key[1])
+                        out = []
+                    yield from end()
+                key, waiting = (video, part, frame), []
+                tracker = Tracker.of_state(params, state) if state is not None else Tracker(params, int(n_slots), tuple(skips))
+                if frame < 0:
+                    continue
+            if frame != key[2]:
+                if waiting:
+                    out += rows_of(video, key[2], waiting, tracker)
+                    waiting = []
+                key = (video, part, frame)
+            waiting.append((position, seq, vector))
+        if out:
+            yield told(out, key[1])
+    if key:
+        yield from end()
+
+
+def track_detections_in_parts(positions: DataFrame, slots: DataFrame, params: Params = Params(), part_frames: int = 2000) -> tuple[DataFrame, list[int]]:
+    """track_detections() with long videos cut in parts that run in parallel, and the number of parts run in each round.
+
+    At first every part begins with the state after the video's first frame. Where the state at the end of a part
+    differs from the one that the next part began with, that part runs again from the right one, until none
+    differs; so the result is that of the whole video. Rounds end because after each at least one more part of
+    a video is final; tracks come together at resets, so few parts run more than twice. A part's rows of its last round count.
+    """
+    spark = positions.sparkSession
+    root = shared_path(spark, "track-parts")
+    part = F.floor(F.col("frame_idx") / part_frames).cast("int").alias("part")
+    bound = _slots_of(slots)
+    rows = positions.select("video_id", part, "frame_idx", "position", "det_seq", "embedding").join(bound, "video_id", "left")
+    rows = _with_slots(rows).withColumn("state", F.lit(None).cast("binary"))
+    rows.write.parquet(f"{root}/rows")
+    rows = spark.read.schema(rows.schema).parquet(f"{root}/rows")
+    parts = rows.select("video_id", "part").distinct()
+    order = Window.partitionBy("video_id").orderBy("part")
+
+    def run(which: DataFrame, begins: DataFrame | None, n: int) -> DataFrame:
+        own = rows.join(which, ["video_id", "part"], "left_semi")
+        if begins is not None:
+            head = begins.select("video_id", "part", *[F.lit(-1).cast(rows.schema[c].dataType).alias(c) for c in ("frame_idx", "position", "det_seq")], *[F.lit(None).cast(rows.schema[c].dataType).alias(c) for c in ("embedding", "n_slots", "skips")], "state")
+            own = own.unionByName(head)
+        dealt = own.repartition("video_id", "part").sortWithinPartitions("video_id", "part", "frame_idx", "position")
+        dealt.mapInPandas(lambda it: track_part_batches(it, params), PARTED).write.parquet(f"{root}/out/round={n}")
+        return spark.read.schema(PARTED).parquet(f"{root}/out/round={n}")
+
+    first_frame = rows.groupBy("video_id").agg(F.min("frame_idx").alias("frame_idx"))
+    reference = rows.join(first_frame, ["video_id", "frame_idx"], "left_semi").select(rows.columns)
+    reference = reference.repartition("video_id", "part").sortWithinPartitions("video_id", "part", "frame_idx", "position")
+    said = reference.mapInPandas(lambda it: track_part_batches(it, params), PARTED).where("decision = 'state'")
+    said.select("video_id", F.col("end_state").alias("state")).write.parquet(f"{root}/reference")
+    states = spark.read.schema("video_id long, state binary").parquet(f"{root}/reference")
+
+    first = parts.groupBy("video_id").agg(F.min("part").alias("_first"))
+    begun = parts.join(first, "video_id").where("part > _first").select("video_id", "part").join(states, "video_id")  # the first part begins by itself
+    def held(table: DataFrame, name: str) -> DataFrame:
+        table.write.parquet(f"{root}/{name}")
+        return spark.read.schema(table.schema).parquet(f"{root}/{name}")
+
+    def ends(ran: DataFrame, begins: DataFrame, n: int) -> DataFrame:
+        found = ran.where("decision = 'state'").select("video_id", "part", "end_state")
+        return found.join(begins, ["video_id", "part"], "left").select("video_id", "part", "state", "end_state", F.lit(n).alias("round"))
+
+    now = held(ends(run(parts, begun, 0), begun, 0), "states/0")
+    rounds = [now.count()]
+    while True:
+        n = len(rounds)
+        right = now.withColumn("right", F.lag("end_state").over(order))
+        again = held(right.where("right is not null and not (state <=> right)").select("video_id", "part", F.col("right").alias("state")), f"begins/{n}")
+        count = again.count()
+        if not count:
+            break
+        rounds.append(count)
+        new = ends(run(again.select("video_id", "part"), again, n), again, n)
+        now = held(now.join(again.select("video_id", "part"), ["video_id", "part"], "left_anti").select(now.columns).unionByName(new), f"states/{n}")
+    out = spark.read.schema(f"{PARTED}, round int").parquet(f"{root}/out").where("decision <> 'state'")
+    return out.join(now.select("video_id", "part", "round"), ["video_id", "part", "round"], "left_semi").select(*COLUMNS), rounds
+
+
+def _slots_of(slots: DataFrame) -> DataFrame:
+    return slots.groupBy("video_id").agg(F.count("*").cast("int").alias("n_slots"), F.array_compact(F.collect_set(F.when(F.col("is_skip"), F.col("position")))).alias("skips"))
+
+
+def _with_slots(rows: DataFrame) -> DataFrame:
+    return rows.withColumn("n_slots", F.coalesce("n_slots", F.lit(0))).withColumn("skips", F.coalesce("skips", F.array().cast("array<int>")))
+
+
 def track_detections(positions: DataFrame, slots: DataFrame, params: Params = Params(), part_frames: int | None = None) -> DataFrame:
     """One row for each detection with its track. Slots (video_id, position, is_skip) bind the first frame.
 
     With part_frames, videos are cut in parts that begin anew, so that long ones spread over tasks.
     """
-    bound = slots.groupBy("video_id").agg(F.count("*").cast("int").alias("n_slots"), F.array_compact(F.collect_set(F.when(F.col("is_skip"), F.col("position")))).alias("skips"))
     part = F.floor(F.col("frame_idx") / part_frames).cast("int") if part_frames else F.lit(0)
-    rows = positions.select("video_id", part.alias("part"), "frame_idx", "position", "det_seq", "embedding").join(bound, "video_id", "left")
-    rows = rows.withColumn("n_slots", F.coalesce("n_slots", F.lit(0))).withColumn("skips", F.coalesce("skips", F.array().cast("array<int>")))
-    dealt = rows.repartition("video_id", "part").sortWithinPartitions("video_id", "part", "frame_idx", "position")
+    rows = positions.select("video_id", part.alias("part"), "frame_idx", "position", "det_seq", "embedding").join(_slots_of(slots), "video_id", "left")
+    dealt = _with_slots(rows).repartition("video_id", "part").sortWithinPartitions("video_id", "part", "frame_idx", "position")
     return dealt.mapInPandas(lambda it: track_batches(it, params), OUTPUT)
 
 
