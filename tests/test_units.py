@@ -219,7 +219,9 @@ def drained(spark, table, folder, stream, flush, parts):
         table.iloc[i::parts].to_parquet(f"{folder}/in-{i}.parquet")
     source = spark.readStream.schema(spark.read.parquet(f"{folder}/in-*.parquet").schema).option("maxFilesPerTrigger", 2).option("pathGlobFilter", "in-*.parquet").parquet(str(folder))
     put = lambda batch, n: batch.write.mode("overwrite").parquet(f"{folder}/out/batch={n}")
-    stream(source).writeStream.foreachBatch(put).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start().awaitTermination()
+    with jobs.rocksdb(spark):
+        query = stream(source).writeStream.foreachBatch(put).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()
+    query.awaitTermination()
     return spark.read.parquet(f"{folder}/out").drop("batch").unionByName(flush(spark, f"{folder}/state"))
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import StreamingQueryException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -115,7 +116,9 @@ def drained(stream: DataFrame, name: str, mode: str = "append", flush=None) -> D
         path = f"{root}/out" if mode == "complete" else f"{root}/out/batch={n}"
         batch.write.mode("overwrite").parquet(path)
 
-    stream.writeStream.outputMode(mode).foreachBatch(put).option("checkpointLocation", f"{root}/state").trigger(availableNow=True).start().awaitTermination()
+    with jobs.rocksdb(spark):
+        query = stream.writeStream.outputMode(mode).foreachBatch(put).option("checkpointLocation", f"{root}/state").trigger(availableNow=True).start()
+    query.awaitTermination()
     out = spark.read.schema(stream.schema).parquet(f"{root}/out").select(*stream.columns)
     return out.unionByName(flush(spark, f"{root}/state")) if flush else out
 
@@ -138,21 +141,34 @@ def stream_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return drained(jobs.stream_stats(rows, "1 hour"), "stats", "complete").withColumn("window_start", F.unix_timestamp("window_start")).withColumn("avg_ms", F.round("avg_ms", 6))
 
 
-def segment_stream(spark: SparkSession, sf_dir: str, times: int) -> DataFrame:
+class BrokenOff(Exception):
+    pass
+
+
+def segment_stream(spark: SparkSession, sf_dir: str, breaks: tuple[str, ...] = ()) -> DataFrame:
+    """Segments of a stream that is started anew after it was broken off at each of some places of its first batch."""
     root = shared_path(spark, "segments")
     rows = event_stream(spark, sf_dir).select((c("user_id") % 10).alias("video_id"), c("event_id").cast("int").alias("frame_idx"))
-    for _ in range(times):  # each start goes on where the one before has ended
-        jobs.write_segments(rows, f"{root}/out", f"{root}/state", 0, 600).awaitTermination()
-    written = spark.read.schema("frame_idx int, batch int, video_id long, seg_idx int").parquet(f"{root}/out")
-    return jobs.written_segments(written)
+    for place in (*breaks, None):
+
+        def at(now: str, n: int, place=place) -> None:
+            if now == place:
+                raise BrokenOff(place)
+
+        try:
+            jobs.write_segments(rows, f"{root}/out", f"{root}/state", 0, 600, at).awaitTermination()
+        except StreamingQueryException:
+            if place is None:
+                raise
+    return jobs.written_segments(jobs.committed(spark, f"{root}/out"))
 
 
 def stream_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return segment_stream(spark, sf_dir, 1)
+    return segment_stream(spark, sf_dir)
 
 
 def stream_resume(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return segment_stream(spark, sf_dir, 2)
+    return segment_stream(spark, sf_dir, ("begin", "written", "marked"))
 
 
 def stream_track(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -197,6 +197,12 @@ R.add(
     lambda v, d: segments.segments_completed(segments.segment_plan(whole_ranges(v).select("*", F.lit(0).alias("n_prefix"), c("range_start").alias("resume")), 600), d).select("video_id", "seg_idx"),
     ", st AS (SELECT video_id, unnest(range(0, (greatest(total_frames, 100) - 100 + 599) // 600)) AS i FROM typed) SELECT video_id, CAST(i AS INT) AS seg_idx FROM st JOIN segments_done d USING (video_id) WHERE d.seg_idx = i",
 )
+R.add(
+    "frames_by_runs",
+    "frames",
+    lambda f: segments.frames_missing_extra_by_runs(cut(f), cut(f.where("not (event_type = 'error' and video_id % 3 = 0)"))),
+    f" SELECT video_id, {SEG}, frame_idx, 'missing' AS status FROM frames WHERE event_type = 'error' AND video_id % 3 = 0",
+)
 R.add(
     "frames_missing_extra",
     "expected results",

@@ -3,43 +3,114 @@
 from __future__ import annotations
 
 import pickle
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import ExpiredTimerInfo, TimerValues
 
 from vidtables.operators import tracking
+from vidtables.sources.checkpoints import checkpoint_upsert
 
 ORDERED = "video_id long, frame_idx int, status string"
-WAITING = "due int, waiting array<int>"
 TRACKER = "held binary"
 
 
-def reassemble_group(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState, patience: int) -> Iterator[pd.DataFrame]:
-    """Rows of one video in index order; the state is the next index and the indexes that wait. A trigger's rows have no order of their own and are taken by index."""
-    due, waiting = (state.get[0], set(state.get[1])) if state.exists else (0, set())
-    out: list[tuple[int, str]] = []
-    for i in sorted(i for pdf in batches for i in pdf["frame_idx"].tolist()):
-        if i < due or i in waiting:
-            out.append((i, "late"))
-            continue
-        waiting.add(i)
-        while due in waiting or len(waiting) > patience:
-            out.append((due, "in_order" if due in waiting else "recovered"))
-            waiting.discard(due)
-            due += 1
-    state.update((due, sorted(waiting)))
-    yield pd.DataFrame({"video_id": key[0], "frame_idx": pd.array([i for i, _ in out], "int32"), "status": [s for _, s in out]})
-
-
-def stream_reassemble(results: DataFrame, patience: int = 100) -> DataFrame:
+@contextmanager
+def rocksdb(spark: SparkSession) -> Iterator[None]:
+    """Streams that are started inside keep their state in RocksDB, which states of several variables need."""
+    name = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
+class Reassembly(StatefulProcessor):
+    """One video in index order. The state is the next index, how many wait, and a map with a row for each index that waits,
+    which are loaded one by one. With wait_ms, a timer gives up on a missing index that has kept others waiting so long."""
+
+    def __init__(self, patience: int, wait_ms: int | None):
+        self.patience, self.wait_ms = patience, wait_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.next = handle.getValueState("next", "due int, held int")
+        self.waiting = handle.getMapState("waiting", "frame_idx int", "there boolean")
+
+    def run_on(self, due: int, held: int, out: list[tuple[int, str]]) -> tuple[int, int]:
+        """Gives out what waits from due on without a gap."""
+        while held and self.waiting.containsKey((due,)):
+            self.waiting.removeKey((due,))
+            out.append((due, "in_order"))
+            due, held = due + 1, held - 1
+        return due, held
+
+    def give_up(self, due: int, held: int, out: list[tuple[int, str]]) -> tuple[int, int]:
+        """Gives out the missing indexes up to the first that waits, and what follows it."""
+        first = min(k[0] for k in self.waiting.keys())
+        out += [(i, "recovered") for i in range(due, first)]
+        return self.run_on(first, held, out)
+
+    def keep(self, due: int, held: int, timers: TimerValues, moved: bool) -> None:
+        self.next.update((due, held))
+        if self.wait_ms is not None:
+            running = list(self.handle.listTimers())
+            if moved or not held:
+                for t in running:
+                    self.handle.deleteTimer(t)
+                running = []
+            if held and not running:
+                self.handle.registerTimer(timers.getCurrentProcessingTimeInMs() + self.wait_ms)
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:
+        due, held = self.next.get() if self.next.exists() else (0, 0)
+        before, out = due, []
+        for i in sorted(i for pdf in rows for i in pdf["frame_idx"].tolist()):
+            if i < due or (held and self.waiting.containsKey((i,))):
+                out.append((i, "late"))
+            elif i == due:
+                out.append((i, "in_order"))
+                due, held = self.run_on(due + 1, held, out)
+            else:
+                self.waiting.updateValue((i,), (True,))
+                held += 1
+                if held > self.patience:
+                    due, held = self.give_up(due, held, out)
+        self.keep(due, held, timerValues, due > before)
+        yield ordered(key, out)
+
+    def handleExpiredTimer(self, key: tuple, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[pd.DataFrame]:
+        due, held = self.next.get() if self.next.exists() else (0, 0)
+        out: list[tuple[int, str]] = []
+        if held:
+            due, held = self.give_up(due, held, out)
+            self.keep(due, held, timerValues, True)
+        yield ordered(key, out)
+
+    def close(self) -> None:
+        pass
+
+
+def ordered(key: tuple, out: list[tuple[int, str]]) -> pd.DataFrame:
+    return pd.DataFrame({"video_id": [key[0]] * len(out), "frame_idx": pd.array([i for i, _ in out], "int32"), "status": [s for _, s in out]})
+
+
+def stream_reassemble(results: DataFrame, patience: int = 100, wait_ms: int | None = None) -> DataFrame:
     """Indexes of each video strictly in order: in_order, or recovered where a missing index kept more
-    than `patience` others waiting. A row that comes after its index was given out, or twice, is late.
+    than `patience` others waiting, or, with wait_ms, one other for so many milliseconds. A row that comes after its index
+    was given out, or twice, is late. A trigger's rows have no order of their own and are taken by index.
+
+    Start it inside rocksdb(). With wait_ms each trigger runs, with or without rows, so it isn't for availableNow.
     What still waits when the stream has ended comes out by flush_reassembly()."""
-    group = lambda key, batches, state: reassemble_group(key, batches, state, patience)
-    return results.select("video_id", "frame_idx").groupBy("video_id").applyInPandasWithState(group, ORDERED, WAITING, "append", GroupStateTimeout.NoTimeout)
+    rows = results.select("video_id", "frame_idx").groupBy("video_id")
+    return rows.transformWithStateInPandas(Reassembly(patience, wait_ms), ORDERED, "append", "none" if wait_ms is None else "processingtime")
 
 
 def held_state(spark: SparkSession, checkpoint: str) -> DataFrame:
@@ -50,9 +121,12 @@ def held_state(spark: SparkSession, checkpoint: str) -> DataFrame:
 
 def flush_reassembly(spark: SparkSession, checkpoint: str) -> DataFrame:
     """What stream_reassemble held at its end: all indexes from the next one to the last that waits."""
-    held = held_state(spark, checkpoint).where("size(waiting) > 0")
-    rows = held.select("video_id", "waiting", F.explode(F.sequence("due", F.array_max("waiting"))).alias("frame_idx"))
-    return rows.select("video_id", "frame_idx", F.when(F.array_contains("waiting", F.col("frame_idx")), "in_order").otherwise("recovered").alias("status"))
+    state = lambda name: spark.read.format("statestore").option("stateVarName", name).load(checkpoint)
+    waiting = state("waiting").select("key.video_id", F.col("user_map_key.frame_idx").alias("frame_idx"))
+    due = state("next").select("key.video_id", "value.due").join(waiting.groupBy("video_id").agg(F.max("frame_idx").alias("last")), "video_id")
+    rows = due.select("video_id", F.explode(F.sequence("due", "last")).alias("frame_idx"))
+    there = waiting.withColumn("_there", F.lit(True))
+    return rows.join(there, ["video_id", "frame_idx"], "left").select("video_id", "frame_idx", F.when(F.col("_there"), "in_order").otherwise("recovered").alias("status"))
 
 
 def stream_late(results: DataFrame, patience: int = 100) -> DataFrame:
@@ -111,17 +185,48 @@ def stream_stats(log: DataFrame, window: str = "10 seconds", late: str = "1 minu
     return out.select(F.col("w.start").alias("window_start"), "worker_id", "frames", "failed", "avg_ms")
 
 
-def write_segments(results: DataFrame, path: str, checkpoint: str, start: int = 0, segment_frames: int = 600):
-    """Starts a query that writes results by video and segment. Each micro-batch replaces its own files,
-    so a batch that runs again after a failure changes nothing."""
+def write_segments(results: DataFrame, path: str, checkpoint: str, start: int = 0, segment_frames: int = 600, at: Callable[[str, int], None] | None = None):
+    """Starts a query that writes results by video and segment and commits each micro-batch in two steps.
+
+    A batch's rows replace those that the same batch has written before; then its marks do: for each segment
+    that it touched, the frames that the segment has with all batches up to this one, with the batch as version. Only
+    rows of batches with marks count (committed()), so a failure at any place loses nothing and doubles nothing.
+    at(place, batch) is called at begin, written and marked.
+    """
+    spark, told = results.sparkSession, at or (lambda place, n: None)
 
     def put(batch: DataFrame, n: int) -> None:
+        told("begin", n)
         rows = batch.where(F.col("frame_idx") >= start).withColumn("seg_idx", F.floor((F.col("frame_idx") - start) / segment_frames).cast("int"))
-        rows.withColumn("batch", F.lit(n)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch", "video_id", "seg_idx").parquet(path)
+        rows.write.mode("overwrite").partitionBy("video_id", "seg_idx").parquet(f"{path}/rows/batch={n}")
+        told("written", n)
+        now = spark.read.schema("frame_idx int, video_id long, seg_idx int").parquet(f"{path}/rows/batch={n}").groupBy("video_id", "seg_idx").agg(F.count("*").alias("frames"))
+        if n:
+            before = segment_checkpoint(spark, path, n)
+            now = now.unionByName(before.join(now, ["video_id", "seg_idx"], "left_semi")).groupBy("video_id", "seg_idx").agg(F.sum("frames").alias("frames"))
+        now.withColumn("version", F.lit(n).cast("long")).write.mode("overwrite").parquet(f"{path}/marks/batch={n}")
+        told("marked", n)
 
     return results.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def marks(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema("video_id long, seg_idx int, frames long, version long, batch int").parquet(f"{path}/marks")
+
+
+def segment_checkpoint(spark: SparkSession, path: str, before: int | None = None) -> DataFrame:
+    """(video_id, seg_idx, frames) of all segments by their newest marks, or of those before a batch."""
+    held = marks(spark, path) if before is None else marks(spark, path).where(F.col("batch") < before)
+    nothing = spark.createDataFrame([], "video_id long, seg_idx int, frames long")
+    return checkpoint_upsert(nothing, held)
+
+
+def committed(spark: SparkSession, path: str) -> DataFrame:
+    """Rows of batches that have marks."""
+    rows = spark.read.schema("frame_idx int, batch int, video_id long, seg_idx int").parquet(f"{path}/rows")
+    return rows.join(marks(spark, path).select("batch").distinct(), "batch", "left_semi")
+
+
 def written_segments(rows: DataFrame) -> DataFrame:
     """(video_id, seg_idx, frames, closed) of what write_segments wrote; a segment closes when a later one begins."""
     sums = rows.groupBy("video_id", "seg_idx").agg(F.count("*").alias("frames"))
