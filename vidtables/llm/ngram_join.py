@@ -29,7 +29,8 @@ compared, so no link between different texts is lost. Verification compares whol
 
 The order of shingles decides only how much work there is, never the result. Its counts come
 from all documents: each task counts its shingles in CELLS cells, the tasks' counts are summed through a
-reduction tree, and the cells' ranks (1 MB, whatever the input) are held on every executor.
+reduction tree; the HOT most frequent shingles, as far as batches of them show them, come last in any case. The
+cells' ranks (4 MB, whatever the input) and these shingles (2 MB) are held on every executor.
 
 Definitions: words are runs other than ASCII white space, A-Z lower-cased. A document with
 fewer than k words has its whole sequence as one shingle; one without words or text has an
@@ -53,7 +54,9 @@ from vidtables.llm.components import components
 from vidtables.llm.scratch import WHILE_WRITING, Scratch, settings
 from vidtables.llm.words import Words, slices, utf8
 
-CELLS = 1 << 18
+CELLS = 1 << 20
+HOT = 1 << 18
+TOGETHER = 1 << 21  # shingles counted at once
 ROUNDS = 3
 TRIES = 8
 BITS = 512
@@ -70,6 +73,26 @@ def set_rows(batch: pa.RecordBatch, k: int) -> Iterator[tuple[int, np.ndarray]]:
             yield lo + i, x[np.append(True, x[1:] != x[:-1])] if len(x) > 1 else x
 
 
+def frequent_batches(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
+    """Shingles of at least 3 documents of about TOGETHER shingles, with their counts."""
+
+    def counted(sets: list[np.ndarray]) -> pa.RecordBatch:
+        token, n = np.unique(np.concatenate(sets), return_counts=True)
+        keep = n >= 3
+        return pa.RecordBatch.from_arrays([pa.array(token[keep].view(np.int64)), pa.array(n[keep].astype(np.int64))], names=["token", "n"])
+
+    sets, held = [], 0
+    for batch in batches:
+        for _, x in set_rows(batch, k):
+            sets.append(x)
+            held += len(x)
+            if held >= TOGETHER:
+                yield counted(sets)
+                sets, held = [], 0
+    if sets:
+        yield counted(sets)
+
+
 def cell_of(x: np.ndarray, cells: int) -> np.ndarray:
     """The sketch's cell of each shingle; other bits than those that order by hash looks at first."""
     return (x & np.uint64(cells - 1)).astype(np.int64)
@@ -88,8 +111,11 @@ def added(x: bytes, y: bytes) -> bytes:
     return (np.frombuffer(x, np.int64) + np.frombuffer(y, np.int64)).tobytes()
 
 
-def signature_batches(batches: Iterator[pa.RecordBatch], k: int, percent: int, ranks: Broadcast) -> Iterator[pa.RecordBatch]:
-    """Size, digest of the set, digest of prefix and size, prefix, bitmap. ranks: the place of each cell, rarest first."""
+def signature_batches(batches: Iterator[pa.RecordBatch], k: int, percent: int, ranks: Broadcast, hot: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Size, digest of the set, digest of prefix and size, prefix, bitmap. ranks: the place of each cell, rarest first;
+    hot: the frequent shingles, rarest first, which come behind all others."""
+    by_hash = np.argsort(hot)
+    sorted_hot = hot[by_hash]
     rank = np.frombuffer(ranks.value, np.int32)
     for batch in batches:
         size, digest, key, prefix, bits = [], [], [], [], np.zeros((len(batch), BITS), bool)
@@ -102,6 +128,9 @@ def signature_batches(batches: Iterator[pa.RecordBatch], k: int, percent: int, r
                 continue
             p = n - -(-percent * n // 100) + 1
             place = rank[cell_of(x, len(rank))]
+            if len(hot):
+                at = np.minimum(np.searchsorted(sorted_hot, x), len(hot) - 1)
+                place = np.where(sorted_hot[at] == x, len(rank) + by_hash[at], place)
             least = np.flatnonzero(place <= np.partition(place, p - 1)[p - 1])  # cells that the prefix may take shingles of
             first = x[least[np.lexsort((x[least], place[least]))[:p]]]
             digest.append(hashlib.blake2b(x.tobytes(), digest_size=16).digest())
@@ -165,6 +194,13 @@ class GroupedPrefixJoin:
         out[np.argsort(counts, kind="stable")] = np.arange(self.cells, dtype=np.int32)
         return out.tobytes()
 
+    def frequent(self) -> np.ndarray:
+        """The HOT most frequent shingles, rarest first; a bounded table."""
+        found = self.docs.mapInArrow(partial(frequent_batches, k=self.k), "token long, n long")
+        with settings(self.spark, WHILE_WRITING):
+            top = found.groupBy("token").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "token").limit(HOT).toArrow()
+        return top.column("token").to_numpy().view(np.uint64)[::-1].copy()
+
     def need(self, n: str, m: str) -> str:
         """The least number of shared shingles with which sets of n and m link."""
         return f"({self.percent} * ({n} + {m}) + {99 + self.percent}) div {100 + self.percent}"
@@ -245,9 +281,8 @@ class GroupedPrefixJoin:
             of_bucket = listed.groupBy("token", "comp", bucket).agg(F.count("*").alias("c"), F.min_by(own, by_hash).alias("p"))
             of_comp = of_bucket.groupBy("token", "comp").agg(F.sum("c").alias("c"), F.array_sort(F.collect_list("p")).alias("ps"))  # TRIES at most
             pivots = of_comp.groupBy("token").agg(F.max(F.struct("c", "comp", "ps")).alias("m"), F.count("*").alias("comps")).where("comps > 1").select("token", "m.ps")
-        # of a list's pivots a group takes one, by hash, so that its lists together offer it several
-        one = F.get("ps", F.pmod(F.xxhash64("gid", "token"), F.size("ps")).cast("int"))
-        tried = listed.join(pivots, "token").withColumn("p", one).where(f"comp <> p.comp and 100 * least(n, p.n) >= {self.percent} * greatest(n, p.n)")
+        pivots = pivots.select("token", F.explode("ps").alias("p"))
+        tried = listed.join(pivots, "token").where(f"comp <> p.comp and 100 * least(n, p.n) >= {self.percent} * greatest(n, p.n)")
         pairs = tried.select("gid", F.col("p.gid").alias("pivot")).distinct()
         other = sets.withColumnsRenamed({c: f"p_{c}" for c in sets.columns}).withColumnRenamed("p_gid", "pivot")
         bound = pairs.join(sets, "gid").join(other, "pivot").withColumn("most", F.expr(self.shared_at_most("", "p_"))).where(f"most >= {self.need('n', 'p_n')}")
@@ -298,7 +333,7 @@ class GroupedPrefixJoin:
 
     def result(self) -> DataFrame:
         """(id, n_shingles, component_id) of each row."""
-        signed = partial(signature_batches, k=self.k, percent=self.percent, ranks=self.spark.sparkContext.broadcast(self.ranks()))
+        signed = partial(signature_batches, k=self.k, percent=self.percent, ranks=self.spark.sparkContext.broadcast(self.ranks()), hot=self.frequent())
         self.sigs = self.scratch.save(self.docs.mapInArrow(signed, f"id {self.id_type}, n long, digest binary, key binary, prefix array<long>, " + ", ".join(f"{b} long" for b in LANES)))
         self.classes_ = self.classes()
         self.lists_ = self.lists()
