@@ -240,8 +240,12 @@ def drop_contaminated(
     docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text: str = "text", k: int = 5, percent: int = 75
 ) -> DataFrame:
     """Rows of docs, with all columns, that hold no item."""
-    out, scratch = docs, Scratch(docs.sparkSession, "decontamination")
+    out, held, scratch = docs, None, Scratch(docs.sparkSession, "decontamination")
     for ids, texts, last in blocks(benchmark, item_col, item_text):
         out = out.mapInArrow(partial(clean_batches, bench=Benchmark(ids, texts, k, percent), place=docs.columns.index(text_col)), docs.schema)
-        out = out if last else scratch.save(out)
+        if not last:
+            out = scratch.save(out)
+            if held is not None:
+                scratch.drop(held)
+            held = out
     return out
