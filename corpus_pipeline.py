@@ -52,8 +52,12 @@ ORACLE_SQL = None  # a trained network and an encoder aren't SQL; tests/llm comp
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents. What one hands to the next is written to the shared folder and read from there."""
-    docs, scratch = table(spark, sf_dir, "documents"), Scratch(spark, "pipeline")
+    """All stages over documents. What one hands to the next is written to the shared folder and read from there; it goes
+    when the next has written its own."""
+    docs, held, scratch = table(spark, sf_dir, "documents"), None, Scratch(spark, "pipeline")
     for _, stage in STAGES[:-1]:
         docs = scratch.save(stage(spark, docs, sf_dir))
+        if held is not None:
+            scratch.drop(held)
+        held = docs
     return STAGES[-1][1](spark, docs, sf_dir)
