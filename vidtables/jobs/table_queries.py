@@ -10,6 +10,7 @@ from vidtables.jobs.registry import Registry
 from vidtables.operators import matching, requests, segments, stats, verify
 from vidtables.sources import checkpoints
 from vidtables.sources.fixtures import SKIP_LIST, TIME
+from vidtables.sources.shared import shared_path
 
 R = Registry()
 QUERIES, ORACLES = R.QUERIES, R.ORACLES
@@ -294,6 +295,36 @@ R.add(
     lambda r: verify.segment_verify(recorded(r), cut(r)),
     f"{REC} SELECT rec.video_id, rec.seg_idx, frames, coalesce(k, 0) AS actual, CASE WHEN k IS NULL THEN 'dropped' WHEN k <> frames THEN 'corrected' ELSE 'ok' END AS status FROM rec LEFT JOIN m ON m.video_id = rec.video_id AND m.seg_idx = rec.seg_idx",
 )
+
+def stored_segments(r: DataFrame) -> str:
+    """Where a table lies by video and segment, after it was written there."""
+    path = shared_path(r.sparkSession, "segments")
+    checkpoints.segment_sink(cut(r).select("video_id", "seg_idx", "frame_idx", "event_id", "value"), path)
+    return path
+
+
+R.add(
+    "segment_verify_stored",
+    "results",
+    lambda r: verify.segment_verify_stored(recorded(r), stored_segments(r)),
+    f"{REC} SELECT rec.video_id, rec.seg_idx, frames, coalesce(k, 0) AS actual, CASE WHEN k IS NULL THEN 'dropped' WHEN k <> frames THEN 'corrected' ELSE 'ok' END AS status FROM rec LEFT JOIN m ON m.video_id = rec.video_id AND m.seg_idx = rec.seg_idx",
+)
+
+
+def spliced(f: DataFrame, r: DataFrame, v: DataFrame) -> DataFrame:
+    path = stored_segments(f)
+    new = cut(r).select("video_id", "seg_idx", "frame_idx", "event_id", (-c("value")).alias("value"))
+    checkpoints.splice_stored(new, v.select("video_id", F.lit(30).alias("range_start"), (c("total_frames") % 700 + 30).alias("range_end")), path)
+    return f.sparkSession.read.schema("frame_idx int, event_id long, value double, video_id long, seg_idx int").parquet(path)
+
+
+R.add(
+    "splice_stored",
+    "frames results typed",
+    spliced,
+    f""" SELECT f.video_id, {SEG.replace("frame_idx", "f.frame_idx")}, f.frame_idx, f.event_id, CASE WHEN f.frame_idx >= 30 AND f.frame_idx < total_frames % 700 + 30 THEN -value ELSE value END AS value
+FROM frames f LEFT JOIN typed USING (video_id) WHERE NOT (f.frame_idx >= 30 AND f.frame_idx < coalesce(total_frames % 700 + 30, 0) AND event_type = 'error' AND (f.video_id, f.frame_idx // {LENGTH}) IN (SELECT video_id, frame_idx // {LENGTH} FROM results JOIN typed USING (video_id) WHERE frame_idx >= 30 AND frame_idx < total_frames % 700 + 30))""",
+)
 R.add(
     "merge_audit",
     "results",

@@ -2,20 +2,43 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vidtables.operators.segments import KEY, contiguous_prefix, frames_missing_extra, segment_sample, segments_ordered
+from vidtables.sources.shared import configured, shared_table
 
 
 def segment_verify(recorded: DataFrame, rows: DataFrame) -> DataFrame:
     """Recorded frames of each segment against the rows that are there: dropped, corrected or ok."""
-    real = rows.groupBy(*KEY).agg(F.count("*").alias("actual"))
+    return _verified(recorded, rows.groupBy(*KEY).agg(F.count("*").alias("actual")))
+
+
+def _verified(recorded: DataFrame, real: DataFrame) -> DataFrame:
     out = recorded.join(real, KEY, "left").na.fill(0, ["actual"])
     status = F.when(F.col("actual") == 0, "dropped").when(F.col("actual") != F.col("frames"), "corrected").otherwise("ok")
     return out.select(*KEY, "frames", "actual", status.alias("status"))
 
 
+#: Parquet by the reader that answers count(*) of partitions from the files' footers
+FOOTERS = {"spark.sql.sources.useV1SourceList": "avro,csv,json,kafka,orc,text", "spark.sql.parquet.aggregatePushdown": "true"}
+
+
+def footer_counts(spark: SparkSession, path: str) -> DataFrame:
+    """(video_id, seg_idx, actual) of segments stored by video and segment, from file footers; no row is read. To be
+    run inside configured(FOOTERS)."""
+    stored = spark.read.parquet(path).groupBy(*KEY).agg(F.count("*").alias("actual"))
+    return stored
+
+
+def segment_verify_stored(recorded: DataFrame, path: str) -> DataFrame:
+    """segment_verify() against the segments that lie in a folder, by the footers of their files."""
+    spark = recorded.sparkSession
+    with configured(spark, FOOTERS):
+        real = shared_table(footer_counts(spark, path).select(F.col("video_id").cast("long"), F.col("seg_idx").cast("int"), "actual"), "footers")
+    return _verified(recorded, real)
+
+
 def merge_audit(recorded: DataFrame, rows: DataFrame) -> DataFrame:
     """The segments that a merge takes, in order (place, offset), with the audit of a sample of each video's:
     actual and status of segment_verify(), or unchecked. All are merged, whatever the audit says."""

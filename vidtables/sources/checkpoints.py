@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from vidtables.operators.segments import segment_sample
 from vidtables.operators.verify import segment_verify
+from vidtables.sources.shared import shared_table
 
 SCHEMA = "completed_segments string, total_frames int"
 
@@ -57,3 +58,19 @@ def segment_sink(rows: DataFrame, path: str, order: str = "frame_idx") -> None:
     """Writes rows by video and segment, in frame order within each; segments present are replaced."""
     dealt = rows.repartition("video_id", "seg_idx").sortWithinPartitions("video_id", "seg_idx", order)
     dealt.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("video_id", "seg_idx").parquet(path)
+
+
+def splice_stored(processed: DataFrame, ranges: DataFrame, path: str) -> None:
+    """splice() into a table that lies by video and segment (fixed numbers of frames): only segments that a video's range
+    touches are written again, those at its borders with their own frames outside. processed has video_id, seg_idx, frame_idx and
+    the table's columns. The new segments are written aside first, so a failure leaves the table whole or is repeated."""
+    spark = processed.sparkSession
+    stored = spark.read.parquet(path)
+    columns = [c for c in stored.columns if c not in ("video_id", "seg_idx")]
+    own = ranges.select("video_id", "range_start", "range_end")
+    inside = (F.col("frame_idx") >= F.col("range_start")) & (F.col("frame_idx") < F.col("range_end"))
+    new = processed.join(own, "video_id").where(inside).select(*columns, F.col("video_id").cast("long"), F.col("seg_idx").cast("int"))
+    touched = new.select("video_id", "seg_idx").distinct()
+    kept = stored.withColumns({"video_id": F.col("video_id").cast("long"), "seg_idx": F.col("seg_idx").cast("int")}).join(touched, ["video_id", "seg_idx"], "left_semi")
+    kept = kept.join(own, "video_id").where(~inside).select(*columns, "video_id", "seg_idx")
+    segment_sink(shared_table(kept.unionByName(new), "splice"), path)
