@@ -6,7 +6,7 @@ import pytest
 from pyspark.errors import StreamingQueryException
 from pyspark.sql import functions as F
 
-from vidtables.operators import segments
+from vidtables.operators import segments, tracking
 from vidtables.streaming import jobs
 
 
@@ -63,3 +63,18 @@ def test_frames_by_runs(spark):
     assert sorted(map(str, got.collect())) == sorted(map(str, plain.collect())) and got.count() == 102
     assert segments.suspicious_segments(whole, odd).count() == 4  # of 40: a tenth is compared frame by frame
     assert segments.frames_missing_extra_by_runs(whole, whole).count() == 0 and segments.suspicious_segments(whole.limit(0), whole.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("max_age", [2, 3])
+def test_lifespans_as_a_stream(spark, tmp_path, max_age):
+    """Gaps of max_age and of max_age + 1 frames; a last frame far behind closes all other spans."""
+    rows = [(1, k, f) for k in (1, 2) for f in (0, 1, 3, 6, 9, 13, 14, 20 + k)] + [(2, 1, 5), (9, 9, 10**6)]
+    table = spark.createDataFrame(rows, "video_id long, track_id int, frame_idx int")
+    table.write.parquet(f"{tmp_path}/in")
+    stream = jobs.stream_lifespans(spark.readStream.schema(table.schema).parquet(f"{tmp_path}/in"), max_age, 30000 / 1001)
+    put = lambda batch, n: batch.write.mode("overwrite").parquet(f"{tmp_path}/out/batch={n}")
+    stream.writeStream.foreachBatch(put).option("checkpointLocation", f"{tmp_path}/state").trigger(availableNow=True).start().awaitTermination()
+    got = spark.read.parquet(f"{tmp_path}/out").collect()
+    plain = tracking.track_lifespans(table.withColumn("det_seq", F.lit(0)), max_age).where("video_id < 9").collect()
+    assert sorted((r.video_id, r.track_id, r.first_frame, r.last_frame, r.length) for r in got) == sorted((r.video_id, r.track_id, r.first_frame, r.last_frame, r.length) for r in plain)
+    assert len(got) > 4

@@ -178,6 +178,12 @@ def stream_track(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(drained(jobs.stream_track(rows, PARAMS), "track", flush=jobs.flush_tracks))
 
 
+def stream_lifespans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All spans, those that are open at the end of the stream too."""
+    rows = event_stream(spark, sf_dir).where("event_type <> 'error'").select((c("event_id") % 10).alias("video_id"), (c("user_id") % 8).alias("track_id"), F.floor(c("event_id") / 10).cast("int").alias("frame_idx"))
+    return drained(jobs.stream_lifespans(rows, 9, 25.0), "lifespans", "complete")
+
+
 def segment_sink(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = f"{shared_path(spark, 'sink')}"
     rows = segments.frame_to_segment(fixture(spark, sf_dir, "results").select("video_id", "frame_idx", "event_id"), 0, 600)
@@ -186,7 +192,7 @@ def segment_sink(spark: SparkSession, sf_dir: str) -> DataFrame:
     return back.select(c("video_id").cast("long").alias("video_id"), "seg_idx", "frame_idx", "event_id")
 
 
-QUERIES |= {f.__name__: f for f in (segment_sink, stream_reassemble, stream_late, stream_stats, stream_segments, stream_resume, stream_track)}
+QUERIES |= {f.__name__: f for f in (segment_sink, stream_lifespans, stream_reassemble, stream_late, stream_stats, stream_segments, stream_resume, stream_track)}
 SEGMENTS = """WITH s AS (SELECT user_id % 10 AS video_id, CAST(event_id // 600 AS INT) AS seg_idx, count(*) AS frames FROM events GROUP BY 1, 2)
 SELECT *, seg_idx < max(seg_idx) OVER (PARTITION BY video_id) AS closed FROM s"""
 WAITED = """WITH r AS (SELECT user_id % 10 AS video_id, CAST(event_id // 20 AS INT) AS frame_idx FROM events WHERE event_type <> 'error'), f AS (SELECT video_id, frame_idx, count(*) AS k FROM r GROUP BY 1, 2)"""
@@ -198,6 +204,10 @@ UNION ALL SELECT video_id, 'late', CAST(sum(k - 1) AS BIGINT), max(frame_idx) FR
     "stream_late": f"{WAITED} SELECT video_id, frame_idx, 'late' AS status FROM (SELECT video_id, frame_idx, unnest(range(1, k)) FROM f)",
     "stream_track": f"{common_tables('people')}{TRACKED}{SLOTTED} SELECT * FROM t",
     "segment_sink": "WITH f AS (SELECT event_id % 10 AS video_id, CAST(event_id // 10 AS INT) AS frame_idx, event_id, event_type FROM events) SELECT video_id, CAST(frame_idx // 600 AS INT) AS seg_idx, frame_idx, event_id FROM f WHERE event_type <> 'error'",
+    "stream_lifespans": """WITH u AS (SELECT event_id % 10 AS video_id, user_id % 8 AS track_id, CAST(event_id // 10 AS INT) AS frame_idx FROM events WHERE event_type <> 'error'),
+g AS (SELECT *, frame_idx - lag(frame_idx) OVER (PARTITION BY video_id, track_id ORDER BY frame_idx) AS gap FROM u),
+s AS (SELECT *, sum(CASE WHEN gap > 9 THEN 1 ELSE 0 END) OVER (PARTITION BY video_id, track_id ORDER BY frame_idx) AS span FROM g)
+SELECT video_id, track_id, min(frame_idx) AS first_frame, max(frame_idx) AS last_frame, max(frame_idx) - min(frame_idx) + 1 AS length, count(*) AS detections FROM s GROUP BY video_id, track_id, span""",
     "stream_segments": SEGMENTS,
     "stream_resume": SEGMENTS,
     "stream_stats": "SELECT CAST(floor(epoch(ts) / 3600) * 3600 AS BIGINT) AS window_start, user_id % 8 AS worker_id, count(*) AS frames, count(*) FILTER (event_type = 'error') AS failed, round(avg(value), 6) AS avg_ms FROM events GROUP BY 1, 2",

@@ -185,6 +185,16 @@ def stream_stats(log: DataFrame, window: str = "10 seconds", late: str = "1 minu
     return out.select(F.col("w.start").alias("window_start"), "worker_id", "frames", "failed", "avg_ms")
 
 
+def stream_lifespans(tracked: DataFrame, max_age: int, fps: float, late: str = "10 seconds") -> DataFrame:
+    """Spans of tracks (video_id, track_id, first_frame, last_frame, length, detections) of a stream (video_id, track_id,
+    frame_idx), as sessions in the videos' own time: a gap of more than max_age frames ends one. A span comes out when
+    the watermark, `late` behind the newest frame, has passed its end; rows behind the watermark are dropped."""
+    gap = f"{int((max_age + 0.5) / fps * 1e6)} microseconds"
+    timed = tracked.withColumn("_ts", F.timestamp_micros((F.col("frame_idx") / fps * 1e6).cast("long"))).withWatermark("_ts", late)
+    spans = timed.groupBy("video_id", "track_id", F.session_window("_ts", gap)).agg(F.min("frame_idx").alias("first_frame"), F.max("frame_idx").alias("last_frame"), F.count("*").alias("detections"))
+    return spans.select("video_id", "track_id", "first_frame", "last_frame", (F.col("last_frame") - F.col("first_frame") + 1).alias("length"), "detections")
+
+
 def write_segments(results: DataFrame, path: str, checkpoint: str, start: int = 0, segment_frames: int = 600, at: Callable[[str, int], None] | None = None):
     """Starts a query that writes results by video and segment and commits each micro-batch in two steps.
 
