@@ -239,9 +239,38 @@ def test_stream_reassembly_with_flush(spark, tmp_path):
     assert sorted((r.frame_idx, r.status) for r in got.collect()) == [(i, "in_order" if i in frames else "recovered") for i in range(90)]
 
 
+class Handle:
+    """Stands in for the engine's state variables."""
+
+    def __init__(self):
+        self.value, self.map = None, {}
+
+    def getValueState(self, *_):
+        return self
+
+    def getMapState(self, *_):
+        return Map(self.map)
+
+    def exists(self):
+        return self.value is not None
+
+    def get(self):
+        return self.value
+
+    def update(self, value):
+        self.value = value
+
+
+class Map:
+    def __init__(self, held):
+        self.keys, self.containsKey = held.keys, held.__contains__
+        self.removeKey, self.updateValue = held.pop, held.__setitem__
+
+
 def test_reassembly():
-    state = State()
-    feed = lambda *x: list(map(tuple, pd.concat(jobs.reassemble_group((1,), iter([pd.DataFrame({"frame_idx": x})]), state, 2))[["frame_idx", "status"]].values.tolist()))
+    video = jobs.Reassembly(2, None)
+    video.init(Handle())
+    feed = lambda *x: list(map(tuple, pd.concat(video.handleInputRows((1,), iter([pd.DataFrame({"frame_idx": x})]), None))[["frame_idx", "status"]].values.tolist()))
     assert feed(1, 0) == [(0, "in_order"), (1, "in_order")]
     assert feed(3, 4) == []
     assert feed(5) == [(2, "recovered"), (3, "in_order"), (4, "in_order"), (5, "in_order")]

@@ -99,7 +99,7 @@ class Reassembly(StatefulProcessor):
 
 
 def ordered(key: tuple, out: list[tuple[int, str]]) -> pd.DataFrame:
-    return pd.DataFrame({"video_id": [key[0]] * len(out), "frame_idx": pd.array([i for i, _ in out], "int32"), "status": [s for _, s in out]})
+    return pd.DataFrame({"video_id": [key[0]] * len(out), "frame_idx": pd.array([i for i, _ in out], "int32"), "status": pd.Series([s for _, s in out], dtype=object)})
 
 
 def stream_reassemble(results: DataFrame, patience: int = 100, wait_ms: int | None = None) -> DataFrame:
