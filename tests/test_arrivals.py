@@ -5,9 +5,12 @@ import os
 import pandas as pd
 import pyarrow.parquet as pq
 import pytest
+from pyspark.sql import functions as F
 
 from test_units import Handle, Map
 from vidtables.jobs import stateful_queries
+from vidtables.sources import catalog
+from vidtables.sources.shared import configured
 from vidtables.streaming import jobs
 
 SF = "/root/testdata/sf0.001"
@@ -61,3 +64,16 @@ def test_files_of_a_batch_do_not_grow_with_its_segments(spark, tmp_path):
     found = jobs.written_segments(jobs.committed(spark, f"{tmp_path}/out")).collect()
     assert len(found) == 1000 and {r.frames for r in found} == {4} and sum(not r.closed for r in found) == 10
     assert len(list((tmp_path / "out").rglob("*.parquet"))) < 20
+
+
+def test_null_slots_are_not_dealt_by_their_name(spark):
+    """Of 3,000 slots 1,000 are skipped: no partition of the join with the gallery gets those."""
+    lists = spark.range(1000).select(F.col("id").alias("video_id"), F.concat_ws(",", F.col("id").cast("string"), F.lit(" Skip"), (F.col("id") + 1).cast("string")).alias("sources"))
+    gallery = spark.range(500).select(F.col("id").cast("string").alias("name"), F.array(F.col("id").cast("float")).alias("embedding"))
+    with configured(spark, {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.enabled": "false"}):
+        slots = catalog.slots_scan(lists, gallery)
+        sizes = [n for n in slots.rdd.mapPartitions(lambda it: [sum(r.is_skip for r in it)]).collect() if n]
+        got = {(r.video_id, r.position): r for r in slots.collect()}
+    assert sum(sizes) == 1000 and max(sizes) < 1000
+    assert len(got) == 3000 and got[7, 0].embedding == [7.0] and got[7, 2].embedding == [8.0] and got[700, 0].embedding is None
+    assert [(got[7, i].is_skip, got[7, i].embedding is None) for i in range(3)] == [(False, False), (True, True), (False, False)]

@@ -45,7 +45,9 @@ def slots_scan(lists: DataFrame, gallery: DataFrame) -> DataFrame:
     "skip" in any case is a null slot; the position is the place in the list."""
     rows = lists.select("video_id", F.posexplode(F.split("sources", ",")).alias("position", "name")).withColumn("name", F.trim("name"))
     rows = rows.withColumn("is_skip", F.lower("name") == "skip")
-    return rows.join(gallery.select("name", "embedding"), "name", "left").select("video_id", "position", F.when(~F.col("is_skip"), F.col("embedding")).alias("embedding"), "is_skip")
+    # null slots don't meet the gallery: they all have one name, which would come to one task
+    named = rows.where(~F.col("is_skip")).join(gallery.select("name", "embedding"), "name", "left").select("video_id", "position", "embedding", "is_skip")
+    return named.union(rows.where("is_skip").select("video_id", "position", F.lit(None).cast(gallery.schema["embedding"].dataType), "is_skip"))
 
 
 def batch_fanout(videos: DataFrame, part_seconds: int = 1200) -> DataFrame:
