@@ -2,6 +2,7 @@
 
 import os
 
+import numpy as np
 import pandas as pd
 import pyarrow.parquet as pq
 import pytest
@@ -9,6 +10,7 @@ from pyspark.sql import functions as F
 
 from test_units import Handle, Map
 from vidtables.jobs import stateful_queries
+from vidtables.operators import tracking
 from vidtables.sources import catalog
 from vidtables.sources.shared import configured
 from vidtables.streaming import jobs
@@ -77,3 +79,18 @@ def test_null_slots_are_not_dealt_by_their_name(spark):
     assert sum(sizes) == 1000 and max(sizes) < 1000
     assert len(got) == 3000 and got[7, 0].embedding == [7.0] and got[7, 2].embedding == [8.0] and got[700, 0].embedding is None
     assert [(got[7, i].is_skip, got[7, i].embedding is None) for i in range(3)] == [(False, False), (True, True), (False, False)]
+
+
+def test_a_mean_is_worked_out_once(spark):
+    """The plan weights a track's vectors in one place, and the mean is that of numpy, for histories longer than HISTORY too."""
+    rng = np.random.default_rng(3)
+    vectors = rng.normal(size=(20, 6))
+    table = spark.createDataFrame([(1, 0, i, i, v.tolist()) for i, v in enumerate(vectors)], "video_id long, track_id int, frame_idx int, det_seq long, embedding array<double>")
+    for size in (3, 15):
+        out = tracking.track_mean_embedding(table, size)
+        got = {r.det_seq: r["mean"] for r in out.collect()}
+        for i in range(20):
+            held = np.array([*vectors[max(0, i + 1 - size) : i + 1], vectors[i]])
+            mean = np.linspace(0.5, 1.0, len(held)) @ held
+            assert np.allclose(got[i], mean / np.linalg.norm(mean))
+        assert out._jdf.queryExecution().optimizedPlan().toString().count("concat(history") == 1

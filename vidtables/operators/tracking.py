@@ -10,12 +10,12 @@ than `max_age` frames are lost, and may be recovered for eight times that span.
 from __future__ import annotations
 
 import ast
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vidtables.functions import vectors
@@ -438,11 +438,19 @@ def track_lifespans(tracked: DataFrame, max_age: int) -> DataFrame:
 
 def track_mean_embedding(tracked: DataFrame, size: int = HISTORY) -> DataFrame:
     """Adds mean, the weighted mean of the history and the newest vector, weights from 0.5 to 1, of length 1."""
-    rows = history_window(tracked, size)
-    held = F.concat("history", F.array("embedding"))
-    weighted = F.transform(held, lambda v, i: F.transform(v, lambda x: x.cast("double") * (0.5 + 0.5 * i / (F.size(held) - 1))))
-    total = F.aggregate(F.slice(weighted, 2, HISTORY + 1), F.element_at(weighted, 1), lambda a, v: F.zip_with(a, v, lambda x, y: x + y))
-    return rows.withColumn("mean", vectors.vec_normalize(total)).drop("history")
+    rows = history_window(tracked, size).withColumn("_n", F.size("history"))
+
+    def mean(held: Column) -> Column:
+        weighted = F.transform(held, lambda v, i: F.transform(v, lambda x: x.cast("double") * (0.5 + 0.5 * i / F.col("_n"))))
+        return _once(weighted, lambda w: F.aggregate(F.slice(w, 2, size), F.element_at(w, 1), lambda a, v: F.zip_with(a, v, lambda x, y: x + y)))
+
+    total = mean(F.concat("history", F.array("embedding")))
+    return rows.withColumn("mean", _once(total, vectors.vec_normalize)).drop("history", "_n")
+
+
+def _once(value: Column, f: Callable[[Column], Column]) -> Column:
+    """f(value), with value worked out once however often f names it."""
+    return F.element_at(F.transform(F.array(value), f), 1)
 
 
 def track_step_similarity(tracked: DataFrame) -> DataFrame:
