@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 
 from test_units import Handle, Map
 from vidtables.jobs import stateful_queries
-from vidtables.operators import tracking
-from vidtables.sources import catalog
+from vidtables.operators import tracking, verify
+from vidtables.sources import catalog, checkpoints
 from vidtables.sources.shared import configured
 from vidtables.streaming import jobs
 
@@ -94,3 +94,22 @@ def test_a_mean_is_worked_out_once(spark):
             mean = np.linspace(0.5, 1.0, len(held)) @ held
             assert np.allclose(got[i], mean / np.linalg.norm(mean))
         assert out._jdf.queryExecution().optimizedPlan().toString().count("concat(history") == 1
+
+
+def test_segments_that_share_folders(spark, tmp_path):
+    """600 segments in 6 folders: counted, and spliced with only the folders in range written again."""
+    table = spark.range(0, 6000).select((F.col("id") % 2).alias("video_id"), F.floor(F.col("id") / 20).cast("int").alias("seg_idx"), F.floor(F.col("id") / 2).cast("int").alias("frame_idx"), F.col("id").alias("x"))
+    checkpoints.segment_sink(table, f"{tmp_path}/t", block=100)
+    files = lambda: {str(p.relative_to(tmp_path / "t")): p.stat().st_mtime_ns for p in (tmp_path / "t").rglob("*.parquet")}
+    before = files()
+    assert len(before) == 6
+    recorded = spark.createDataFrame([(0, 0, 10), (0, 1, 9), (1, 299, 10), (1, 900, 3)], "video_id long, seg_idx int, frames long")
+    got = {(r.video_id, r.seg_idx): (r.actual, r.status) for r in verify.segment_verify_stored(recorded, f"{tmp_path}/t").collect()}
+    assert got == {(0, 0): (10, "ok"), (0, 1): (10, "corrected"), (1, 299): (10, "ok"), (1, 900): (0, "dropped")}
+    ranges = spark.createDataFrame([(0, 995, 1017)], "video_id long, range_start int, range_end int")
+    new = table.where("frame_idx <> 1003").withColumn("x", -F.col("x"))
+    checkpoints.splice_stored(new, ranges, f"{tmp_path}/t", 100)
+    assert {p.rsplit("/", 1)[0] for p, _ in set(before.items()) ^ set(files().items())} == {"video_id=0/seg_block=0", "video_id=0/seg_block=1"}
+    rows = sorted((r.video_id, r.seg_idx, r.frame_idx, r.x) for r in spark.read.parquet(f"{tmp_path}/t").collect())
+    spliced = [(i % 2, i // 20, i // 2, -i if i % 2 == 0 and 995 <= i // 2 < 1017 else i) for i in range(6000) if i != 2006]
+    assert rows == sorted(spliced)

@@ -16,6 +16,7 @@ R = Registry()
 QUERIES, ORACLES = R.QUERIES, R.ORACLES
 c = F.col
 LENGTH = 120  # frames of a segment in these queries
+BLOCK = 500  # stored segments that share a folder
 
 RANGES = f""", r0 AS (SELECT r.*, fps, total_frames, greatest(0, least(coalesce(start_frame, CAST(trunc({TIME} * fps) AS INT), 0), total_frames)) AS range_start FROM requests r JOIN typed t USING (video_id)),
 ranges AS (SELECT *, greatest(range_start, least(coalesce(end_frame, total_frames), total_frames)) AS range_end FROM r0)"""
@@ -299,7 +300,7 @@ R.add(
 def stored_segments(r: DataFrame) -> str:
     """Where a table lies by video and segment, after it was written there."""
     path = shared_path(r.sparkSession, "segments")
-    checkpoints.segment_sink(cut(r).select("video_id", "seg_idx", "frame_idx", "event_id", "value"), path)
+    checkpoints.segment_sink(cut(r).select("video_id", "seg_idx", "frame_idx", "event_id", "value"), path, block=BLOCK)
     return path
 
 
@@ -314,8 +315,8 @@ R.add(
 def spliced(f: DataFrame, r: DataFrame, v: DataFrame) -> DataFrame:
     path = stored_segments(f)
     new = cut(r).select("video_id", "seg_idx", "frame_idx", "event_id", (-c("value")).alias("value"))
-    checkpoints.splice_stored(new, v.select("video_id", F.lit(30).alias("range_start"), (c("total_frames") % 700 + 30).alias("range_end")), path)
-    return f.sparkSession.read.schema("frame_idx int, event_id long, value double, video_id long, seg_idx int").parquet(path)
+    checkpoints.splice_stored(new, v.select("video_id", F.lit(30).alias("range_start"), (c("total_frames") % 700 + 30).alias("range_end")), path, BLOCK)
+    return f.sparkSession.read.schema("seg_idx int, frame_idx int, event_id long, value double, video_id long, seg_block int").parquet(path).select("frame_idx", "event_id", "value", "video_id", "seg_idx")
 
 
 R.add(

@@ -32,8 +32,12 @@ def footer_counts(spark: SparkSession, path: str) -> DataFrame:
 
 
 def segment_verify_stored(recorded: DataFrame, path: str) -> DataFrame:
-    """segment_verify() against the segments that lie in a folder, by the footers of their files."""
+    """segment_verify() against the segments that lie in a folder, by the footers of their files; where segments share
+    folders (segment_sink() with block), by their column of segments alone, which is a run for each."""
     spark = recorded.sparkSession
+    stored = spark.read.parquet(path)
+    if "seg_block" in stored.columns:
+        return segment_verify(recorded, stored.select(F.col("video_id").cast("long"), F.col("seg_idx").cast("int")))
     with configured(spark, FOOTERS):
         real = shared_table(footer_counts(spark, path).select(F.col("video_id").cast("long"), F.col("seg_idx").cast("int"), "actual"), "footers")
     return _verified(recorded, real)

@@ -54,23 +54,34 @@ def checkpoint_remove(done: DataFrame, removed: DataFrame) -> DataFrame:
     return done.join(removed.select("video_id", "seg_idx"), ["video_id", "seg_idx"], "left_anti")
 
 
-def segment_sink(rows: DataFrame, path: str, order: str = "frame_idx") -> None:
-    """Writes rows by video and segment, in frame order within each; segments present are replaced."""
-    dealt = rows.repartition("video_id", "seg_idx").sortWithinPartitions("video_id", "seg_idx", order)
-    dealt.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("video_id", "seg_idx").parquet(path)
-
-
-def splice_stored(processed: DataFrame, ranges: DataFrame, path: str) -> None:
+def segment_sink(rows: DataFrame, path: str, order: str = "frame_idx", block: int | None = None) -> None:
+    """Writes rows by video and segment, in frame order within each; folders that are written replace those present. With
+    block, that many segments share a folder (video_id, seg_block) and lie there one after the other, so that
+    folders and files don't become as many as segments; seg_idx is a column of the files then."""
+    folders = ["video_id", "seg_idx"] if block is None else ["video_id", "seg_block"]
+    if block is not None:
+        rows = rows.withColumn("seg_block", F.floor(F.col("seg_idx") / block).cast("int"))
+    dealt = rows.repartition(*folders).sortWithinPartitions(*dict.fromkeys([*folders, "seg_idx", order]))
+    dealt.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*folders).parquet(path)
+
+
+def splice_stored(processed: DataFrame, ranges: DataFrame, path: str, block: int | None = None) -> None:
     """splice() into a table that lies by video and segment (fixed numbers of frames): only segments that a video's range
-    touches are written again, those at its borders with their own frames outside. processed has video_id, seg_idx, frame_idx and
-    the table's columns. The new segments are written aside first, so a failure leaves the table whole or is repeated."""
+    touches are written again, those at its borders with their own frames outside; with block, as segment_sink() had it, the
+    folders that hold such segments. processed has video_id, seg_idx, frame_idx and the table's columns. The new
+    folders are written aside first, so a failure leaves the table whole or is repeated."""
     spark = processed.sparkSession
     stored = spark.read.parquet(path)
-    columns = [c for c in stored.columns if c not in ("video_id", "seg_idx")]
+    columns = [c for c in stored.columns if c not in ("video_id", "seg_idx", "seg_block")]
     own = ranges.select("video_id", "range_start", "range_end")
     inside = (F.col("frame_idx") >= F.col("range_start")) & (F.col("frame_idx") < F.col("range_end"))
     new = processed.join(own, "video_id").where(inside).select(*columns, F.col("video_id").cast("long"), F.col("seg_idx").cast("int"))
     touched = new.select("video_id", "seg_idx").distinct()
-    kept = stored.withColumns({"video_id": F.col("video_id").cast("long"), "seg_idx": F.col("seg_idx").cast("int")}).join(touched, ["video_id", "seg_idx"], "left_semi")
-    kept = kept.join(own, "video_id").where(~inside).select(*columns, "video_id", "seg_idx")
-    segment_sink(shared_table(kept.unionByName(new), "splice"), path)
+    kept = stored.withColumns({"video_id": F.col("video_id").cast("long"), "seg_idx": F.col("seg_idx").cast("int")})
+    if block is None:
+        kept = kept.join(touched, ["video_id", "seg_idx"], "left_semi").join(own, "video_id").where(~inside)
+    else:
+        folders = touched.select("video_id", F.floor(F.col("seg_idx") / block).cast("int").alias("seg_block")).distinct()
+        kept = kept.join(folders, ["video_id", "seg_block"], "left_semi").join(touched.withColumn("_touched", F.lit(True)), ["video_id", "seg_idx"], "left")
+        kept = kept.join(own, "video_id", "left").where(F.col("_touched").isNull() | ~inside)
+    segment_sink(shared_table(kept.select(*columns, "video_id", "seg_idx").unionByName(new), "splice"), path, block=block)
