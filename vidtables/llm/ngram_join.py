@@ -29,7 +29,7 @@ compared, so no link between different texts is lost. Verification compares whol
 
 The order of shingles decides only how much work there is, never the result. Its counts come
 from all documents: each task counts its shingles in CELLS cells, the tasks' counts are summed through a
-reduction tree; the HOT most frequent shingles, as far as batches of them show them, come last in any case. The
+tree of tables; the HOT most frequent shingles, as far as batches of them show them, come last in any case. The
 cells' ranks (4 MB, whatever the input) and these shingles (2 MB) are held on every executor.
 
 Definitions: words are runs other than ASCII white space, A-Z lower-cased. A document with
@@ -56,7 +56,8 @@ from vidtables.llm.words import Words, slices, utf8
 
 CELLS = 1 << 20
 HOT = 1 << 18
-TOGETHER = 1 << 21  # shingles counted at once
+TOGETHER = 1 << 20  # shingles counted at once
+BRANCHES = 16  # sketches that one task sums
 ROUNDS = 3
 TRIES = 8
 BITS = 512
@@ -107,8 +108,13 @@ def sketch_batches(batches: Iterator[pa.RecordBatch], k: int, cells: int) -> Ite
     yield pa.RecordBatch.from_arrays([pa.array([counts.tobytes()], pa.binary())], names=["counts"])
 
 
-def added(x: bytes, y: bytes) -> bytes:
-    return (np.frombuffer(x, np.int64) + np.frombuffer(y, np.int64)).tobytes()
+def added_batches(batches: Iterator[pa.RecordBatch], cells: int) -> Iterator[pa.RecordBatch]:
+    """One row: the sum of a partition's sketches."""
+    counts = np.zeros(cells, np.int64)
+    for batch in batches:
+        for row in batch.column(0):
+            counts += np.frombuffer(row.as_buffer(), np.int64)
+    yield pa.RecordBatch.from_arrays([pa.array([counts.tobytes()], pa.binary())], names=["counts"])
 
 
 def signature_batches(batches: Iterator[pa.RecordBatch], k: int, percent: int, ranks: Broadcast, hot: np.ndarray) -> Iterator[pa.RecordBatch]:
@@ -187,9 +193,16 @@ class GroupedPrefixJoin:
 
     def ranks(self) -> bytes:
         """The place of each cell in the order of counts, rarest first."""
-        rows = self.docs.mapInArrow(partial(sketch_batches, k=self.k, cells=self.cells), "counts binary").rdd.map(lambda r: bytes(r.counts))
-        with settings(self.spark, WHILE_WRITING):
-            counts = np.frombuffer(rows.treeAggregate(bytes(8 * self.cells), added, added, 2 if rows.getNumPartitions() < 256 else 3), np.int64)
+        rows = self.scratch.save(self.docs.mapInArrow(partial(sketch_batches, k=self.k, cells=self.cells), "counts binary"))
+        left = rows.count()
+        while left > 1:
+            # a tree of tables: an RDD's functions would need a second Python worker beside each task's
+            left, sketches = -(-left // BRANCHES), rows
+            rows = self.scratch.save(sketches.repartition(left).mapInArrow(partial(added_batches, cells=self.cells), "counts binary"))
+            self.scratch.drop(sketches)
+        found = rows.toArrow().column("counts")
+        counts = np.frombuffer(found[0].as_buffer(), np.int64) if len(found) else np.zeros(self.cells, np.int64)
+        self.scratch.drop(rows)
         out = np.empty(self.cells, np.int32)
         out[np.argsort(counts, kind="stable")] = np.arange(self.cells, dtype=np.int32)
         return out.tobytes()
