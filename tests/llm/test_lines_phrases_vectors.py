@@ -14,6 +14,7 @@ from oracles import differences
 from pyspark.sql import functions as F
 
 from vidtables.llm import collocations, line_dedup, queries, vector_codes
+from vidtables.llm.scratch import settings
 
 SF = "/root/testdata/sf0.001"
 CLASH = "line string, key string, h int, slot int, row string, pos int, id string, _key int, dropped int, lang string, phrase string"
@@ -159,6 +160,15 @@ def test_lists_come_back_as_they_were():
     assert collocations.unsqueezed(collocations.squeezed(flat, np.array([0, 3, 4])), lengths).tolist() == flat.tolist()
 
 
+def test_a_task_counts_few_blocks(spark):
+    docs = spark.createDataFrame([(t, lang) for t, lang in phrase_rows()], "text string, lang string").coalesce(1)
+    lists = collocations.Collocations(docs, block=1 << 9).lists
+    held = [r["count"] for r in lists.groupBy(F.input_file_name()).count().collect()]
+    assert max(held) <= collocations.TOGETHER and len(held) > 4
+    with settings(spark, {"spark.sql.files.maxPartitionBytes": collocations.A_FILE}):
+        assert lists.groupBy(F.spark_partition_id()).count().count() == len(held)
+
+
 def test_phrases_of_empty_tables(spark):
     for rows in ([], [(None, None)], [("a b c", "en")]):
         assert collocations.collocations(spark.createDataFrame(rows, "text string, lang string")).count() == 0

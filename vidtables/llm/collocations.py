@@ -13,7 +13,8 @@ blocks are summed. A phrase that is frequent has only frequent parts, so lists o
 Which phrases are frequent is known to the blocks by a bitmap of CELLS bits (16 MB, whatever
 the input), which has the hash of each frequent one. A bit that an infrequent phrase shares costs the
 counting of phrases that don't become candidates, and never a result: all counts are exact, by
-the phrases' own texts. Lists are written once and read again at each level.
+the phrases' own texts. Lists are written once and read again at each level, TOGETHER blocks by a task: Spark
+holds a task's distinct phrases until it has counted them, so a task's memory goes with its blocks.
 
 Definitions: null texts have no words; a null language is `und`. Repeated rows count each, ids aren't
 used. An empty table, and one without frequent phrases, gives no rows. Extra columns are left out. A long
@@ -36,6 +37,8 @@ from vidtables.llm.scratch import WHILE_WRITING, Scratch, settings
 from vidtables.llm.words import LOWER, mix, powers
 
 BLOCK = 2 << 20
+TOGETHER = 4
+A_FILE = "4m"  # as much as opening a file counts for, so that a task reads one
 CELLS = 1 << 27
 SLOTS = 64
 BREAKS = np.zeros(256, bool)
@@ -235,7 +238,7 @@ class Collocations:
         self.spark, self.least, self.most, self.cells = docs.sparkSession, least, words, cells
         self.scratch = Scratch(self.spark, "collocations")
         texts = docs.select(F.coalesce(F.col(f"`{lang_col}`").cast("string"), F.lit("und")).alias("lang"), F.col(f"`{text_col}`").alias("text")).where("text is not null")
-        self.lists = self.scratch.save(texts.mapInArrow(partial(list_batches, block_size=block), "lang string, words array<string>, lengths array<int>, positions binary"))
+        self.lists = self.scratch.save(texts.mapInArrow(partial(list_batches, block_size=block), "lang string, words array<string>, lengths array<int>, positions binary"), TOGETHER)
         self.totals = self.lists.groupBy("lang").agg(F.sum(F.expr("aggregate(lengths, 0L, (s, x) -> s + x)")).alias("n"))
 
     def frequent(self) -> DataFrame:
@@ -246,7 +249,8 @@ class Collocations:
                 with settings(self.spark, WHILE_WRITING):
                     bits.append(self.spark.sparkContext.broadcast(bits_of(levels[-1], self.cells)))
             counts = self.lists.mapInArrow(partial(count_batches, k=k, frequent=bits), "lang string, phrase string, f long")
-            levels.append(self.scratch.save(counts.groupBy("lang", "phrase").agg(F.sum("f").alias("f")).where(F.col("f") >= self.least)))
+            summed = counts.groupBy("lang", "phrase").agg(F.sum("f").alias("f")).where(F.col("f") >= self.least)
+            levels.append(self.scratch.save(summed, reading=A_FILE))
         found = [level.withColumn("words", F.lit(k)) for k, level in enumerate(levels, 1)]
         out = found[0]
         for level in found[1:]:

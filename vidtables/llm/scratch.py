@@ -40,12 +40,13 @@ class Scratch:
         self.root = shared_path(spark, name)
         self.n = 0
 
-    def save(self, df: DataFrame) -> DataFrame:
-        """Writes df and reads it back, so that its lineage ends here."""
+    def save(self, df: DataFrame, rows_a_file: int = 0, reading: str | None = None) -> DataFrame:
+        """Writes df and reads it back, so that its lineage ends here. rows_a_file: the most rows of a file (0: any);
+        reading: the most bytes of files that a task reads for it, where Spark's own setting is more than it can hold."""
         self.n += 1
         path = f"{self.root}/{self.n}"
-        with settings(self.spark, WHILE_WRITING):
-            df.write.parquet(path)
+        with settings(self.spark, WHILE_WRITING | ({"spark.sql.files.maxPartitionBytes": reading} if reading else {})):
+            df.write.option("maxRecordsPerFile", rows_a_file).parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._scratch_path = path
         return out
