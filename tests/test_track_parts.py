@@ -1,6 +1,7 @@
 """Speculative parts give what the tracker gives over whole videos."""
 
 import numpy as np
+import pandas as pd
 import pytest
 
 from test_units import random_video
@@ -21,6 +22,15 @@ def test_parts_equal_the_sequential_tracker(spark, apply_all, size):
     assert sum(rounds) < 10 * rounds[0]  # run again are few parts
 
 
+def test_rows_of_many_parts_go_on_together():
+    video = random_video(np.random.default_rng(3), 200)
+    pdf = pd.DataFrame([(1, f // 5, f, p, 10 * f + p, x, 3, (1,), None) for f, p, x in video], dtype=object)
+    together, alone = (list(tracking.track_part_batches(iter([pdf]), tracking.Params(), at_once)) for at_once in (4 << 20, 1))
+    assert len(together) == 1 and len(alone) > 40
+    assert together[0].astype(str).equals(pd.concat([x.astype(str) for x in alone], ignore_index=True))
+    assert len(together[0]) == len(video) + len({f // 5 for f, _, _ in video})
+
+
 def test_a_state_comes_back(spark):
     params = tracking.Params(max_age=4, reset_interval=10, apply_all=True)
     tracker = tracking.Tracker(params, 3, (1,))

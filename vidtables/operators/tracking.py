@@ -269,51 +269,54 @@ def track_batches(batches: Iterator[pd.DataFrame], params: Params) -> Iterator[p
         yield frame_of(rows_of(key[0], key[2], waiting, tracker))
 
 
-def frame_of(rows: list[tuple]) -> pd.DataFrame:
-    out = pd.DataFrame(rows, columns=COLUMNS)
+def frame_of(rows: list[tuple], columns: list[str] = COLUMNS) -> pd.DataFrame:
+    out = pd.DataFrame(rows, columns=columns)
     return out.astype({"track_id": "Int32", "stability": "Int32"})
 
 
 PARTED = f"{OUTPUT}, part int, end_state binary"
+PART_COLUMNS = [*COLUMNS, "part", "end_state"]
 
 
-def track_part_batches(batches: Iterator[pd.DataFrame], params: Params) -> Iterator[pd.DataFrame]:
-    """Runs parts, each from the state that its first row has (frame -1), and tells the state at its end in a further row."""
+def track_part_batches(batches: Iterator[pd.DataFrame], params: Params, at_once: int = 4 << 20) -> Iterator[pd.DataFrame]:
+    """Runs parts, each from the state that its first row has (frame -1), and tells the state at its end in a further row.
+
+    Rows of many parts, about at_once bytes of them, go on together: a table of its own for each part would cost more than the part."""
     key = tracker = None
     waiting: list[tuple] = []
+    out: list[tuple] = []
+    size = 0
 
-    def told(rows: list[tuple], part: int, state: bytes | None = None) -> pd.DataFrame:
-        out = frame_of(rows)
-        return out.assign(part=np.int32(part), end_state=pd.Series([state] * len(out), dtype=object))
+    def tell(rows: list[tuple], state: bytes | None = None) -> int:
+        out.extend((*r, key[1], state) for r in rows)
+        return 256 * len(rows) + len(state or b"")
 
-    def end() -> Iterator[pd.DataFrame]:
-        if waiting:
-            yield told(rows_of(key[0], key[2], waiting, tracker), key[1])
-        yield told([(key[0], -1, -1, -1, None, None, None, "state", None, False, False, False)], key[1], tracker.state())
+    def end() -> int:
+        told = tell(rows_of(key[0], key[2], waiting, tracker)) if waiting else 0
+        return told + tell([(key[0], -1, -1, -1, None, None, None, "state", None, False, False, False)], tracker.state())
 
     for pdf in batches:
-        out: list[tuple] = []
         for video, part, frame, position, seq, vector, n_slots, skips, state in pdf.itertuples(index=False):
             if key is None or key[:2] != (video, part):
                 if key:
-                    if out:
-                        yield told(out, key[1])
-                        out = []
-                    yield from end()
+                    size += end()
                 key, waiting = (video, part, frame), []
                 tracker = Tracker.of_state(params, state) if state is not None else Tracker(params, int(n_slots), tuple(skips))
                 if frame < 0:
                     continue
             if frame != key[2]:
                 if waiting:
-                    out += rows_of(video, key[2], waiting, tracker)
+                    size += tell(rows_of(video, key[2], waiting, tracker))
                     waiting = []
                 key = (video, part, frame)
             waiting.append((position, seq, vector))
-        if out:
-            yield told(out, key[1])
+            if size >= at_once:
+                yield frame_of(out, PART_COLUMNS)
+                out.clear()
+                size = 0
     if key:
-        yield from end()
+        end()
+        yield frame_of(out, PART_COLUMNS)
 
 
 def track_detections_in_parts(positions: DataFrame, slots: DataFrame, params: Params = Params(), part_frames: int = 2000) -> tuple[DataFrame, list[int]]:
