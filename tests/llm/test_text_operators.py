@@ -92,6 +92,14 @@ def test_near_duplicates(spark, docs):
             assert r.component_id == comp[r.doc_id] and r.n_shingles in sizes[r.doc_id], r
 
 
+def test_large_tables_are_shuffled_in_slices(spark, docs, monkeypatch):
+    monkeypatch.setattr(ngram_join, "FEW", 1)
+    held, save = [], ngram_join.Scratch.save_slices
+    monkeypatch.setattr(ngram_join.Scratch, "save_slices", lambda self, slices: held.append(len(slices)) or save(self, slices))
+    test_near_duplicates(spark, docs)
+    assert held[:4] == [ngram_join.SLICES] * 4  # postings, shared shingles, lists, sets of the first pairs
+
+
 def test_near_duplicates_with_a_large_group(spark):
     rng = random.Random(5)
     base = [f"w{rng.randrange(500)}" for _ in range(80)]

@@ -32,6 +32,9 @@ from all documents: each task counts its shingles in CELLS cells, the tasks' cou
 tree of tables; the HOT most frequent shingles, as far as batches of them show them, come last in any case. The
 cells' ranks (4 MB, whatever the input) and these shingles (2 MB) are held on every executor.
 
+Posting lists, and the sets of pairs to verify, are shuffled in SLICES parts by hash, one after another, so that their
+shuffle files take a part of the disk that they would take at once. Each row is in one part and meets all it would meet.
+
 Definitions: words are runs other than ASCII white space, A-Z lower-cased. A document with
 fewer than k words has its whole sequence as one shingle; one without words or text has an
 empty set, links with nothing and is its own component. Rows that share an id count as
@@ -60,6 +63,7 @@ TOGETHER = 1 << 20  # shingles counted at once
 BRANCHES = 16  # sketches that one task sums
 ROUNDS = 3
 TRIES = 8
+SLICES, FEW = 4, 10_000  # parts of a large table that are shuffled one after another, and rows of one that isn't large
 BITS = 512
 LANES = [f"b{i}" for i in range(BITS // 64)]
 
@@ -158,7 +162,7 @@ def signature_batches(batches: Iterator[pa.RecordBatch], k: int, percent: int, r
 
 
 def set_batches(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
-    """Whole sets, as the bytes of sorted hashes."""
+    """Whole sets, as the bytes of sorted hashes, with the columns behind the text."""
     for batch in batches:
         rows, size = [], 0
         lo = 0
@@ -166,7 +170,8 @@ def set_batches(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.Record
             rows.append(x.tobytes())
             size += len(rows[-1])
             if size > 1 << 22 or i == len(batch) - 1:
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, len(rows)), pa.array(rows, pa.binary())], names=["id", "hashes"])
+                more = [c.slice(lo, len(rows)) for c in batch.columns[2:]]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, len(rows)), pa.array(rows, pa.binary()), *more], names=["id", "hashes", *batch.schema.names[2:]])
                 lo, rows, size = i + 1, [], 0
 
 
@@ -214,6 +219,10 @@ class GroupedPrefixJoin:
             top = found.groupBy("token").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "token").limit(HOT).toArrow()
         return top.column("token").to_numpy().view(np.uint64)[::-1].copy()
 
+    @staticmethod
+    def slices(table: DataFrame) -> int:
+        return SLICES if table.count() >= FEW else 1
+
     def need(self, n: str, m: str) -> str:
         """The least number of shared shingles with which sets of n and m link."""
         return f"({self.percent} * ({n} + {m}) + {99 + self.percent}) div {100 + self.percent}"
@@ -236,16 +245,22 @@ class GroupedPrefixJoin:
         """
         first, second = pairs.columns
         pairs = pairs.select(F.col(first).alias("tried"), F.col(second).alias("pivot"), F.least(first, second).alias("a"), F.greatest(first, second).alias("b"))
-        pairs = self.scratch.save(pairs.dropDuplicates(["a", "b"]))
-        needed = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-        texts = self.docs.join(needed, "id", "left_semi")
-        sets = self.scratch.save(texts.mapInArrow(partial(set_batches, k=self.k), f"id {self.id_type}, hashes binary"))
-        x = sets.select(F.col("id").alias("tried"), F.col("hashes").alias("x"))
-        y = sets.select(F.col("id").alias("pivot"), F.col("hashes").alias("y"))
-        y = y.join(pairs.select("pivot").distinct(), "pivot", "left_semi")
-        joined = pairs.join(x, "tried").join(y, "pivot").select("a", "b", "x", "y")
+        pairs = self.scratch.save(pairs.dropDuplicates(["a", "b"]).select("tried", "pivot"))
+        n = self.slices(pairs)
+        of = f"cast(pmod(xxhash64({{}}), {n}) as int)".format  # pairs are dealt by their pivots
+        roles = f"explode(array(struct(tried as id, shiftleft(1, {of('pivot')}) as tried_in, false as is_pivot), struct(pivot as id, 0 as tried_in, true as is_pivot))) as r"
+        needed = pairs.select(F.expr(roles)).select("r.*").groupBy("id").agg(F.bit_or("tried_in").alias("tried_in"), F.bool_or("is_pivot").alias("is_pivot"))
+        texts = self.docs.join(needed, "id").select("id", "text", "tried_in", "is_pivot")
+        sets = self.scratch.save(texts.mapInArrow(partial(set_batches, k=self.k), f"id {self.id_type}, hashes binary, tried_in int, is_pivot boolean"))
         schema = f"a {self.id_type}, b {self.id_type}, common long, total long"
-        out = self.scratch.save(joined.mapInArrow(common_batches, schema))
+        slices = []
+        for i in range(n):
+            x = sets.where(f"tried_in & {1 << i} <> 0").select(F.col("id").alias("tried"), F.col("hashes").alias("x"))
+            y = sets.where(f"is_pivot and {of('id')} = {i}").select(F.col("id").alias("pivot"), F.col("hashes").alias("y"))
+            joined = pairs.where(f"{of('pivot')} = {i}").join(x, "tried").join(y, "pivot")
+            joined = joined.select(F.least("tried", "pivot").alias("a"), F.greatest("tried", "pivot").alias("b"), "x", "y")
+            slices.append(joined.mapInArrow(common_batches, schema))
+        out = self.scratch.save_slices(slices)
         self.scratch.drop(sets), self.scratch.drop(pairs)
         return out
 
@@ -262,13 +277,18 @@ class GroupedPrefixJoin:
     def lists(self) -> DataFrame:
         """(token, gid, n, pos) of shingles that prefixes of at least two groups hold."""
         leaders = self.classes_.where("rep = gid").select("gid", "key")
-        posts = self.sigs.join(leaders, (self.sigs.id == leaders.gid) & (self.sigs.key == leaders.key), "left_semi")
-        posts = posts.select(F.col("id").alias("gid"), "n", F.posexplode("prefix").alias("pos", "token"))
-        posts = self.scratch.save(posts)
+        n = self.slices(self.sigs)
+        slices = []
+        for i in range(n):
+            own, first = (x.where(f"pmod(xxhash64({c}), {n}) = {i}") for x, c in ((self.sigs, "id"), (leaders, "gid")))
+            posts = own.join(first, (own.id == first.gid) & (own.key == first.key), "left_semi")
+            slices.append(posts.select(F.col("id").alias("gid"), "n", F.posexplode("prefix").alias("pos", "token")))
+        posts = self.scratch.save_slices(slices)
         # the shared tokens are written, so that a common one's posts meet their one row in a plain join, which Spark splits
-        shared = posts.groupBy("token").agg(F.count("*").alias("groups")).where("groups > 1").select("token")  # a group posts a token once
-        shared = self.scratch.save(shared)
-        out = self.scratch.save(posts.join(shared, "token"))
+        parts = [posts.where(f"pmod(token, {n}) = {i}") for i in range(n)]
+        shared = [x.groupBy("token").agg(F.count("*").alias("groups")).where("groups > 1").select("token") for x in parts]  # a group posts a token once
+        shared = self.scratch.save_slices(shared)
+        out = self.scratch.save_slices([x.join(shared.where(f"pmod(token, {n}) = {i}"), "token") for i, x in enumerate(parts)])
         self.scratch.drop(posts), self.scratch.drop(shared)
         return out
 

@@ -51,6 +51,16 @@ class Scratch:
         out._scratch_path = path
         return out
 
+    def save_slices(self, slices: list[DataFrame]) -> DataFrame:
+        """Writes tables of one schema one after another as one, so that what only one of them shuffles lies on disk at a time."""
+        out = self.save(slices[0])
+        with settings(self.spark, WHILE_WRITING):
+            for df in slices[1:]:
+                df.write.mode("append").parquet(out._scratch_path)
+        path, out = out._scratch_path, self.spark.read.schema(out.schema).parquet(out._scratch_path)
+        out._scratch_path = path
+        return out
+
     def drop(self, df: DataFrame) -> None:
         """Deletes a table that save() made and that nothing reads any more."""
         path = self.spark._jvm.org.apache.hadoop.fs.Path(df._scratch_path)
