@@ -193,6 +193,16 @@ def test_components(spark):
     assert components(spark.createDataFrame([], "a long, b long"), Scratch(spark, "t")).count() == 0
 
 
+def test_stars_are_left_after_half_a_round(spark):
+    stars = [(10, i) for i in range(11, 30)] + [(40, 50)]
+    scratch = Scratch(spark, "t")
+    assert {(r.v, r.component) for r in components(spark.createDataFrame(stars, "a long, b long"), scratch).collect()} == {(v, c) for c, v in stars}
+    assert scratch.n == 3  # the edges, the least around each vertex, the edges again
+    forks = [(2, 9), (3, 9), (2, 8), (4, 7), (7, 6)]  # no edge of the first three moves to another least, yet 9 joins 2 and 3
+    got = {r.v: r.component for r in components(spark.createDataFrame(forks, "a long, b long"), Scratch(spark, "t")).collect()}
+    assert got == {9: 2, 3: 2, 8: 2, 7: 4, 6: 4}
+
+
 @pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
 @pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
 def test_query_equals_sql(spark, name):

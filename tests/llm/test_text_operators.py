@@ -100,6 +100,11 @@ def test_large_tables_are_shuffled_in_slices(spark, docs, monkeypatch):
     assert held[:4] == [ngram_join.SLICES] * 4  # postings, shared shingles, lists, sets of the first pairs
 
 
+def test_tables_that_are_not_large_go_in_one_part(spark):
+    assert ngram_join.GroupedPrefixJoin.slices(spark.range(50_000)) == 1
+    assert ngram_join.GroupedPrefixJoin.slices(spark.range(60_000)) == ngram_join.SLICES
+
+
 def test_near_duplicates_with_a_large_group(spark):
     rng = random.Random(5)
     base = [f"w{rng.randrange(500)}" for _ in range(80)]

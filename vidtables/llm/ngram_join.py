@@ -34,6 +34,7 @@ cells' ranks (4 MB, whatever the input) and these shingles (2 MB) are held on ev
 
 Posting lists, and the sets of pairs to verify, are shuffled in SLICES parts by hash, one after another, so that their
 shuffle files take a part of the disk that they would take at once. Each row is in one part and meets all it would meet.
+Tables of fewer than FEW rows go in one part: each further one costs the driver the plans and tasks of a whole table.
 
 Definitions: words are runs other than ASCII white space, A-Z lower-cased. A document with
 fewer than k words has its whole sequence as one shingle; one without words or text has an
@@ -63,7 +64,7 @@ TOGETHER = 1 << 20  # shingles counted at once
 BRANCHES = 16  # sketches that one task sums
 ROUNDS = 3
 TRIES = 8
-SLICES, FEW = 4, 10_000  # parts of a large table that are shuffled one after another, and rows of one that isn't large
+SLICES, FEW = 4, 60_000  # parts of a large table that are shuffled one after another, and rows of one that isn't large
 BITS = 512
 LANES = [f"b{i}" for i in range(BITS // 64)]
 
