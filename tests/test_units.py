@@ -5,11 +5,17 @@ import random
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
+from oracles import differences
 from vidtables.functions import scalars, vectors
+from vidtables.jobs import catalogue
 from vidtables.operators import boxes, matching, segments, stats, tracking, verify
+from vidtables.sources import catalog
+from vidtables.sources.shared import configured
 from vidtables.streaming import jobs
 
 
@@ -286,3 +292,39 @@ def test_fallback_takes_the_first_pass_of_the_plan(spark):
     assert set(got) == {1, 3, 5}  # video 3 has one pass only, video 4 no size
     assert (got[1].scale, got[1].x1, got[1].y2, got[1].kps) == (0.5, 20.0, 80.0, [[10.0, 12.0]])
     assert (got[3].scale, got[3].x2, got[3].kps) == (1.0, 3.0, None) and (got[5].scale, got[5].x1, got[5].kps) == (1.6, 10.0, [[5.0, 5.0]])
+
+
+def test_places_go_on_from_range_to_range(spark):
+    draw = random.Random(4)
+    rows = [(draw.choice((1, 1, 1, 2, None)), draw.choice((None, draw.randrange(-(10**12), 10**12)))) for _ in range(3000)] + [(1, 7)] * 40
+    last = lambda v: (v is None, v or 0)
+    with configured(spark, {"spark.sql.adaptive.coalescePartitions.enabled": "false"}):
+        numbered = catalog.numbered(spark.createDataFrame(rows, "video_id int, k long"), "video_id", "k")
+        assert len(numbered.inputFiles()) > 2  # ranges
+        got = numbered.collect()
+    assert len(got) == len(rows)
+    for video in (1, 2, None):
+        own = sorted((r.place, r.k) for r in got if r.video_id == video)
+        assert own == list(enumerate(sorted((k for v, k in rows if v == video), key=last)))
+    assert catalog.numbered(spark.createDataFrame([], "video_id int, k long"), "video_id", "k").count() == 0
+
+
+def test_frames_without_detections_are_numbered_whatever_their_ids(spark, tmp_path):
+    """Ids with gaps, equal, negative and beyond 2^31 times ten: frames count on from 0 in each video, three detections to each of the first."""
+    draw = random.Random(5)
+    ids = [draw.randrange(-(10**12), 10**12) * 10 for _ in range(400)] + [30] * 5
+    events = [(i, draw.choice((3, 14, 25, None)), "view", 1.0) for i in ids]
+    detected = [(draw.randrange(10**12), draw.choice((3, 4, 4, 5, None))) for _ in range(200)]
+    columns = dict(zip(("event_id", "user_id", "event_type", "value"), map(list, zip(*events))))
+    pq.write_table(pa.table(columns | {"ts": pa.array([0] * len(events), pa.timestamp("us"))}), tmp_path / "events.parquet")
+    embeddings = {"vec_id": [i for i, _ in detected], "label": pa.array([label for _, label in detected], pa.int32()), "embedding": [[1.0]] * len(detected)}
+    pq.write_table(pa.table(embeddings), tmp_path / "embeddings.parquet")
+    expected = []
+    for video in (3, 4, 5, None):
+        own = sorted(i for i, user, *_ in events if (user if user is None else user % 10) == video)
+        found = 0 if video is None else -(-sum(label == video for _, label in detected) // 3)
+        expected += [(video, n, i) for n, i in enumerate(own) if n >= found]
+    run = catalogue.queries()["frames_without_detections"]
+    order = lambda r: (r[0] is None, r[0] or 0, r[1])
+    assert sorted(map(tuple, run(spark, str(tmp_path)).collect()), key=order) == sorted(expected, key=order)
+    assert differences(spark, str(tmp_path), run, catalogue.oracle_sql()["frames_without_detections"]) == ([], [], 0)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vidtables.functions import scalars, vectors
@@ -268,9 +269,30 @@ q AS (SELECT video_id, pass_no, CASE WHEN pass_no = 0 THEN 1e0 WHEN side < 480 T
 r AS (SELECT d.*, k, min(d.pass_no) OVER (PARTITION BY d.video_id, frame_idx) AS m FROM detections d JOIN q ON q.video_id = d.video_id AND q.pass_no = d.pass_no)
 SELECT video_id, frame_idx, det_seq, pass_no, round(k, 6) AS scale, round(x1 / k, 6) AS x1, round(y1 / k, 6) AS y1, round(x2 / k, 6) AS x2, round(y2 / k, 6) AS y2, round((y1 + 5) / k, 6) AS first_y, round((x2 - 5) / k, 6) AS second_x FROM r WHERE pass_no = m""",
 )
+
+
+def frames_in_order(e: DataFrame) -> DataFrame:
+    """Events as frames, numbered as they are read in each video."""
+    rows = catalog.numbered(e.select((c("user_id") % 10).alias("video_id"), "event_id"), "video_id", "event_id")
+    return rows.select("video_id", c("place").cast("int").alias("frame_idx"), "event_id")
+
+
+def detections_in_order(e: DataFrame) -> DataFrame:
+    """Three detections to each of a video's first frames."""
+    rows = catalog.numbered(e.select(c("label").alias("video_id"), c("vec_id").alias("det_seq")), "video_id", "det_seq")
+    return rows.select("video_id", F.floor(c("place") / 3).cast("int").alias("frame_idx"), "det_seq")
+
+
 R.add(
     "frames_without_detections",
-    "frames detections",
-    lambda f, d: boxes.frames_without_detections(f, d).select("video_id", "frame_idx", "event_id"),
-    "SELECT video_id, frame_idx, event_id FROM frames f WHERE NOT EXISTS (SELECT 1 FROM detections d WHERE d.video_id = f.video_id AND d.frame_idx = f.frame_idx)",
+    "events embeddings",
+    lambda e, v: boxes.frames_without_detections(frames_in_order(e), detections_in_order(v)).select("video_id", "frame_idx", "event_id"),
+    """WITH frames AS (SELECT user_id % 10 AS video_id, CAST(row_number() OVER (PARTITION BY user_id % 10 ORDER BY event_id) - 1 AS INT) AS frame_idx, event_id, ts, event_type, value FROM events),
+detections AS (SELECT label AS video_id, CAST(floor(rn / 3) AS INT) AS frame_idx, vec_id AS det_seq,
+ CAST((vec_id * 37) % 1600 AS DOUBLE) AS x1, CAST((vec_id * 53) % 800 AS DOUBLE) AS y1,
+ CAST((vec_id * 37) % 1600 + 40 + (vec_id * 29) % 500 AS DOUBLE) AS x2,
+ CAST((vec_id * 53) % 800 + 40 + (vec_id * 31) % 500 AS DOUBLE) AS y2,
+ CAST((vec_id * 17) % 100 AS DOUBLE) / 100 AS det_score, CAST(vec_id % 4 AS INT) AS pass_no, embedding
+ FROM (SELECT *, row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS rn FROM embeddings) t)
+SELECT video_id, frame_idx, event_id FROM frames f WHERE NOT EXISTS (SELECT 1 FROM detections d WHERE d.video_id = f.video_id AND d.frame_idx = f.frame_idx)""",
 )

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from vidtables.functions import scalars, vectors
+from vidtables.sources.shared import shared_table
 
 # Extensions of images.
 IMAGES = [".png", ".jpg", ".jpeg", ".bmp", ".webp"]
@@ -56,3 +57,16 @@ def batch_fanout(videos: DataFrame, part_seconds: int = 1200) -> DataFrame:
     starts = F.sequence(F.lit(0), F.greatest(F.col("total_frames") - 1, F.lit(0)), step)
     out = videos.where("total_frames > 0 and fps > 0").select(*videos.columns, step.alias("_step"), F.posexplode(starts).alias("part", "start_frame"))
     return out.withColumn("end_frame", F.least(F.col("start_frame") + F.col("_step"), "total_frames")).drop("_step")
+
+
+def numbered(rows: DataFrame, key: str, order: str) -> DataFrame:
+    """rows with place, counted from 0 in each key by order, nulls last; equal rows in any order.
+    They are dealt by ranges and written, so that a key spans several tasks: a range's places follow those of the key's ranges before."""
+    by = (F.asc_nulls_last(key), F.asc_nulls_last(order))
+    dealt = rows.repartitionByRange(*by).sortWithinPartitions(*by).withColumn("_at", F.monotonically_increasing_id())
+    dealt = shared_table(dealt, "numbered").withColumn("_range", F.shiftright("_at", 33))  # the id's upper bits are the task's number
+    ranges = dealt.groupBy(F.col(key).alias("_key"), F.col("_range").alias("_of")).agg(F.min("_at").alias("_first"), F.count("*").alias("_n"))
+    before = Window.partitionBy("_key").orderBy("_of").rowsBetween(Window.unboundedPreceding, -1)
+    starts = ranges.select("_key", "_of", "_first", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
+    out = dealt.join(starts, F.col(key).eqNullSafe(F.col("_key")) & (F.col("_range") == F.col("_of")))
+    return out.select(*rows.columns, (F.col("_start") + F.col("_at") - F.col("_first")).alias("place"))
